@@ -360,12 +360,21 @@ _QUERY_TERMS = r"""
         UNION ALL SELECT CAST(item_id * 4 + 3 AS INTEGER), w[5] || ', ' || w[6] FROM qw)"""
 
 
-@query("skill_theta_match", rf"""
+def _marked(x: str) -> str:
+    """Every non-word character between chr(1) marks; chr(2) where two of them meet. A single
+    chr(1) is then a word boundary."""
+    marked = f"regexp_replace({x}, '([^{P.WORD}])', chr(1) || '\\1' || chr(1), 'g')"
+    return f"replace(chr(1) || {marked} || chr(1), chr(1) || chr(1), chr(2))"
+
+
+@query("skill_theta_match", f"""
     WITH {_QUERY_TERMS},
-    docs AS (SELECT doc_id, lower(text) AS low FROM documents)
-    SELECT doc_id, pos, skill FROM docs JOIN terms ON contains(low, lower(skill)) AND regexp_matches(low,
-        CASE WHEN starts_with(skill, '.') THEN '[{P.WORD}]' ELSE '(\A|{S.WORD_EDGE})' END
-        || replace(lower(skill), '.', '\.') || '(\z|{S.WORD_EDGE})')""")
+    docs AS (SELECT doc_id, {_marked('lower(text)')} AS low FROM documents),
+    marked AS (SELECT pos, skill, replace({_marked('lower(skill)')}, chr(2), chr(1)) AS m FROM terms),
+    -- within a skill two symbols may meet as well
+    wanted AS (SELECT pos, skill, CASE WHEN contains(skill, ', ') THEN replace(m, ',' || chr(1) || ' ', ',' || chr(2) || ' ')
+        ELSE m END AS m FROM marked)
+    SELECT doc_id, pos, skill FROM docs JOIN wanted ON contains(low, m)""")
 def skill_theta_match(spark, sf):
     return G.whole_word_hits(T.documents(spark, sf), "doc_id", "text", T.query_terms(spark, sf))
 
@@ -375,10 +384,9 @@ _HITS = f"""
         SELECT phrase, preferred, array_to_string({S.tokens('phrase')}, ' ') AS gram,
             len({S.tokens('phrase')}) AS n FROM dictionary) WHERE n > 0 GROUP BY gram, n),
     doc_tokens AS (SELECT doc_id, TOKENS AS t FROM documents),
-    starts AS (SELECT doc_id, t, unnest(range(len(t))) AS s FROM doc_tokens),
-    lengths AS (SELECT DISTINCT n FROM lex),
-    grams AS (SELECT doc_id, s, n, array_to_string(t[s + 1 : s + n], ' ') AS gram
-        FROM starts JOIN lengths ON s + n <= len(t)),
+    toks AS (SELECT doc_id, unnest(t) AS w, unnest(range(len(t))) AS s FROM doc_tokens),
+    grams AS (SELECT doc_id, s, unnest(range(1, 7)) AS n, unnest({S.run_list(6)}) AS gram FROM toks
+        WINDOW d AS (PARTITION BY doc_id ORDER BY s)),
     hits AS (SELECT doc_id, gram AS phrase, preferred, CAST(s AS INTEGER) AS start, CAST(s + n AS INTEGER) AS "end"
         FROM grams JOIN lex USING (gram, n)),
     firsts AS (SELECT doc_id, preferred AS skill, min((start, "end")) AS span FROM hits GROUP BY ALL)"""
@@ -600,9 +608,10 @@ def class_weights(spark, sf):
 _TERMS = """
     docs AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' '),
         lambda w: length(w) > 1) AS t FROM documents),
-    starts AS (SELECT doc_id, t, unnest(range(len(t))) AS s FROM docs),
-    grams AS (SELECT doc_id, array_to_string(t[s + 1 : s + k], ' ') AS term
-        FROM starts, (VALUES (1), (2), (3)) AS l(k) WHERE s + k <= len(t)),
+    toks AS (SELECT doc_id, unnest(t) AS w, unnest(range(len(t))) AS s FROM docs),
+    runs AS (SELECT doc_id, unnest(""" + S.run_list(3) + """) AS term FROM toks
+        WINDOW d AS (PARTITION BY doc_id ORDER BY s)),
+    grams AS (SELECT * FROM runs WHERE term IS NOT NULL),
     tf AS (SELECT doc_id, term, count(*) AS tf FROM grams GROUP BY ALL),
     total AS (SELECT count(*) AS n FROM documents),
     stats AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY term),
@@ -701,11 +710,7 @@ def _labelled(spark, sf) -> DataFrame:
 def _fitted(spark, sf):
     """(text model, labelled rows) fitted on the languages of all documents."""
     rows = _labelled(spark, sf)
-    embed = FT.hashed_embedding("text").fit(rows)
-    labels = L.index_labels(rows, "class")
-    vectors = labels.transform(embed.transform(rows)).select("label", "features")
-    svm = L.LinearSvm(maxIter=_ITERATIONS).fit(vectors)
-    return L.text_model(embed, svm, labels.labels), rows
+    return train.fit_text_model(rows, "class", "text", max_iter=_ITERATIONS), rows
 
 
 def _trained(spark, sf, costs, weights) -> train.Training:

@@ -81,6 +81,12 @@ def tokens(x: str) -> str:
     return f"regexp_extract_all(lower({x}), {text(TOKEN)})"
 
 
+def run_list(max_n: int) -> str:
+    """The runs of 1..max_n tokens ``w`` that start here, over the window ``d``; null past the end."""
+    following = [f" || ' ' || lead(w, {k}) OVER d" for k in range(1, max_n)]
+    return "[" + ", ".join("w" + "".join(following[:n]) for n in range(max_n)) + "]"
+
+
 def keywords(x: str) -> str:
     """Distinct keywords as a list."""
     kept = replace(f"lower({x})", f"[^a-z0-9{P.WEB_WHITESPACE}]", "")

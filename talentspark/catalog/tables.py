@@ -137,7 +137,7 @@ def landed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line of an order as a landed page: the order is the search term, the line number the
     page; untaxed lines stand for empty pages, fully taxed ones for failed requests."""
     names = F.array(*[F.lit(f.name) for f in FEEDS.values()])
-    path = F.create_map(*[F.lit(x) for f in FEEDS.values() for x in (f.name, f.items_path or "$.none")])
+    path = F.create_map(*[F.lit(x) for f in FEEDS.values() for x in (f.name, f.envelope or "none")])
     key = F.regexp_extract(path[F.col("source")], r"([A-Za-z]+)\z", 1)
     items = F.when(F.col("l_tax") == 0, "[]").otherwise('[{"id":1}]')
     nested = F.when(F.col("source") == "USAJobs", F.concat(F.lit('{"SearchResult":{"SearchResultItems":'), items, F.lit("}}")))
@@ -146,7 +146,7 @@ def landed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_returnflag") == "R", "").otherwise(',"next":"more"'), F.lit("}"),
     )
     payload = F.when(F.col("l_tax") == 0.08, "<error>").otherwise(F.coalesce(nested, plain))
-    return load(spark, sf_dir, "lineitem").select(
+    return spread(load(spark, sf_dir, "lineitem")).select(
         F.get(names, (F.col("l_orderkey") % len(FEEDS)).cast("int")).alias("source"), "l_orderkey", "l_linenumber",
         "l_tax", "l_returnflag",
     ).select(

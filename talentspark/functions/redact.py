@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from talentspark.functions import patterns as P
-from talentspark.functions.text import text_sanitize
+from talentspark.functions.text import let, text_sanitize
 
 PHONE_DATASET = "|".join([P.PHONE_INTERNATIONAL, P.PHONE_THREE_THREE_FOUR, P.PHONE_FIVE_THREE])
 PHONE_SERVING = PHONE_DATASET + "|" + P.PHONE_BETWEEN_SLASHES
@@ -44,18 +44,23 @@ def redact_dataset(c: Column) -> Column:
 
 def redact_spans(text: Column, spans: Column, labels: list[str] | None = None) -> Column:
     """Replace the spans (array of struct<label,start,end,...>) of the given labels by
-    ``[LABEL]``, last span first so that earlier offsets stay valid."""
-    wanted = [F.lit(label) for label in (P.PII_LABELS if labels is None else labels)]
-    chosen = F.filter(spans, lambda s: F.array_contains(F.array(*wanted), s["label"]))
-    ordered = F.sort_array(
-        F.transform(chosen, lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"), s["label"].alias("l"))),
-        asc=False,
+    ``[LABEL]``. Offsets refer to the given text; spans do not overlap.
+
+    The result joins the stretches between the spans, which copies the text once, however many
+    spans it has.
+    """
+    wanted = F.filter(spans, lambda s: s["label"].isin(P.PII_LABELS if labels is None else labels))
+    ordered = F.array_sort(
+        F.transform(wanted, lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"), s["label"].alias("l")))
     )
 
-    def cut(acc, s):
-        return F.concat(
-            F.substring(acc, F.lit(1), s["a"]), F.lit("["), s["l"], F.lit("]"),
-            F.substring(acc, s["b"] + 1, F.length(acc)),
+    def rebuild(spans: Column) -> Column:
+        resume = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["b"]))
+        pieces = F.zip_with(
+            spans, F.slice(resume, F.lit(1), F.size(spans)),
+            lambda s, at: F.concat(F.substring(text, at + 1, s["a"] - at), F.lit("["), s["l"], F.lit("]")),
         )
+        tail = F.substring(text, F.element_at(resume, -1) + 1, F.length(text))
+        return F.concat(F.array_join(pieces, ""), tail)
 
-    return F.coalesce(F.aggregate(ordered, text, cut), text)
+    return F.coalesce(let(ordered, rebuild), text)

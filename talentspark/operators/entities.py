@@ -31,7 +31,9 @@ def gazetteer_spans(text: Column, gazetteer: list[tuple[str, str]]) -> Column:
     labels = F.create_map(*[F.lit(x) for label, phrase in dict((p.lower(), (la, p)) for la, p in gazetteer).values()
                             for x in (phrase.lower(), label)])
     empty = F.array().cast("array<struct<label:string,text:string,start:int,end:int,score:double>>")
-    steps = F.transform(finds, lambda f, i: F.struct(f.alias("text"), F.get(gaps, i).alias("gap")))
+    # zipped rather than indexed: a lambda would split the text again for every find
+    zipped = F.zip_with(finds, gaps, lambda f, g: F.struct(f.alias("text"), g.alias("gap")))
+    steps = F.filter(zipped, lambda step: step["text"].isNotNull())
 
     def add(acc: Column, step: Column) -> Column:
         start = acc["pos"] + step["gap"]

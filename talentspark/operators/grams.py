@@ -129,16 +129,16 @@ def whole_word_hits(docs: DataFrame, id_col: str, text_col: str, skills: DataFra
         F.regexp_extract_all(text, F.lit(WORD_TOKEN), F.lit(0)).alias("_t"),
         F.regexp_extract_all(text, F.lit(WORD_PIECE), F.lit(0)).alias("_p1"),
     )
-    word_end = F.transform("_p1", lambda p: p.rlike(rf"[{P.WORD}]\z"))
-    word_start = F.transform("_t", lambda t: t.rlike(rf"\A[{P.WORD}]"))
-    tight = F.zip_with("_t", "_p1", lambda t, p: t == p)
+    # columns, as lambdas would evaluate the extractions again for every token
     df = df.select(
-        "*",
-        F.concat(F.array(F.lit(False)), word_end).alias("_before"),
-        F.zip_with(
-            tight, F.concat(F.slice(word_start, 2, F.greatest(F.size("_t"), F.lit(1))), F.array(F.lit(False))),
-            lambda a, b: a & b,
-        ).alias("_after"),
+        "*", F.transform("_t", lambda t: t.rlike(rf"\A[{P.WORD}]")).alias("_word"),
+        F.zip_with("_t", "_p1", lambda t, p: t == p).alias("_tight"),
+    )
+    ends_in_word = F.zip_with("_tight", "_word", lambda tight, word: tight & word)
+    next_is_word = F.concat(F.slice("_word", 2, F.greatest(F.size("_t"), F.lit(1))), F.array(F.lit(False)))
+    df = df.select(
+        id_col, "_t", "_p1", F.concat(F.array(F.lit(False)), ends_in_word).alias("_before"),
+        F.zip_with("_tight", next_is_word, lambda tight, word: tight & word).alias("_after"),
     )
     for n in range(2, max(lengths)):
         following = F.slice("_p1", n, F.greatest(F.size("_p1"), F.lit(1)))

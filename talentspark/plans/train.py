@@ -32,6 +32,15 @@ class Training:
         return M.topk_accuracy(self.test_predictions, rank, list(ks))
 
 
+def fit_text_model(rows: DataFrame, class_col: str, text_col: str, max_iter: int = L.MAX_ITER, **svm) -> PipelineModel:
+    """A classifier of texts with fixed settings. Every iteration reads the vectors, so they are
+    computed once and kept."""
+    features = hashed_embedding(text_col).fit(rows)
+    labels = L.index_labels(rows, class_col)
+    vectors = settle(labels.transform(features.transform(rows)).select("label", "features"))
+    return L.text_model(features, L.LinearSvm(maxIter=max_iter, **svm).fit(vectors), labels.labels)
+
+
 def train_classifier(
     dataset: DataFrame, id_col: str, class_col: str, text_col: str, costs=L.COSTS,
     class_weights=L.CLASS_WEIGHTS, folds: int = P.FOLDS, max_iter: int = L.MAX_ITER, synthetic: DataFrame | None = None,

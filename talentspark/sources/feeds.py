@@ -22,14 +22,14 @@ class Feed:
 
     ``items``: payload column -> array of item structs. ``fields``: item -> listing columns.
     ``pages_factor``: pages per allowed page, None for one request per term.
-    ``items_path``: JSON path of the item array. ``html``: descriptions hold tags to strip.
+    ``envelope``: dotted path of the item array in a JSON page. ``html``: descriptions hold tags to strip.
     """
 
     name: str
     ord: int
     items: Callable[[Column], Column]
     fields: Callable[[Column], dict[str, Column]]
-    items_path: str | None = None
+    envelope: str | None = None
     pages_factor: int | None = None
     stops_when_empty: bool = False
     follows_next: bool = False
@@ -45,11 +45,15 @@ def _or_empty(c: Column, default: str) -> Column:
     return F.coalesce(F.nullif(c, F.lit("")), F.lit(default))
 
 
-def _json(envelope: str, item_ddl: str) -> Callable[[Column], Column]:
-    """Items of a JSON page whose array sits under the dotted ``envelope`` path."""
+def json_items(payload: Column, envelope: str, item_type: str = "string") -> Column:
+    """The array under the dotted ``envelope`` path of a JSON page; null if unreadable."""
     keys = envelope.split(".")
-    ddl = reduce(lambda inner, key: f"struct<{key}:{inner}>", reversed(keys), f"array<struct<{item_ddl}>>")
-    return lambda payload: reduce(lambda c, key: c[key], keys, F.from_json(payload, ddl))
+    ddl = reduce(lambda inner, key: f"struct<{key}:{inner}>", reversed(keys), f"array<{item_type}>")
+    return reduce(lambda c, key: c[key], keys, F.from_json(payload, ddl))
+
+
+def _json(envelope: str, item_ddl: str) -> Callable[[Column], Column]:
+    return lambda payload: json_items(payload, envelope, f"struct<{item_ddl}>")
 
 
 def _arbeitnow(j: Column) -> dict[str, Column]:
@@ -158,40 +162,40 @@ FEEDS = {
         "Arbeitnow", 0,
         _json("data", "slug:string,title:string,company_name:string,remote:string,location:string,"
                       "url:string,description:string"),
-        _arbeitnow, "$.data", pages_factor=1, stops_when_empty=True),
+        _arbeitnow, "data", pages_factor=1, stops_when_empty=True),
     "jobicy": Feed(
         "Jobicy", 1,
         _json("jobs", "id:string,jobTitle:string,companyName:string,jobGeo:string,jobDescription:string,url:string"),
-        _jobicy, "$.jobs"),
-    "remoteok": Feed("RemoteOK", 2, _remoteok_items, _remoteok, "$"),
+        _jobicy, "jobs"),
+    "remoteok": Feed("RemoteOK", 2, _remoteok_items, _remoteok),
     "themuse": Feed(
         "The Muse", 3,
         _json("results", "id:string,name:string,company:struct<name:string>,locations:array<struct<name:string>>,"
                          "contents:string,refs:struct<landing_page:string>"),
-        _themuse, "$.results", pages_factor=1, stops_when_empty=True),
+        _themuse, "results", pages_factor=1, stops_when_empty=True),
     "himalayas": Feed(
         "Himalayas", 4,
         _json("jobs", "slug:string,id:string,title:string,companyName:string,locationRestrictions:array<string>,"
                       "description:string,applicationLink:string,url:string"),
-        _himalayas, "$.jobs", pages_factor=2, stops_when_empty=True),
+        _himalayas, "jobs", pages_factor=2, stops_when_empty=True),
     "weworkremotely": Feed("We Work Remotely", 5, _rss_items, _weworkremotely),
     "findwork": Feed(
         "Findwork.dev", 6,
         _json("results", "id:string,role:string,company_name:string,location:string,keywords:array<string>,"
                          "text:string,url:string"),
-        _findwork, "$.results", pages_factor=1, follows_next=True, html=False),
+        _findwork, "results", pages_factor=1, follows_next=True, html=False),
     "usajobs": Feed(
         "USAJobs", 7,
         _json("SearchResult.SearchResultItems",
               "MatchedObjectDescriptor:struct<PositionID:string,PositionTitle:string,OrganizationName:string,"
               "PositionLocation:array<struct<LocationName:string>>,QualificationSummary:string,"
               "UserArea:struct<Details:struct<JobSummary:string>>,PositionURI:string>"),
-        _usajobs, "$.SearchResult.SearchResultItems", pages_factor=1, stops_when_empty=True),
+        _usajobs, "SearchResult.SearchResultItems", pages_factor=1, stops_when_empty=True),
     "adzuna": Feed(
         "Adzuna", 8,
         _json("results", "id:string,title:string,company:struct<display_name:string>,"
                          "location:struct<display_name:string>,description:string,redirect_url:string"),
-        _adzuna, "$.results", pages_factor=1, stops_when_empty=True),
+        _adzuna, "results", pages_factor=1, stops_when_empty=True),
 }
 
 

@@ -5,22 +5,14 @@ from pyspark.sql import functions as F
 
 from talentspark.operators.joins import lookup_join
 from talentspark.session import settle
-from talentspark.sources.feeds import FEEDS
+from talentspark.sources.feeds import FEEDS, Feed, json_items
 
 # ``skill`` is the search term (or feed category) of the request, ``skill_pos`` its place in
 # the query; feeds that are not searched by term use one fixed value.
 LANDED_SCHEMA = "source string, skill string, skill_pos int, page int, payload string"
 
 
-def _per_feed(value) -> Column:
-    """A column that takes ``value(feed)`` on the rows of each feed."""
-    chosen = F
-    for feed in FEEDS.values():
-        chosen = chosen.when(F.col("source") == feed.name, value(feed))
-    return chosen
-
-
-def _page_limit(feed, max_pages: int) -> int:
+def _page_limit(feed: Feed, max_pages: int) -> int:
     return 1 if feed.pages_factor is None else feed.pages_factor * max_pages
 
 
@@ -31,27 +23,32 @@ def page_window(landed: DataFrame, max_pages: int | None = 3) -> DataFrame:
     without a link to the next one (feeds that follow links) and at the page limit;
     ``max_pages=None`` leaves the limit out. Feeds with one request per term never stop early.
     """
-    paged = [f.name for f in FEEDS.values() if f.pages_factor is not None]
-    valid = F.get_json_object("payload", "$").isNotNull()
-    items = _per_feed(
-        lambda f: F.json_array_length(F.get_json_object("payload", f.items_path))
-        if f.items_path else F.lit(None).cast("int")
-    )
-    link = F.get_json_object("payload", "$.next")
-    stop = (
-        F.when(~F.coalesce(valid, F.lit(False)), F.col("page"))
-        .when(_per_feed(lambda f: F.lit(f.stops_when_empty)) & (F.coalesce(items, F.lit(0)) == 0), F.col("page"))
-        .when(_per_feed(lambda f: F.lit(f.follows_next)) & (F.coalesce(link, F.lit("")) == ""), F.col("page") + 1)
-    )
+    payload, page = F.col("payload"), F.col("page")
+
+    def stop_at(feed: Feed) -> Column:
+        if feed.stops_when_empty:
+            # an unreadable page has no items either
+            return F.when(F.coalesce(F.size(json_items(payload, feed.envelope)), F.lit(0)) <= 0, page)
+        readable = F.coalesce(F.get_json_object(payload, "$").isNotNull(), F.lit(False))
+        link = F.coalesce(F.get_json_object(payload, "$.next"), F.lit(""))
+        return F.when(~readable, page).when(link == "", page + 1)
+
+    paged = [f for f in FEEDS.values() if f.pages_factor is not None]
+    stop = F
+    for feed in paged:
+        stop = stop.when(F.col("source") == feed.name, stop_at(feed))
     # partial aggregation: only one number per (source, skill) leaves each task
     stops = (
-        landed.where(F.col("source").isin(paged))
+        landed.where(F.col("source").isin([f.name for f in paged]))
         .select("source", F.coalesce("skill", F.lit("")).alias("_term"), stop.alias("_stop"))
         .where(F.col("_stop").isNotNull())
         .groupBy("source", "_term").agg(F.min("_stop").alias("_stop"))
     )
     if max_pages is not None:
-        landed = landed.where(F.col("page") <= _per_feed(lambda f: F.lit(_page_limit(f, max_pages))))
+        limit = F
+        for feed in FEEDS.values():
+            limit = limit.when(F.col("source") == feed.name, _page_limit(feed, max_pages))
+        landed = landed.where(F.col("page") <= limit)
     joined = lookup_join(
         landed.withColumn("_term", F.coalesce("skill", F.lit(""))),
         settle(stops), ["source", "_term"], "left", spread_by=["source", "skill", "page"],
