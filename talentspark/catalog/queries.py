@@ -428,9 +428,8 @@ _FOUND = " UNION ALL ".join(
     SELECT doc_id, skill, 'token' AS unit, span[1] AS start, span[2] AS "end" FROM firsts
     UNION ALL SELECT doc_id, skill, 'char', start, "end" FROM fresh""")
 def model_skill_merge(spark, sf):
-    dictionary = _dictionary(spark, sf)
     return analyze.extract_skills(
-        T.documents(spark, sf), "doc_id", "text", G.lexicon(dictionary), dictionary, T.model_entities(spark, sf)
+        T.documents(spark, sf), "doc_id", "text", G.lexicon(_dictionary(spark, sf)), T.model_entities(spark, sf)
     )
 
 

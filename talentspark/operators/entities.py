@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from talentspark.functions import patterns as P
 from talentspark.functions.redact import redact_spans
 from talentspark.functions.text import strip
+from talentspark.operators.grams import Lexicon
 from talentspark.operators.jobs import first_per_key
 from talentspark.operators.joins import lookup_join
 
@@ -102,7 +103,7 @@ def redact_entities(
     return joined.withColumn(text_col, redact_spans(F.col(text_col), F.col("_spans"), labels)).drop("_spans")
 
 
-def merge_model_skills(dictionary_skills: DataFrame, entities: DataFrame, dictionary: DataFrame, id_col: str) -> DataFrame:
+def merge_model_skills(dictionary_skills: DataFrame, entities: DataFrame, lex: Lexicon, id_col: str) -> DataFrame:
     """Add model-found skills a text does not have yet: (id, skill, unit, start, end).
 
     Dictionary spans count tokens, model spans characters. A model phrase known to the
@@ -111,7 +112,7 @@ def merge_model_skills(dictionary_skills: DataFrame, entities: DataFrame, dictio
     found = entities.where(F.col("label").isin(P.SKILL_LABELS) & (F.col("score") > P.ENTITY_THRESHOLD)).select(
         id_col, strip(F.lower("text")).alias("phrase"), "start", "end"
     )
-    named = lookup_join(found, dictionary.select("phrase", "preferred"), ["phrase"], "left", [id_col, "start"]).select(
+    named = lookup_join(found, lex.phrases, ["phrase"], "left", [id_col, "start"]).select(
         id_col, F.coalesce("preferred", "phrase").alias("skill"), "start", "end"
     )
     fresh = first_per_key(named, [id_col, "skill"], [F.col("start"), F.col("end")]).join(

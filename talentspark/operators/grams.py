@@ -43,8 +43,10 @@ def gram_rows(docs: DataFrame, id_col: str, lengths: list[int]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Lexicon:
-    """A dictionary keyed by token sequence: (gram, preferred), and the lengths it holds."""
+    """A settled dictionary: its rows (phrase, preferred), the same keyed by token sequence
+    (gram, preferred), and the sequence lengths it holds."""
 
+    phrases: DataFrame
     table: DataFrame
     lengths: list[int]
 
@@ -55,8 +57,9 @@ def lexicon(dictionary: DataFrame) -> Lexicon:
     Phrases that differ in spacing only share a key; the one written like its key wins, then
     the first in string order.
     """
+    phrases = settle(dictionary.select("phrase", "preferred"))
     keyed = (
-        dictionary.select("phrase", "preferred", tokens(F.col("phrase")).alias("_t"))
+        phrases.select("phrase", "preferred", tokens(F.col("phrase")).alias("_t"))
         .where(F.size("_t") > 0)
         .select("phrase", "preferred", F.array_join("_t", " ").alias("gram"), F.size("_t").alias("n"))
         .groupBy("gram", "n")
@@ -64,7 +67,7 @@ def lexicon(dictionary: DataFrame) -> Lexicon:
     )
     table = settle(keyed)
     found = table.agg(F.sort_array(F.collect_set("n"))).first()[0]
-    return Lexicon(table.select("gram", "preferred"), found)
+    return Lexicon(phrases, table.select("gram", "preferred"), found)
 
 
 def phrase_match(docs: DataFrame, id_col: str, text_col: str, lex: Lexicon) -> DataFrame:

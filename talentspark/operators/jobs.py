@@ -18,12 +18,12 @@ JOB_COLUMNS = [
 
 def score_jobs(
     listings: DataFrame, skills: list[str], title: str = "title", description: str = "description",
-    key: str = "fetch_ord",
+    key: tuple[str, ...] = ("source", "fetch_ord"),
 ) -> DataFrame:
     """Add ``skills_matched`` and ``matched_skills`` (names in query order, comma-joined).
 
     A skill counts when it occurs as a whole word in title or description, ignoring case; a
-    name given twice counts twice. ``key`` identifies rows where the list is long.
+    name given twice counts twice. ``key`` identifies a row.
     """
     if len(skills) > MAX_LITERALS:
         return _score_by_join(listings, skills, title, description, key)
@@ -46,13 +46,14 @@ def _search_text(title: str, description: str) -> Column:
 
 
 def _score_by_join(listings, skills, title, description, key) -> DataFrame:
-    texts = listings.select(key, _search_text(title, description).alias("_text"))
-    hits = whole_word_hits(texts, key, "_text", skill_table(listings.sparkSession, skills))
-    per_job = hits.groupBy(key).agg(
+    keyed = listings.withColumn("_key", F.struct(*key))
+    texts = keyed.select("_key", _search_text(title, description).alias("_text"))
+    hits = whole_word_hits(texts, "_key", "_text", skill_table(listings.sparkSession, skills))
+    per_job = hits.groupBy("_key").agg(
         F.count(F.lit(1)).cast("int").alias("skills_matched"),
         F.sort_array(F.collect_list(F.struct("pos", "skill"))).alias("_hits"),
     )
-    scored = listings.join(per_job, key, "left")
+    scored = keyed.join(per_job, "_key", "left")
     return scored.select(
         *listings.columns,
         F.coalesce("skills_matched", F.lit(0)).alias("skills_matched"),

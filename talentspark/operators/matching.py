@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from talentspark.functions import patterns as P
 from talentspark.functions.text import keyword_tokens, match_band, percent_half_up
 from talentspark.operators.joins import lookup_join, skew_join
-from talentspark.session import settle
+from talentspark.session import settle, settle_table
 
 
 def keyword_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -46,13 +46,17 @@ def match_pairs(
     if not 1 <= min_score <= 100:
         raise ValueError("min_score must be between 1 and 100")
     set_key = F.md5(F.array_join("words", " "))
-    resume_sets = settle(resumes.where(F.size("words") > 0).select("resume_id", "words", set_key.alias("r")))
-    job_sets = settle(jobs.where(F.size("words") > 0).select("job_id", "words", set_key.alias("j")))
+    resume_sets = settle_table(
+        resumes.where(F.size("words") > 0).select("resume_id", "words", set_key.alias("r")), "resume-keywords"
+    )
+    job_sets = settle_table(
+        jobs.where(F.size("words") > 0).select("job_id", "words", set_key.alias("j")), "job-keywords"
+    )
     r_sets = resume_sets.select("r", "words").dropDuplicates(["r"])
     j_sets = job_sets.select("j", "words").dropDuplicates(["j"])
 
     r_words = r_sets.select("r", F.size("words").alias("_size"), F.explode("words").alias("word"))
-    frequency = settle(r_words.groupBy("word").agg(F.count(F.lit(1)).alias("df")))
+    frequency = settle_table(r_words.groupBy("word").agg(F.count(F.lit(1)).alias("df")), "keyword-counts")
     n = F.size("words")
     need = F.greatest(F.ceil(n * (min_score - 0.5) / 100 - 1e-9), F.lit(1)).cast("int")
     j_words = j_sets.select("j", n.alias("n"), need.alias("need"), F.explode("words").alias("word"))
@@ -64,7 +68,7 @@ def match_pairs(
         .where("df > 0").select("j", "need", "word")
     )
     candidates = (
-        lookup_join(r_words, settle(rarest), ["word"], "inner", ["r", "word"])
+        lookup_join(r_words, settle_table(rarest, "rare-keywords"), ["word"], "inner", ["r", "word"])
         .where(F.col("_size") >= F.col("need")).select("r", "j").distinct()
     )
     with_resume = candidates.join(r_sets.withColumnRenamed("words", "_r"), "r")

@@ -4,6 +4,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentspark.functions import patterns as P
+from talentspark.operators.joins import lookup_join
+from talentspark.session import settle
 
 
 def hash_key(id_col: str, seed: int) -> Column:
@@ -35,7 +37,7 @@ def _cut_keys(df: DataFrame, class_col: str, id_col: str, seed: int, cut_ranks)
     ).where(F.size("local") > 0)
     in_bucket = F.row_number().over(Window.partitionBy("c", "b").orderBy("key"))
     return (
-        keyed.join(F.broadcast(wanted), ["c", "b"]).withColumn("_rank", in_bucket)
+        lookup_join(keyed, settle(wanted), ["c", "b"], spread_by=["key"]).withColumn("_rank", in_bucket)
         # a small class may have several cuts at one rank
         .select("c", "key", "zeros", F.explode(F.filter("local", lambda r: r == F.col("_rank"))))
         .groupBy(F.col("c").alias(class_col))
@@ -44,11 +46,11 @@ def _cut_keys(df: DataFrame, class_col: str, id_col: str, seed: int, cut_ranks)
 
 
 def _part_number(df: DataFrame, class_col: str, id_col: str, seed: int, cut_ranks) -> DataFrame:
-    """Add ``_part``: how many cuts of its class lie below a row. One row per class is broadcast."""
+    """Add ``_part``: how many cuts of its class lie below a row. The cuts are one row per class."""
     cuts = _cut_keys(df, class_col, id_col, seed, cut_ranks)
     key = hash_key(id_col, seed)
     below = F.size(F.filter("_cuts", lambda cut: cut < key)) + F.col("_zeros")
-    return df.join(F.broadcast(cuts), class_col, "inner").withColumn("_part", below).drop("_cuts", "_zeros")
+    return lookup_join(df, settle(cuts), [class_col], spread_by=[id_col]).withColumn("_part", below).drop("_cuts", "_zeros")
 
 
 def stratified_split(

@@ -1,10 +1,10 @@
 """Resume and job analysis: the two analysis requests as table jobs."""
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentspark.functions.redact import redact_serving
+from talentspark.functions.redact import redact_serving, redact_spans
 from talentspark.functions.scores import top_k_classes
 from talentspark.functions.text import is_blank, text_sanitize
 from talentspark.operators import entities as E
@@ -27,14 +27,14 @@ def _skill_maps(skills: DataFrame, id_col: str) -> DataFrame:
 
 
 def extract_skills(
-    docs: DataFrame, id_col: str, text_col: str, lex: grams.Lexicon, dictionary: DataFrame | None = None,
+    docs: DataFrame, id_col: str, text_col: str, lex: grams.Lexicon,
     entities: DataFrame | None = None,
 ) -> DataFrame:
     """(id, skill, unit, start, end): dictionary skills, plus model-found ones where given."""
     found = grams.first_spans(grams.phrase_match(docs, id_col, text_col, lex), id_col)
     if entities is None:
         return found.select(id_col, "skill", F.lit("token").alias("unit"), "start", "end")
-    return E.merge_model_skills(found, entities, dictionary, id_col)
+    return E.merge_model_skills(found, entities, lex, id_col)
 
 
 def _with_skills(docs: DataFrame, id_col: str, skills: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def _with_skills(docs: DataFrame, id_col: str, skills: DataFrame) -> DataFrame:
 
 
 def analyze_jobs(
-    jobs: DataFrame, id_col: str, text_col: str, lex: grams.Lexicon, dictionary: DataFrame | None = None,
+    jobs: DataFrame, id_col: str, text_col: str, lex: grams.Lexicon,
     entities: DataFrame | None = None,
 ) -> DataFrame:
     """(id, cleaned_job_desc, skills, education); blank texts are left out."""
@@ -52,7 +52,7 @@ def analyze_jobs(
     # placed by id once: the skill groups and the join below reuse it
     clean = good.select(id_col, text_sanitize(F.col(text_col)).alias("cleaned_job_desc")).repartition(F.col(id_col))
     return _with_skills(
-        clean, id_col, extract_skills(clean, id_col, "cleaned_job_desc", lex, dictionary, entities)
+        clean, id_col, extract_skills(clean, id_col, "cleaned_job_desc", lex, entities)
     )
 
 
@@ -66,7 +66,7 @@ def categories(df: DataFrame, model: PipelineModel, top_k: int = 2) -> DataFrame
 
 def classify_resumes(
     resumes: DataFrame, id_col: str, text_col: str, model: PipelineModel, top_k: int = 2,
-    entity_spans: Column | None = None,
+    entity_spans=None,
 ) -> DataFrame:
     """(id, categories): clean, embed, score, keep the best classes."""
     cleaned = clean_resumes(resumes, id_col, text_col, entity_spans)
@@ -80,15 +80,13 @@ def clean_resumes(resumes: DataFrame, id_col: str, text_col: str, entity_spans=N
     clean = good.select(id_col, redact_serving(F.col(text_col)).alias("cleaned_resume"))
     if entity_spans is None:
         return clean
-    from talentspark.functions.redact import redact_spans
-
     text = F.col("cleaned_resume")
     return clean.select(id_col, redact_spans(text, entity_spans(text)).alias("cleaned_resume"))
 
 
 def analyze_resumes(
     resumes: DataFrame, id_col: str, text_col: str, model: PipelineModel, lex: grams.Lexicon, top_k: int = 2,
-    entity_spans=None, dictionary: DataFrame | None = None, entities: DataFrame | None = None,
+    entity_spans=None, entities: DataFrame | None = None,
 ) -> DataFrame:
     """(id, cleaned_resume, education, categories, skills).
 
@@ -96,6 +94,6 @@ def analyze_resumes(
     has become ``EMAIL``), while skills come from the text cleaned once.
     """
     clean = clean_resumes(resumes, id_col, text_col, entity_spans).repartition(F.col(id_col))
-    skills = extract_skills(clean, id_col, "cleaned_resume", lex, dictionary, entities)
+    skills = extract_skills(clean, id_col, "cleaned_resume", lex, entities)
     twice = clean.withColumn("text", redact_serving(F.col("cleaned_resume")))
     return _with_skills(categories(twice, model, top_k).drop("text"), id_col, skills)

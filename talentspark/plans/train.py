@@ -12,7 +12,7 @@ from talentspark.operators import learning as L
 from talentspark.operators import metrics as M
 from talentspark.operators.features import hashed_embedding
 from talentspark.operators.splits import stratified_kfold, stratified_split
-from talentspark.session import settle
+from talentspark.session import settle_table
 
 
 @dataclass(frozen=True)
@@ -37,7 +37,7 @@ def fit_text_model(rows: DataFrame, class_col: str, text_col: str, max_iter: int
     computed once and kept."""
     features = hashed_embedding(text_col).fit(rows)
     labels = L.index_labels(rows, class_col)
-    vectors = settle(labels.transform(features.transform(rows)).select("label", "features"))
+    vectors = settle_table(labels.transform(features.transform(rows)).select("label", "features"), "vectors")
     return L.text_model(features, L.LinearSvm(maxIter=max_iter, **svm).fit(vectors), labels.labels)
 
 
@@ -47,7 +47,7 @@ def train_classifier(
 ) -> Training:
     """Train on 70 % of each class with the best settings of the grid.
 
-    Rows without a class are left out. Vectors are computed once and kept as a checkpoint, as
+    Rows without a class are left out. Vectors are computed once and kept as a table, as
     every fit reads them again. ``synthetic`` (text, class) is added to the training rows only.
     """
     rows = dataset.where(F.col(class_col).isNotNull()).select(
@@ -62,7 +62,9 @@ def train_classifier(
         parts = parts.unionByName(extra)
     features = hashed_embedding("text").fit(parts)
     labels = L.index_labels(parts, "class")
-    vectors = settle(labels.transform(features.transform(parts)).select("class", "label", "is_test", "fold", "features"))
+    vectors = settle_table(
+        labels.transform(features.transform(parts)).select("class", "label", "is_test", "fold", "features"), "vectors"
+    )
     train, test = vectors.where("not is_test"), vectors.where("is_test")
 
     svm = L.LinearSvm(maxIter=max_iter)

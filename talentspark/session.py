@@ -45,11 +45,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute once and keep as a reliable checkpoint; lost executors do not undo it."""
+    """Compute a small result once and keep it as a reliable checkpoint; lost executors do not undo it."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def settle_table(df: DataFrame, name: str) -> DataFrame:
+    """The same for large results: a parquet table in the shared folder, so that each reader
+    takes only the columns it needs. Old tables are the owner's of that folder to expire."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a scan at least one partition per core before heavy per-row work.
 
