@@ -4,7 +4,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from talentspark.functions import patterns as P
 from talentspark.operators.joins import lookup_join
@@ -75,12 +74,7 @@ def phrase_match(docs: DataFrame, id_col: str, text_col: str, lex: Lexicon) -> D
 
     Gives (id, phrase, preferred, start, end) with token offsets, end exclusive.
     """
-    if not lex.lengths:
-        schema = T.StructType([docs.schema[id_col]])
-        for name, kind in [("phrase", "string"), ("preferred", "string"), ("start", "int"), ("end", "int")]:
-            schema = schema.add(name, kind)
-        return docs.sparkSession.createDataFrame([], schema)
-    rows = gram_rows(docs.select(id_col, tokens(F.col(text_col)).alias("_tokens")), id_col, lex.lengths)
+    rows = gram_rows(docs.select(id_col, tokens(F.col(text_col)).alias("_tokens")), id_col, lex.lengths or [1])
     hits = lookup_join(rows, lex.table, ["gram"], "inner", spread_by=[id_col, "start"])
     return hits.select(
         id_col, F.col("gram").alias("phrase"), "preferred", "start", (F.col("start") + F.col("n")).alias("end")
