@@ -96,8 +96,8 @@ def title_company(c: Column) -> Column:
 
 def percent_half_up(part: Column, whole: Column) -> Column:
     """100 * part / whole rounded half up; 0 where the whole is 0."""
-    share = F.floor(part / whole * 100 + F.lit(0.5)).cast("int")
-    return F.when(whole == 0, F.lit(0)).otherwise(share)
+    share = F.floor(F.try_divide(part, whole) * 100 + F.lit(0.5)).cast("int")
+    return F.coalesce(share, F.lit(0))
 
 
 def match_band(score: Column) -> Column:

@@ -41,7 +41,7 @@ def confusion_matrix(df: DataFrame, label: str, prediction: str, classes: list)
 
 
 def _share(part: Column, whole: Column) -> Column:
-    return F.when(whole == 0, F.lit(0.0)).otherwise(part / whole)
+    return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
 
 
 def _per_class(df: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -72,8 +72,8 @@ def classification_report(df: DataFrame, label: str, prediction: str) -> DataFra
     rolled = per_class.rollup("label").agg(
         F.grouping("label").alias("all"), support.alias("support"),
         *[F.avg(c).alias(f"m_{c}") for c in names],
-        *[(F.sum(F.col(c) * F.col("support")) / support).alias(f"w_{c}") for c in names],
-        (F.sum("hits") / support).alias("accuracy"),
+        *[_share(F.sum(F.col(c) * F.col("support")), support).alias(f"w_{c}") for c in names],
+        _share(F.sum("hits"), support).alias("accuracy"),
     )
 
     def row(name: Column, p, r, f) -> Column:
