@@ -40,14 +40,41 @@ def gram_rows(docs: DataFrame, id_col: str, lengths: list[int]) -> DataFrame:
     )
 
 
+def run_rows(docs: DataFrame, id_col: str, arrays: dict[str, str], max_n: int) -> DataFrame:
+    """(id, start, <name>1 .. <name>max_n, ...): per position the next ``max_n`` elements of each
+    array column, null past the end. ``arrays`` gives name -> column."""
+    shifted = [
+        F.slice(column, k, F.greatest(F.size(column), F.lit(1))).alias(f"{name}{k}")
+        for name, column in arrays.items() for k in range(1, max_n + 1)
+    ]
+    return docs.select(id_col, F.posexplode(F.arrays_zip(*shifted)).alias("start", "_run")).select(
+        id_col, "start", "_run.*"
+    )
+
+
+def _heads(table: DataFrame, head: Column) -> DataFrame:
+    """(head, lengths): the lengths of the sequences that begin with each token."""
+    return settle(table.groupBy(head.alias("head")).agg(F.sort_array(F.collect_set("n")).alias("lengths")))
+
+
+def _candidates(rows: DataFrame, heads: DataFrame, id_col: str, token: str, max_n: int) -> DataFrame:
+    """Runs whose first token begins a known sequence, once per length ``n`` to try. Most
+    positions end here, before any gram is put together."""
+    begun = lookup_join(rows.withColumn("head", F.col(f"{token}1")), heads, ["head"], "inner", [id_col, "start"])
+    tried = begun.withColumn("n", F.explode("lengths")).drop("head", "lengths")
+    last = F.get(F.array(*[F.col(f"{token}{k}") for k in range(1, max_n + 1)]), F.col("n") - 1)
+    return tried.where(last.isNotNull())
+
+
 @dataclass(frozen=True)
 class Lexicon:
     """A settled dictionary: its rows (phrase, preferred), the same keyed by token sequence
-    (gram, preferred), and the sequence lengths it holds."""
+    (gram, n, preferred), the lengths per first token, and the greatest length."""
 
     phrases: DataFrame
     table: DataFrame
-    lengths: list[int]
+    heads: DataFrame
+    max_n: int
 
 
 def lexicon(dictionary: DataFrame) -> Lexicon:
@@ -65,8 +92,8 @@ def lexicon(dictionary: DataFrame) -> Lexicon:
         .agg(F.min_by("preferred", F.struct(F.col("phrase") != F.col("gram"), "phrase")).alias("preferred"))
     )
     table = settle(keyed)
-    found = table.agg(F.sort_array(F.collect_set("n"))).first()[0]
-    return Lexicon(phrases, table.select("gram", "preferred"), found)
+    heads = _heads(table, F.substring_index("gram", " ", 1))
+    return Lexicon(phrases, table, heads, table.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0])
 
 
 def phrase_match(docs: DataFrame, id_col: str, text_col: str, lex: Lexicon) -> DataFrame:
@@ -74,8 +101,11 @@ def phrase_match(docs: DataFrame, id_col: str, text_col: str, lex: Lexicon) -> D
 
     Gives (id, phrase, preferred, start, end) with token offsets, end exclusive.
     """
-    rows = gram_rows(docs.select(id_col, tokens(F.col(text_col)).alias("_tokens")), id_col, lex.lengths or [1])
-    hits = lookup_join(rows, lex.table, ["gram"], "inner", spread_by=[id_col, "start"])
+    listed = docs.select(id_col, tokens(F.col(text_col)).alias("_tokens"))
+    rows = _candidates(run_rows(listed, id_col, {"_t": "_tokens"}, lex.max_n), lex.heads, id_col, "_t", lex.max_n)
+    gram = F.concat_ws(" ", *[F.when(F.col("n") >= k, F.col(f"_t{k}")) for k in range(1, lex.max_n + 1)])
+    grams = rows.select(id_col, "start", "n", gram.alias("gram"))
+    hits = lookup_join(grams, lex.table, ["gram", "n"], "inner", spread_by=[id_col, "start"])
     return hits.select(
         id_col, F.col("gram").alias("phrase"), "preferred", "start", (F.col("start") + F.col("n")).alias("end")
     )
@@ -112,13 +142,13 @@ def whole_word_hits(docs: DataFrame, id_col: str, text_col: str, skills: DataFra
     wanted = settle(
         skills.where(literal.rlike(rf"[^{P.WHITESPACE}]")).select(
             "pos", "skill", literal.alias("gram"),
-            F.size(F.regexp_extract_all(literal, F.lit(WORD_TOKEN), F.lit(0))).alias("_n"),
+            F.size(F.regexp_extract_all(literal, F.lit(WORD_TOKEN), F.lit(0))).alias("n"),
+            F.regexp_extract(literal, WORD_TOKEN, 0).alias("_head"),
             (~literal.rlike(rf"\A[{P.WORD}]")).alias("_before"),
             (~literal.rlike(rf"[{P.WORD}]\z")).alias("_after"),
         )
     )
-    lengths = wanted.agg(F.sort_array(F.collect_set("_n"))).first()[0]
-    lengths = lengths or [1]
+    max_n = wanted.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
 
     text = F.lower(text_col)
     df = docs.select(
@@ -137,24 +167,14 @@ def whole_word_hits(docs: DataFrame, id_col: str, text_col: str, skills: DataFra
         id_col, "_t", "_p1", F.concat(F.array(F.lit(False)), ends_in_word).alias("_before"),
         F.zip_with("_tight", next_is_word, lambda tight, word: tight & word).alias("_after"),
     )
-    for n in range(2, max(lengths)):
-        following = F.slice("_p1", n, F.greatest(F.size("_p1"), F.lit(1)))
-        df = df.withColumn(f"_p{n}", F.zip_with(f"_p{n - 1}", following, lambda a, b: F.concat(a, b)))
-
-    def grams(n: int) -> Column:
-        count = F.greatest(F.size("_t") - (n - 1), F.lit(0))
-        last = F.slice("_t", n, F.greatest(F.size("_t"), F.lit(1)))
-        text_n = F.col("_t") if n == 1 else F.zip_with(
-            F.slice(f"_p{n - 1}", F.lit(1), count), last, lambda a, b: F.concat(a, b)
-        )
-        return F.arrays_zip(
-            text_n.alias("gram"), F.slice("_before", F.lit(1), count).alias("before"),
-            F.slice("_after", n, F.greatest(F.size("_t"), F.lit(1))).alias("after"),
-        )
-
-    rows = df.select(id_col, F.explode(F.array(*[grams(n) for n in lengths])).alias("_l")).select(
-        id_col, F.inline("_l")
-    )
-    hits = lookup_join(rows, wanted.drop("_n"), ["gram"], "inner", spread_by=[id_col, "gram", "before", "after"])
+    rows = run_rows(df, id_col, {"_t": "_t", "_p": "_p1", "before": "_before", "after": "_after"}, max_n)
+    rows = _candidates(rows, _heads(wanted, F.col("_head")), id_col, "_t", max_n)
+    gram, after = F, F
+    for n in range(1, max_n + 1):
+        here = F.col("n") == n
+        gram = gram.when(here, F.concat(*[F.col(f"_p{k}") for k in range(1, n)], F.col(f"_t{n}")))
+        after = after.when(here, F.col(f"after{n}"))
+    grams = rows.select(id_col, "start", "n", gram.alias("gram"), F.col("before1").alias("before"), after.alias("after"))
+    hits = lookup_join(grams, wanted.drop("_head"), ["gram", "n"], "inner", spread_by=[id_col, "start"])
     hits = hits.where((~F.col("_before") | F.col("before")) & (~F.col("_after") | F.col("after")))
     return hits.groupBy(id_col, "pos").agg(F.min("skill").alias("skill"))

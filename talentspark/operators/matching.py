@@ -46,11 +46,12 @@ def match_pairs(
     if not 1 <= min_score <= 100:
         raise ValueError("min_score must be between 1 and 100")
     set_key = F.md5(F.array_join("words", " "))
-    resume_sets = settle_table(
-        resumes.where(F.size("words") > 0).select("resume_id", "words", set_key.alias("r")), "resume-keywords"
+    # empty sets are dropped on reading: a filter here would extract the keywords twice
+    resume_sets = settle_table(resumes.select("resume_id", "words", set_key.alias("r")), "resume-keywords").where(
+        F.size("words") > 0
     )
-    job_sets = settle_table(
-        jobs.where(F.size("words") > 0).select("job_id", "words", set_key.alias("j")), "job-keywords"
+    job_sets = settle_table(jobs.select("job_id", "words", set_key.alias("j")), "job-keywords").where(
+        F.size("words") > 0
     )
     r_sets = resume_sets.select("r", "words").dropDuplicates(["r"])
     j_sets = job_sets.select("j", "words").dropDuplicates(["j"])

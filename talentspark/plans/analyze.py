@@ -37,6 +37,15 @@ def extract_skills(
     return E.merge_model_skills(found, entities, lex, id_col)
 
 
+def _placed(clean: DataFrame, id_col: str) -> DataFrame:
+    """Texts placed by id once; the skill groups and the join with them need no other shuffle.
+
+    The join would drop missing ids on one side only, which would keep Spark from sharing the
+    shuffle between the two sides, so they are dropped here.
+    """
+    return clean.where(F.col(id_col).isNotNull()).repartition(F.col(id_col))
+
+
 def _with_skills(docs: DataFrame, id_col: str, skills: DataFrame) -> DataFrame:
     none = F.create_map().cast("map<string,struct<unit:string,start:int,end:int>>")
     joined = docs.join(_skill_maps(skills, id_col), id_col, "left")
@@ -49,8 +58,7 @@ def analyze_jobs(
 ) -> DataFrame:
     """(id, cleaned_job_desc, skills, education); blank texts are left out."""
     good, _ = validate(jobs.select(id_col, text_col), text_col)
-    # placed by id once: the skill groups and the join below reuse it
-    clean = good.select(id_col, text_sanitize(F.col(text_col)).alias("cleaned_job_desc")).repartition(F.col(id_col))
+    clean = _placed(good.select(id_col, text_sanitize(F.col(text_col)).alias("cleaned_job_desc")), id_col)
     return _with_skills(
         clean, id_col, extract_skills(clean, id_col, "cleaned_job_desc", lex, entities)
     )
@@ -93,7 +101,7 @@ def analyze_resumes(
     The classifier cleans its input itself, so it sees the text cleaned twice (``[EMAIL]``
     has become ``EMAIL``), while skills come from the text cleaned once.
     """
-    clean = clean_resumes(resumes, id_col, text_col, entity_spans).repartition(F.col(id_col))
+    clean = _placed(clean_resumes(resumes, id_col, text_col, entity_spans), id_col)
     skills = extract_skills(clean, id_col, "cleaned_resume", lex, entities)
     twice = clean.withColumn("text", redact_serving(F.col("cleaned_resume")))
     return _with_skills(categories(twice, model, top_k).drop("text"), id_col, skills)

@@ -41,8 +41,7 @@ def page_window(landed: DataFrame, max_pages: int | None = 3) -> DataFrame:
     stops = (
         landed.where(F.col("source").isin([f.name for f in paged]))
         .select("source", F.coalesce("skill", F.lit("")).alias("_term"), stop.alias("_stop"))
-        .where(F.col("_stop").isNotNull())
-        .groupBy("source", "_term").agg(F.min("_stop").alias("_stop"))
+        .groupBy("source", "_term").agg(F.min("_stop").alias("_stop")).where(F.col("_stop").isNotNull())
     )
     if max_pages is not None:
         limit = F
