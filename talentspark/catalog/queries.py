@@ -719,7 +719,9 @@ def _trained(spark, sf, costs, weights) -> train.Training:
     )
 
 
-@query("embed_text")
+@query("embed_text", r"""
+    SELECT doc_id, CAST(length(text) AS DOUBLE) AS dim0, CAST(len(regexp_extract_all(text, ' ')) AS DOUBLE) AS dim1,
+        CAST(len(regexp_extract_all(text, '\p{Lu}')) AS DOUBLE) AS dim2 FROM documents""")
 def embed_text(spark, sf):
     def load():
         import numpy as np
@@ -729,7 +731,8 @@ def embed_text(spark, sf):
 
         return encode
 
-    return T.documents(spark, sf).select("doc_id", FT.embed_with(F.col("text"), load).alias("embedding"))
+    embedded = T.documents(spark, sf).select("doc_id", FT.embed_with(F.col("text"), load).alias("embedding"))
+    return embedded.select("doc_id", *[F.get("embedding", F.lit(i)).cast("double").alias(f"dim{i}") for i in range(3)])
 
 
 @query("train_svc")

@@ -5,7 +5,7 @@ from collections.abc import Callable, Iterator
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.feature import (
-    IDF, CountVectorizer, ElementwiseProduct, HashingTF, Normalizer, RegexTokenizer,
+    IDF, CountVectorizer, ElementwiseProduct, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer,
 )
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentspark.functions.text import simple_normalize, words
-from talentspark.operators.grams import gram_rows
+from talentspark.operators.grams import run_rows
 from talentspark.operators.joins import lookup_join
 
 # fixed values: vectoriser settings
@@ -32,7 +32,14 @@ def _term_rows(docs: DataFrame, id_col: str, text_col: str, max_n: int) -> DataF
     (id, gram) needs no shuffle of the far larger gram rows."""
     placed = docs.select(id_col, text_col).repartition(F.col(id_col))
     tokens = placed.select(id_col, term_tokens(F.col(text_col)).alias("_tokens"))
-    return gram_rows(tokens, id_col, list(range(1, max_n + 1))).select(id_col, F.col("gram").alias("term"))
+    rows = run_rows(tokens, id_col, {"t": "_tokens"}, max_n)
+    blank = F.lit(" ")
+    # concat gives null where a run reaches past the end of its text
+    grams = [
+        F.concat(F.col("t1"), *[x for k in range(2, n + 1) for x in (blank, F.col(f"t{k}"))])
+        for n in range(1, max_n + 1)
+    ]
+    return rows.select(id_col, F.explode(F.array(*grams)).alias("term")).where(F.col("term").isNotNull())
 
 
 def term_stats(
@@ -122,25 +129,25 @@ class SmoothedIdf(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, D
         )
 
 
-def gram_list(c: Column, max_n: int = MAX_NGRAM) -> Column:
-    """All 1..max_n-grams of a text as one array, the input of the vectoriser."""
-    tokens = term_tokens(c)
-    grams, lists = tokens, [tokens]
-    for n in range(2, max_n + 1):
-        following = F.slice(tokens, n, F.greatest(F.size(tokens), F.lit(1)))
-        grams = F.zip_with(grams, following, lambda a, b: F.concat(a, F.lit(" "), b))
-        lists.append(F.filter(grams, lambda g: g.isNotNull()))
-    return F.concat(*lists)
+def term_lists(input_col: str) -> Pipeline:
+    """Array columns ``grams1``, ``grams2``, ``grams3``: all 1..n-grams of a text, repeats included."""
+    return Pipeline(stages=[
+        RegexTokenizer(inputCol=input_col, outputCol="grams1", gaps=False, pattern="[a-z]+", minTokenLength=2),
+        NGram(n=2, inputCol="grams1", outputCol="_pairs"),
+        NGram(n=3, inputCol="grams1", outputCol="_triples"),
+        SQLTransformer(statement="SELECT *, concat(grams1, _pairs) AS grams2, "
+                                 "concat(grams1, _pairs, _triples) AS grams3 FROM __THIS__"),
+    ])
 
 
-def tfidf_vectors(
-    input_col: str, output_col: str = "features", min_df: int = MIN_DF, max_df: float = MAX_DF,
+def tfidf_stages(
+    input_col: str = "grams3", output_col: str = "features", min_df: int = MIN_DF, max_df: float = MAX_DF,
     max_features: int = MAX_FEATURES,
-) -> Pipeline:
-    """The same weights as ``tfidf`` as sparse vectors, from a gram-list column."""
+) -> list:
+    """The same weights as ``tfidf`` as sparse vectors, from a column of ``term_lists``."""
     counts, weighted = f"{output_col}_counts", f"{output_col}_weighted"
-    return Pipeline(stages=[
+    return [
         CountVectorizer(inputCol=input_col, outputCol=counts, vocabSize=max_features, minDF=min_df, maxDF=max_df),
         SmoothedIdf(inputCol=counts, outputCol=weighted),
         Normalizer(inputCol=weighted, outputCol=output_col, p=2.0),
-    ])
+    ]

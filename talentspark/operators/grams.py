@@ -20,26 +20,6 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
 
 
-def gram_rows(docs: DataFrame, id_col: str, lengths: list[int]) -> DataFrame:
-    """(id, start, n, gram) for each run of n tokens in the array column ``_tokens``.
-
-    Longer grams are built from the next shorter ones, and only the id travels with the
-    exploded rows.
-    """
-    df = docs.select(id_col, F.col("_tokens").alias("_g1"))
-    for n in range(2, max(lengths) + 1):
-        following = F.slice("_g1", n, F.greatest(F.size("_g1"), F.lit(1)))
-        df = df.withColumn(
-            f"_g{n}", F.zip_with(f"_g{n - 1}", following, lambda a, b: F.concat(a, F.lit(" "), b))
-        )
-    per_length = F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"_g{n}").alias("grams")) for n in lengths])
-    return (
-        df.select(id_col, F.explode(per_length).alias("_l"))
-        .select(id_col, F.col("_l.n").alias("n"), F.posexplode("_l.grams").alias("start", "gram"))
-        .where(F.col("gram").isNotNull())
-    )
-
-
 def run_rows(docs: DataFrame, id_col: str, arrays: dict[str, str], max_n: int) -> DataFrame:
     """(id, start, <name>1 .. <name>max_n, ...): per position the next ``max_n`` elements of each
     array column, null past the end. ``arrays`` gives name -> column."""

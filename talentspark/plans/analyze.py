@@ -1,6 +1,7 @@
 """Resume and job analysis: the two analysis requests as table jobs."""
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,37 +65,45 @@ def analyze_jobs(
     )
 
 
-def categories(df: DataFrame, model: PipelineModel, top_k: int = 2) -> DataFrame:
-    """Add ``categories`` (best first) to a frame that holds the model's input column."""
-    predicted = model.transform(df)
+def categories(df: DataFrame, model: PipelineModel, top_k: int = 2, embed=None) -> DataFrame:
+    """Add ``categories`` (best first) to a frame with a column ``text``.
+
+    ``embed`` (text column -> array<float>) stands in for a model without text stages.
+    """
+    given = df if embed is None else df.withColumn("features", array_to_vector(embed(F.col("text"))))
+    predicted = model.transform(given)
     return predicted.select(
         *df.columns, top_k_classes(decision_scores(predicted), classes_of(model), top_k).alias("categories")
     )
 
 
-def classify_resumes(
-    resumes: DataFrame, id_col: str, text_col: str, model: PipelineModel, top_k: int = 2,
-    entity_spans=None,
-) -> DataFrame:
-    """(id, categories): clean, embed, score, keep the best classes."""
-    cleaned = clean_resumes(resumes, id_col, text_col, entity_spans)
-    return categories(cleaned.withColumnRenamed("cleaned_resume", "text"), model, top_k).select(id_col, "categories")
+def _redacted(df: DataFrame, from_col: str, to_col: str, entity_spans) -> DataFrame:
+    """Redaction by pattern, then of the entities that ``entity_spans`` (text column -> spans
+    column) finds in the redacted text."""
+    clean = df.withColumn(to_col, redact_serving(F.col(from_col)))
+    if entity_spans is None:
+        return clean
+    text = F.col(to_col)
+    return clean.withColumn(to_col, redact_spans(text, entity_spans(text)))
 
 
 def clean_resumes(resumes: DataFrame, id_col: str, text_col: str, entity_spans=None) -> DataFrame:
-    """(id, cleaned_resume): redaction by pattern, then of the entities that ``entity_spans``
-    (text column -> spans column) finds in the redacted text."""
+    """(id, cleaned_resume); blank texts are left out."""
     good, _ = validate(resumes.select(id_col, text_col), text_col)
-    clean = good.select(id_col, redact_serving(F.col(text_col)).alias("cleaned_resume"))
-    if entity_spans is None:
-        return clean
-    text = F.col("cleaned_resume")
-    return clean.select(id_col, redact_spans(text, entity_spans(text)).alias("cleaned_resume"))
+    return _redacted(good, text_col, "cleaned_resume", entity_spans).select(id_col, "cleaned_resume")
+
+
+def classify_resumes(
+    resumes: DataFrame, id_col: str, text_col: str, model: PipelineModel, top_k: int = 2, entity_spans=None, embed=None,
+) -> DataFrame:
+    """(id, categories): clean, embed, score, keep the best classes."""
+    cleaned = clean_resumes(resumes, id_col, text_col, entity_spans).withColumnRenamed("cleaned_resume", "text")
+    return categories(cleaned, model, top_k, embed).select(id_col, "categories")
 
 
 def analyze_resumes(
     resumes: DataFrame, id_col: str, text_col: str, model: PipelineModel, lex: grams.Lexicon, top_k: int = 2,
-    entity_spans=None, entities: DataFrame | None = None,
+    entity_spans=None, entities: DataFrame | None = None, embed=None,
 ) -> DataFrame:
     """(id, cleaned_resume, education, categories, skills).
 
@@ -103,5 +112,5 @@ def analyze_resumes(
     """
     clean = _placed(clean_resumes(resumes, id_col, text_col, entity_spans), id_col)
     skills = extract_skills(clean, id_col, "cleaned_resume", lex, entities)
-    twice = clean.withColumn("text", redact_serving(F.col("cleaned_resume")))
-    return _with_skills(categories(twice, model, top_k).drop("text"), id_col, skills)
+    twice = _redacted(clean, "cleaned_resume", "text", entity_spans)
+    return _with_skills(categories(twice, model, top_k, embed).drop("text"), id_col, skills)

@@ -2,7 +2,8 @@
 
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from talentspark.functions import patterns as P
 from talentspark.functions.scores import label_rank
 from talentspark.operators import learning as L
 from talentspark.operators import metrics as M
-from talentspark.operators.features import hashed_embedding
+from talentspark.operators.features import hashed_embedding, term_lists, tfidf_stages
 from talentspark.operators.splits import stratified_kfold, stratified_split
 from talentspark.session import settle_table
 
@@ -38,43 +39,76 @@ def fit_text_model(rows: DataFrame, class_col: str, text_col: str, max_iter: int
     features = hashed_embedding(text_col).fit(rows)
     labels = L.index_labels(rows, class_col)
     vectors = settle_table(labels.transform(features.transform(rows)).select("label", "features"), "vectors")
-    return L.text_model(features, L.LinearSvm(maxIter=max_iter, **svm).fit(vectors), labels.labels)
+    return L.text_model(features, [L.LinearSvm(maxIter=max_iter, **svm).fit(vectors)], labels.labels)
+
+
+def _parts(dataset, id_col, class_col, text_col, folds, synthetic) -> DataFrame:
+    """(id, class, text, is_test, fold); rows without a class are left out, synthetic rows train only."""
+    rows = dataset.where(F.col(class_col).isNotNull()).select(
+        id_col, F.col(class_col).alias("class"), F.col(text_col).alias("text")
+    )
+    parts = stratified_kfold(stratified_split(rows, "class", id_col), "class", id_col, folds)
+    if synthetic is None:
+        return parts
+    return parts.unionByName(synthetic.select(
+        F.lit(None).cast(rows.schema[id_col].dataType).alias(id_col), "class", "text",
+        F.lit(False).alias("is_test"), F.pmod(F.xxhash64("text"), F.lit(folds)).cast("int").alias("fold"),
+    ))
+
+
+def _tune(vectors, features, labels, estimator, grid, folds) -> Training:
+    train, test = vectors.where("not is_test"), vectors.where("is_test")
+    search = L.grid_search(train, estimator, grid, "fold", folds)
+    best = search.bestModel.stages if isinstance(search.bestModel, PipelineModel) else [search.bestModel]
+    model = L.text_model(features, best, labels.labels)
+
+    def predict(part: DataFrame) -> DataFrame:
+        for stage in model.stages[len(features.stages):]:
+            part = stage.transform(part)
+        return part
+
+    return Training(model, L.cv_scores(search, grid), predict(train), predict(test))
 
 
 def train_classifier(
     dataset: DataFrame, id_col: str, class_col: str, text_col: str, costs=L.COSTS,
     class_weights=L.CLASS_WEIGHTS, folds: int = P.FOLDS, max_iter: int = L.MAX_ITER, synthetic: DataFrame | None = None,
+    embed=None,
 ) -> Training:
-    """Train on 70 % of each class with the best settings of the grid.
+    """Train on 70 % of each class with the best settings of the grid, on embeddings.
 
-    Rows without a class are left out. Vectors are computed once and kept as a table, as
-    every fit reads them again. ``synthetic`` (text, class) is added to the training rows only.
+    Vectors are computed once and kept as a table, as every fit reads them again.
+    ``synthetic`` (text, class) is added to the training rows only. ``embed`` (text column ->
+    array<float>, see ``embed_with``) takes the place of the hashed words; the model then starts
+    from a column ``features``.
     """
-    rows = dataset.where(F.col(class_col).isNotNull()).select(
-        id_col, F.col(class_col).alias("class"), F.col(text_col).alias("text")
-    )
-    parts = stratified_kfold(stratified_split(rows, "class", id_col), "class", id_col, folds)
-    if synthetic is not None:
-        extra = synthetic.select(
-            F.lit(None).cast(rows.schema[id_col].dataType).alias(id_col), "class", "text",
-            F.lit(False).alias("is_test"), F.pmod(F.xxhash64("text"), F.lit(folds)).cast("int").alias("fold"),
-        )
-        parts = parts.unionByName(extra)
-    features = hashed_embedding("text").fit(parts)
+    parts = _parts(dataset, id_col, class_col, text_col, folds, synthetic)
     labels = L.index_labels(parts, "class")
+    if embed is None:
+        features = hashed_embedding("text").fit(parts)
+    else:
+        features = PipelineModel(stages=[])
+        parts = parts.withColumn("features", array_to_vector(embed(F.col("text"))))
     vectors = settle_table(
         labels.transform(features.transform(parts)).select("class", "label", "is_test", "fold", "features"), "vectors"
     )
-    train, test = vectors.where("not is_test"), vectors.where("is_test")
-
     svm = L.LinearSvm(maxIter=max_iter)
-    grid = L.parameter_grid(svm, costs, class_weights)
-    search = L.grid_search(train.select("label", "fold", "features"), svm, grid, "fold", folds)
-    model = L.text_model(features, search.bestModel, labels.labels)
+    return _tune(vectors, features, labels, svm, L.parameter_grid(svm, costs, class_weights), folds)
 
-    def predict(part: DataFrame) -> DataFrame:
-        for stage in model.stages[-2:]:
-            part = stage.transform(part)
-        return part
 
-    return Training(model, L.cv_scores(search, grid), predict(train), predict(test))
+def train_on_terms(
+    dataset: DataFrame, id_col: str, class_col: str, text_col: str, folds: int = P.FOLDS,
+    max_iter: int = L.MAX_ITER, synthetic: DataFrame | None = None, **grid,
+) -> Training:
+    """The same on TF-IDF weights. The vocabulary belongs to the fit, so each fold has its own;
+    ``grid`` takes ``max_ns``, ``min_dfs``, ``sizes`` and ``costs``."""
+    parts = _parts(dataset, id_col, class_col, text_col, folds, synthetic)
+    features, labels = term_lists("text").fit(parts), L.index_labels(parts, "class")
+    terms = settle_table(
+        labels.transform(features.transform(parts)).select(
+            "class", "label", "is_test", "fold", "grams1", "grams2", "grams3"), "terms"
+    )
+    stages, svm = tfidf_stages(), L.LinearSvm(maxIter=max_iter)
+    return _tune(
+        terms, features, labels, Pipeline(stages=[*stages, svm]), L.tfidf_grid(stages[0], svm, **grid), folds
+    )

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from talentspark.operators import grams as G
 from talentspark.operators import learning as L
+from talentspark.operators.entities import gazetteer_spans
+from talentspark.operators.features import embed_with
 from talentspark.plans import analyze, dataset, train
 from talentspark.session import scratch_path, settle_table, shared_dir
 from talentspark.sources import files
@@ -128,9 +130,46 @@ def test_training(spark, texts):
     assert result.train_predictions.count() + result.test_predictions.count() == two.count() + 1
 
 
-def test_prepare_dataset_with_entities(spark):
-    from talentspark.operators.entities import gazetteer_spans
+def test_training_on_terms(spark, texts, tmp_path):
+    two = texts.where(F.col("class").isin("en", "de"))
+    result = train.train_on_terms(two, "doc_id", "class", "text", folds=2, max_iter=3, max_ns=[1, 2], min_dfs=[2],
+                                  sizes=[500], costs=[0.5])
+    assert [json.loads(r.params)["inputCol"] for r in result.scores.collect()] == ["grams1", "grams2"]
+    assert {r.label: r.f1 for r in result.report("train").collect()}["accuracy"] > 0.9
+    L.save_model(result.model, str(tmp_path / "m"))
+    row = spark.createDataFrame([("the and of is in",)], "text string")
+    assert L.load_model(str(tmp_path / "m")).transform(row).first().category == "en"
+
+
+def test_training_on_a_models_vectors(spark, texts):
+    def load():
+        return lambda batch: [[float(t.count(" the ")), float(t.count(" der ")), 1.0] for t in batch]
+
+    def embed(text):
+        return embed_with(text, load)
+
+    two = texts.where(F.col("class").isin("en", "de"))
+    result = train.train_classifier(two, "doc_id", "class", "text", costs=[0.5], class_weights=["none"], folds=2,
+                                    max_iter=3, embed=embed)
+    got = analyze.classify_resumes(spark.createDataFrame([(1, "of the and the end")], "id long, t string"), "id", "t",
+                                   result.model, 1, embed=embed)
+    assert got.first().categories == ["en"]
+
 
+def test_second_cleaning_sees_entities_again(spark, model):
+    seen = []
+
+    def spans(text):
+        seen.append(text)
+        return gazetteer_spans(text, [("PERSON", "Ann")])
+
+    lex = G.lexicon(spark.createDataFrame([("x", "x")], "phrase string, preferred string"))
+    rows = spark.createDataFrame([(1, "Ann x")], "id long, t string")
+    row = analyze.analyze_resumes(rows, "id", "t", model, lex, entity_spans=spans).first()
+    assert row.cleaned_resume == "[PERSON] x" and len(seen) == 2
+
+
+def test_prepare_dataset_with_entities(spark):
     df = spark.createDataFrame([(1, "DevOps", "Ann at ann@x.example.org, P.O. Box 7")], "resume_id long, Category string, Text string")
     row = dataset.prepare_dataset(df, lambda t: gazetteer_spans(t, [("PERSON", "Ann")])).first()
     assert (row.Mapped_Category, row.Text) == ("Technology", "[PERSON] at [EMAIL], [ADDRESS]")

@@ -232,10 +232,12 @@ def test_tfidf_by_hand(spark):
 
 def test_vectoriser_agrees_with_terms(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    model = FT.tfidf_vectors("grams").fit(docs.select("doc_id", FT.gram_list(F.col("text")).alias("grams")))
+    from pyspark.ml import Pipeline
     from pyspark.ml.functions import vector_to_array
 
-    vectors = model.transform(docs.select("doc_id", FT.gram_list(F.col("text")).alias("grams")))
+    listed = FT.term_lists("text").fit(docs).transform(docs)
+    model = Pipeline(stages=FT.tfidf_stages()).fit(listed)
+    vectors = model.transform(listed)
     sums = dict(pairs(vectors.select("doc_id", F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x * x).alias("s")), "doc_id", "s"))
     counts = dict(pairs(FT.term_stats(docs, "doc_id", "text"), "term", "cf"))
     assert all(s == 0 or abs(s - 1) < 1e-9 for s in sums.values())
