@@ -620,14 +620,14 @@ _TERMS = """
 
 @query("term_stats", f"WITH {_TERMS} SELECT term, df, cf, round(idf, 6) AS idf FROM vocabulary")
 def term_stats(spark, sf):
-    return FT.term_stats(T.load(spark, sf, "documents"), "doc_id", "text").withColumn("idf", F.round("idf", 6))
+    return FT.term_stats(T.documents(spark, sf), "text").withColumn("idf", F.round("idf", 6))
 
 
 @query("tfidf", f"""
     WITH {_TERMS}, weights AS (SELECT doc_id, term, tf * idf AS w FROM tf JOIN vocabulary USING (term))
     SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS tfidf FROM weights""")
 def tfidf(spark, sf):
-    return FT.tfidf(T.load(spark, sf, "documents"), "doc_id", "text").withColumn("tfidf", F.round("tfidf", 6))
+    return FT.tfidf(T.documents(spark, sf), "doc_id", "text").withColumn("tfidf", F.round("tfidf", 6))
 
 
 # given predictions: the class with the highest of ten given scores

@@ -168,10 +168,10 @@ def all_listings() -> str:
             f"SELECT {text(c['source'])} AS source, {ord_} AS source_ord, "
             "((seq // 20 + 1) << 20) + seq % 20 AS fetch_ord, "
             + ", ".join(f"{c[k]} AS {k}" for k in ("job_id", "title", "company", "location", "url", "description"))
-            + f" FROM dealt WHERE page_id % 9 = {ord_}"
+            + f" FROM dealt WHERE feed = {ord_}"
         )
     return (
-        f"WITH dealt AS (SELECT *, page_id // 9 AS seq, CAST((page_id // 9) // 2 AS VARCHAR) AS id FROM ({PAGES})) "
+        f"WITH dealt AS (SELECT *, page_id % 9 AS feed, page_id // 9 AS seq, CAST((page_id // 9) // 2 AS VARCHAR) AS id FROM ({PAGES})) "
         + " UNION ALL ".join(parts)
     )
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from talentspark.functions.text import simple_normalize, words
 from talentspark.operators.grams import run_rows
 from talentspark.operators.joins import lookup_join
+from talentspark.session import settle, settle_table
 
 # fixed values: vectoriser settings
 MIN_DF, MAX_DF, MAX_FEATURES, MAX_NGRAM = 2, 0.95, 5_000, 3
@@ -27,44 +28,80 @@ def term_tokens(c: Column) -> Column:
     return F.regexp_extract_all(simple_normalize(c), F.lit("[a-z]{2,}"), F.lit(0))
 
 
-def _term_rows(docs: DataFrame, id_col: str, text_col: str, max_n: int) -> DataFrame:
-    """(id, gram): all 1..max_n-grams. Texts are placed by id first, so that counting per
-    (id, gram) needs no shuffle of the far larger gram rows."""
-    placed = docs.select(id_col, text_col).repartition(F.col(id_col))
-    tokens = placed.select(id_col, term_tokens(F.col(text_col)).alias("_tokens"))
-    rows = run_rows(tokens, id_col, {"t": "_tokens"}, max_n)
-    blank = F.lit(" ")
-    # concat gives null where a run reaches past the end of its text
-    grams = [
-        F.concat(F.col("t1"), *[x for k in range(2, n + 1) for x in (blank, F.col(f"t{k}"))])
-        for n in range(1, max_n + 1)
-    ]
-    return rows.select(id_col, F.explode(F.array(*grams)).alias("term")).where(F.col("term").isNotNull())
+def _gram_array(tokens: str, n: int) -> Column:
+    """All runs of n tokens, repeats included."""
+    count = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+    grams = F.slice(tokens, F.lit(1), count)
+    for k in range(2, n + 1):
+        grams = F.zip_with(grams, F.slice(tokens, F.lit(k), count), lambda a, b: F.concat(a, F.lit(" "), b))
+    return grams
+
+
+def _gram_counts(tokens: DataFrame, n: int, frequent: DataFrame | None) -> DataFrame:
+    """(term, df, cf) of the n-grams whose first and last n - 1 words are ``frequent`` terms.
+
+    A row of a text yields its grams to count occurrences, and its distinct grams to count
+    texts. Both are summed per task before the shuffle, and texts are not shuffled at all.
+    """
+    per_text = tokens.select(_gram_array("_tokens", n).alias("_g")).select(F.explode(F.array(
+        F.struct(F.lit(1).alias("cf"), F.lit(0).alias("df"), F.col("_g").alias("grams")),
+        F.struct(F.lit(0).alias("cf"), F.lit(1).alias("df"), F.array_distinct("_g").alias("grams")),
+    )).alias("_c"))
+    rows = per_text.select("_c.cf", "_c.df", F.explode("_c.grams").alias("term"))
+    if frequent is not None:
+        for part in (F.substring_index("term", " ", n - 1), F.substring_index("term", " ", 1 - n)):
+            rows = lookup_join(
+                rows.withColumn("_part", part), frequent.select(F.col("term").alias("_part")), ["_part"], "left_semi",
+                ["term"],
+            ).drop("_part")
+    return rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
 def term_stats(
-    docs: DataFrame, id_col: str, text_col: str, max_n: int = MAX_NGRAM, min_df: int = MIN_DF,
+    docs: DataFrame, text_col: str, max_n: int = MAX_NGRAM, min_df: int = MIN_DF,
     max_df: float = MAX_DF, max_features: int = MAX_FEATURES,
 ) -> DataFrame:
     """(term, df, cf, idf): the ``max_features`` terms with the highest total count (then in
-    string order) among those in at least ``min_df`` texts and at most ``max_df`` of them."""
-    n = docs.agg(F.count(F.lit(1))).scalar()
-    counts = (
-        _term_rows(docs, id_col, text_col, max_n)
-        .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-        .groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-    )
-    kept = counts.where((F.col("df") >= min_df) & (F.col("df") <= n * max_df))
-    top = kept.orderBy(F.desc("cf"), "term").limit(max_features)
-    return top.withColumn("idf", F.log((n + 1) / (F.col("df") + 1)) + 1)
+    string order) among those in at least ``min_df`` texts and at most ``max_df`` of them.
+
+    Exact, but without counting every n-gram: a gram is no more frequent than the shorter grams
+    in it. So once ``max_features`` shorter terms are known, longer ones are counted only if
+    their parts reach the lowest count among those.
+    """
+    n_texts = docs.count()
+    tokens = docs.select(term_tokens(F.col(text_col)).alias("_tokens"))
+    best = [F.desc("cf"), F.asc("term")]
+    top = frequent = None
+    for n in range(1, max_n + 1):
+        counts = settle_table(_gram_counts(tokens, n, frequent), "term-counts")
+        kept = counts.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_texts))
+        top = settle((kept if top is None else top.unionByName(kept)).orderBy(*best).limit(max_features))
+        found, lowest = top.agg(F.count(F.lit(1)), F.min("cf")).first()
+        bound = lowest if found == max_features else 0
+        frequent = counts.where((F.col("df") >= min_df) & (F.col("cf") >= bound))
+    return top.withColumn("idf", F.log((F.lit(n_texts) + 1) / (F.col("df") + 1)) + 1)
 
 
 def tfidf(docs: DataFrame, id_col: str, text_col: str, max_n: int = MAX_NGRAM, **limits) -> DataFrame:
-    """(id, term, tfidf): count times idf, scaled to length 1 per text."""
-    vocabulary = term_stats(docs, id_col, text_col, max_n, **limits).select("term", "idf")
+    """(id, term, tfidf): count times idf, scaled to length 1 per text.
+
+    Texts are placed by id once; counting and scaling per text then need no other shuffle.
+    """
+    vocabulary = term_stats(docs, text_col, max_n, **limits).select("term", "idf")
+    placed = docs.select(id_col, text_col).repartition(F.col(id_col))
+    runs = run_rows(
+        placed.select(id_col, term_tokens(F.col(text_col)).alias("_tokens")), id_col, {"t": "_tokens"}, max_n
+    )
+    # concat gives null where a run reaches past the end of its text
+    grams = [
+        F.concat(F.col("t1"), *[x for k in range(2, n + 1) for x in (F.lit(" "), F.col(f"t{k}"))])
+        for n in range(1, max_n + 1)
+    ]
+    rows = runs.select(id_col, F.explode(F.array(*grams)).alias("term"))
     # max_features bounds the vocabulary, so it is broadcast and drops other grams at once
-    rows = _term_rows(docs, id_col, text_col, max_n).join(F.broadcast(vocabulary), "term")
-    weights = rows.groupBy(id_col, "term").agg((F.count(F.lit(1)) * F.first("idf")).alias("w"))
+    weights = rows.join(F.broadcast(vocabulary), "term").groupBy(id_col, "term").agg(
+        (F.count(F.lit(1)) * F.first("idf")).alias("w")
+    )
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
     return weights.select(id_col, "term", (F.col("w") / norm).alias("tfidf"))
 

@@ -56,7 +56,12 @@ def match_pairs(
     r_sets = resume_sets.select("r", "words").dropDuplicates(["r"])
     j_sets = job_sets.select("j", "words").dropDuplicates(["j"])
 
-    r_words = r_sets.select("r", F.size("words").alias("_size"), F.explode("words").alias("word"))
+    # words that no job asks for count towards no score
+    asked = settle_table(j_sets.select(F.explode("words").alias("word")).distinct(), "job-words")
+    r_words = lookup_join(
+        r_sets.select("r", F.size("words").alias("_size"), F.explode("words").alias("word")), asked, ["word"], "left_semi",
+        ["r", "word"],
+    )
     frequency = settle_table(r_words.groupBy("word").agg(F.count(F.lit(1)).alias("df")), "keyword-counts")
     n = F.size("words")
     need = F.greatest(F.ceil(n * (min_score - 0.5) / 100 - 1e-9), F.lit(1)).cast("int")

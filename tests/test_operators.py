@@ -221,15 +221,28 @@ def test_fold_sizes(classed):
 def test_tfidf_by_hand(spark):
     texts = ["red apple red", "red apple pie", "a green pie"]
     docs = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
-    stats = {r.term: (r.df, r.cf, r.idf) for r in FT.term_stats(docs, "id", "t", max_df=1.0).collect()}
+    stats = {r.term: (r.df, r.cf, r.idf) for r in FT.term_stats(docs, "t", max_df=1.0).collect()}
     idf = math.log(4 / 3) + 1
     assert stats == {"red": (2, 3, pytest.approx(idf)), "apple": (2, 2, pytest.approx(idf)), "pie": (2, 2, pytest.approx(idf)),
                      "red apple": (2, 2, pytest.approx(idf))}
-    assert set(r.term for r in FT.term_stats(docs, "id", "t", max_df=1.0, max_features=2).collect()) == {"red", "apple"}
+    assert set(r.term for r in FT.term_stats(docs, "t", max_df=1.0, max_features=2).collect()) == {"red", "apple"}
     weights = {(r.id, r.term): r.tfidf for r in FT.tfidf(docs, "id", "t", max_df=1.0).collect()}
     assert weights[0, "red"] == pytest.approx(2 / math.sqrt(6)) and weights[2, "pie"] == pytest.approx(1.0)
 
 
+@pytest.mark.parametrize("max_features", [1, 5, 12, 40, 1000])
+def test_term_pruning_loses_nothing(spark, max_features):
+    rng = random.Random(max_features)
+    texts = [" ".join(rng.choices(["aa", "bb", "cc", "dd", "ee", "ff"], [9, 7, 5, 2, 1, 1], k=rng.randint(0, 9))) for _ in range(30)]
+    grams = [[" ".join(t.split()[i:i + n]) for n in (1, 2, 3) for i in range(len(t.split()) - n + 1)] for t in texts]
+    cf = collections.Counter(g for text in grams for g in text)
+    df = collections.Counter(g for text in grams for g in set(text))
+    want = sorted((g for g in cf if 3 <= df[g] <= 0.8 * 30), key=lambda g: (-cf[g], g))[:max_features]
+    docs = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = FT.term_stats(docs, "t", min_df=3, max_df=0.8, max_features=max_features)
+    assert pairs(got, "term", "df", "cf") == sorted((g, df[g], cf[g]) for g in want)
+
+
 def test_vectoriser_agrees_with_terms(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     from pyspark.ml import Pipeline
@@ -239,7 +252,7 @@ def test_vectoriser_agrees_with_terms(spark, sf):
     model = Pipeline(stages=FT.tfidf_stages()).fit(listed)
     vectors = model.transform(listed)
     sums = dict(pairs(vectors.select("doc_id", F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x * x).alias("s")), "doc_id", "s"))
-    counts = dict(pairs(FT.term_stats(docs, "doc_id", "text"), "term", "cf"))
+    counts = dict(pairs(FT.term_stats(docs, "text"), "term", "cf"))
     assert all(s == 0 or abs(s - 1) < 1e-9 for s in sums.values())
     # terms with the lowest count that still fits are ties, of which either may keep others
     assert {t for t, n in counts.items() if n > min(counts.values())} <= set(model.stages[0].vocabulary)
