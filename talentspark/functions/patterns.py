@@ -75,6 +75,17 @@ CATEGORIES = {
 }
 CATEGORY_PAIRS = [(raw, broad) for broad, raws in CATEGORIES.items() for raw in raws]
 
+# --- fixed values: the text document of a job ---
+DESCRIPTION_DIR = "job_descriptions"
+DESCRIPTION_LABELS = {
+    "title": "Title          : ",
+    "company": "Company        : ",
+    "location": "Location       : ",
+    "matched_skills": "Matched Skills : ",
+}
+NO_SKILLS = "None"
+DESCRIPTION_RULE = "─" * 60
+
 # --- fixed values: upload types ---
 ACCEPTED_TYPES = {
     "pdf": "application/pdf",

@@ -3,10 +3,10 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talentspark.functions import patterns as P
 from talentspark.functions.text import has_whole_word, sanitize_filename
 from talentspark.operators.grams import skill_table, whole_word_hits
 
-DESCRIPTION_DIR = "job_descriptions"
 # up to this many skills each is tested as a literal; longer lists go through an n-gram join
 MAX_LITERALS = 50
 
@@ -68,7 +68,7 @@ def file_name(source: Column, job_id: Column, title: Column) -> Column:
 
 def with_description_file(scored: DataFrame) -> DataFrame:
     name = file_name(F.col("source"), F.col("job_id"), F.col("title"))
-    return scored.withColumn("description_file", F.concat(F.lit(DESCRIPTION_DIR + "/"), name))
+    return scored.withColumn("description_file", F.concat(F.lit(P.DESCRIPTION_DIR + "/"), name))
 
 
 def build_rows(scored: DataFrame) -> DataFrame:
@@ -78,14 +78,11 @@ def build_rows(scored: DataFrame) -> DataFrame:
 
 def descriptions(scored: DataFrame) -> DataFrame:
     """(source, file_name, content): the text document of each matching listing."""
-    matched = F.coalesce(F.nullif("matched_skills", F.lit("")), F.lit("None"))
-    content = F.concat(
-        F.lit("Title          : "), F.col("title"),
-        F.lit("\nCompany        : "), F.col("company"),
-        F.lit("\nLocation       : "), F.col("location"),
-        F.lit("\nMatched Skills : "), matched,
-        F.lit("\n" + "─" * 60 + "\n\n"), F.col("description"), F.lit("\n"),
-    )
+    matched = F.coalesce(F.nullif("matched_skills", F.lit("")), F.lit(P.NO_SKILLS))
+    values = {"title": F.col("title"), "company": F.col("company"), "location": F.col("location"), "matched_skills": matched}
+    head = [F.concat(F.lit(label), values[name]) for name, label in P.DESCRIPTION_LABELS.items()]
+    lines = F.array(*head, F.lit(P.DESCRIPTION_RULE), F.lit(""), F.col("description"), F.lit(""))
+    content = F.array_join(lines, "\n")
     name = file_name(F.col("source"), F.col("job_id"), F.col("title"))
     return scored.where("skills_matched > 0").select("source", name.alias("file_name"), content.alias("content"))
 

@@ -56,6 +56,10 @@ def _json(envelope: str, item_ddl: str) -> Callable[[Column], Column]:
     return lambda payload: json_items(payload, envelope, f"struct<{item_ddl}>")
 
 
+# --- fixed values of the mappings below: field names of each feed and the texts that stand in
+# --- for missing fields
+
+
 def _arbeitnow(j: Column) -> dict[str, Column]:
     remote = j["remote"].isNotNull() & ~j["remote"].isin("false", "0", "")
     return dict(
@@ -156,7 +160,8 @@ def _adzuna(j: Column) -> dict[str, Column]:
     )
 
 
-# in the order in which the feeds are joined into one table
+# --- fixed values: feed names, envelopes, item fields and paging rules, in the order in which
+# --- the feeds are joined into one table
 FEEDS = {
     "arbeitnow": Feed(
         "Arbeitnow", 0,

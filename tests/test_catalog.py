@@ -36,6 +36,8 @@ def rows(columns, values):
 def test_query(spark, sf, con, name):
     df = entry.queries()[name](spark, sf)
     got = rows(df.columns, [tuple(r) for r in df.collect()])
+    plan = df._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     if name not in entry.oracle_sql():
         assert got[1]
         return
