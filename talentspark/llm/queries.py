@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentspark.llm import decontaminate, ngram_join, packing, quality, suffix_dedup
+from talentspark.llm import chat, decontaminate, language, lm_score, ngram_join, packing, quality, suffix_dedup, vectors
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -35,6 +35,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+@query("op2_language")
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(load(spark, sf_dir, "documents"))
+
+
 @query("op3_quality")
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
@@ -46,11 +51,28 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(load(spark, sf_dir, "documents"), 3, 90)
 
 
+@query("op5_chat")
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(turns.unionByName(chat.probe(spark)))
+
+
 @query("op7_packing")
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_pieces(load(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+@query("op8_lm_score")
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = load(spark, sf_dir, "labels").where("quality = 1")
+    return lm_score.score(load(spark, sf_dir, "documents"), good)
+
+
+@query("op9_vectors")
+def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near(load(spark, sf_dir, "embeddings"), 0.98)
+
+
 @query("op10_suffix_dedup")
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(load(spark, sf_dir, "documents"))
