@@ -24,6 +24,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -34,11 +35,11 @@ from talentspark.llm.common import mix, ranges
 
 DIFFER = 0.2
 MIN_WORDS = 5
-WALKS, BANDS, SAMPLE = 3, 10, 3
+WALKS, BANDS, SAMPLE = 10, 6, 2
 STRETCH = 3
 ITEM_BYTES = 16 << 20
-BLOCK_WORDS = 200_000
-PAIR_BITS = 22
+BLOCK_WORDS = 800_000
+PAIR_BITS = 20
 WORD = re.compile(r"\w+")
 MATCH = "array<struct<item_id:bigint,start:int,end:int,distance:int,n_words:int>>"
 
@@ -81,16 +82,17 @@ class Benchmark:
     def prepare(self) -> None:
         self.number = {}
         self.coded = [np.array([self.number.setdefault(w, len(self.number)) for w in item], np.int64) for item in self.items]
-        self.pairs = np.zeros(1 << PAIR_BITS, bool)
+        # one bit per item length (modulo 64): the pairs of items of that length
+        self.pairs = np.zeros(1 << PAIR_BITS, np.uint64)
         for item in self.coded:
-            self.pairs[self.pair(item[:-1], item[1:])] = True
+            self.pairs[self.pair(item[:-1], item[1:])] |= np.uint64(1 << len(item) % 64)
         lengths = sorted({len(item) for item in self.coded})
         self.need = {n: max(n - 1 - 2 * edits(n), 1) for n in lengths}
         # some stretch as long as the shortest item's has at least this many of the pairs
         self.short = lengths[0] + edits(lengths[0])
         self.gate = min(-(-self.need[n] // -(-(n + edits(n)) // self.short)) for n in lengths)
         self.by_length = {n: [k for k, item in enumerate(self.coded) if len(item) == n] for n in lengths}
-        self.keys = {}
+        self.keys, self.made = {}, {}
         for n, members in self.by_length.items():
             flat = np.concatenate([self.coded[k] for k in members])
             self.keys[n] = self.embed(flat, np.arange(len(members)) * n, n)
@@ -99,39 +101,58 @@ class Benchmark:
         h = mix((a.astype(np.uint64) << np.uint64(32)) + b.astype(np.uint64))
         return (h >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
 
+    def walks(self, n: int) -> list[tuple[np.ndarray, list[list[int]]]]:
+        """Of each walk over n words, what steers its steps and the samples that take in each step's word."""
+        if n not in self.made:
+            self.made[n] = []
+            for walk in range(WALKS):
+                rng = np.random.default_rng([self.seed, n, walk])
+                places = [rng.choice(STRETCH * n, SAMPLE, replace=False).tolist() for _ in range(BANDS)]
+                last = max(map(max, places)) + 1
+                steer = rng.integers(1, 1 << 62, last).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+                self.made[n].append((steer, [[b for b in range(BANDS) if j in places[b]] for j in range(last)]))
+        return self.made[n]
+
     def embed(self, codes: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
         """Keys (walk x band, window) of the n-word windows at ``starts``: hashes of sampled places of the walks."""
         out = np.zeros((WALKS * BANDS, len(starts)), np.uint64)
         padded = np.r_[codes, -2]
-        for walk in range(WALKS):
-            rng = np.random.default_rng([self.seed, n, walk])
-            steer = rng.integers(1, 1 << 62, STRETCH * n).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-            places = np.array([rng.choice(STRETCH * n, SAMPLE, replace=False) for _ in range(BANDS)])
+        for walk, (steer, taken) in enumerate(self.walks(n)):
             at = np.zeros(len(starts), np.int64)
-            for j in range(int(places.max()) + 1):
+            for step, bands in zip(steer, taken, strict=True):
                 word = padded[np.where(at < n, starts + at, len(codes))].astype(np.uint64)
-                for band in np.flatnonzero((places == j).any(1)):
+                for band in bands:
                     row = walk * BANDS + band
-                    out[row] = mix(out[row] * np.uint64(31) + word + np.uint64(j + 7))
-                at += ((word + np.uint64(1)) * steer[j] >> np.uint64(63)).astype(np.int64)
+                    out[row] = mix(out[row] * np.uint64(31) + word + np.uint64(7))
+                at += ((word + np.uint64(1)) * step >> np.uint64(63)).astype(np.int64)
         return out
 
     def candidates(self, codes: np.ndarray) -> set[tuple[int, int]]:
         """(window start, item number) that agree on a sample."""
         both = (codes[:-1] >= 0) & (codes[1:] >= 0)
-        hit = np.zeros(len(codes), np.int64)
-        hit[:-1][both] = self.pairs[self.pair(codes[:-1][both], codes[1:][both])]
-        total = np.r_[0, np.cumsum(hit)]
+        held = np.zeros(len(codes), np.uint64)
+        held[:-1][both] = self.pairs[self.pair(codes[:-1][both], codes[1:][both])]
 
-        def within(size: int) -> np.ndarray:
-            ends = np.minimum(np.arange(len(codes)) + size, len(codes))
-            return total[ends] - total[:-1]
+        def within(hit: np.ndarray, size: int) -> np.ndarray:
+            total = np.r_[0, np.cumsum(hit)]
+            return total[np.minimum(np.arange(len(hit)) + size, len(hit))] - total[:-1]
 
         found: set[tuple[int, int]] = set()
-        if not (within(self.short) >= self.gate).any():
+        near = np.flatnonzero(within(held > 0, self.short) >= self.gate)
+        if not len(near):
             return found
+        # go on with the surroundings of such stretches only
+        reach = 2 * max(self.by_length)
+        cut = np.flatnonzero(np.diff(near) > 2 * reach)
+        low = np.maximum(near[np.r_[0, cut + 1]] - reach, 0)
+        high = np.minimum(near[np.r_[cut, len(near) - 1]] + reach, len(codes))
+        spots = np.concatenate([np.r_[np.arange(a, b), np.full(reach, -1)] for a, b in zip(low, high, strict=True)])
+        codes, held = np.where(spots < 0, -1, codes[spots]), np.where(spots < 0, np.uint64(0), held[spots])
         for n, members in self.by_length.items():
-            starts = np.flatnonzero((within(n + edits(n)) >= self.need[n]) & (codes >= 0))
+            enough = within((held >> np.uint64(n % 64)) & np.uint64(1), n + edits(n)) >= self.need[n]
+            starts = np.flatnonzero(enough & (codes >= 0))
+            # a shift by a few words is as many edits, which the walks bear
+            starts = starts[(starts % max(1, edits(n) // 2) == 0) | ~enough[starts - 1] | (codes[starts - 1] < 0)]
             starts = starts[starts + n <= len(codes)]
             if not len(starts):
                 continue
@@ -141,7 +162,7 @@ class Benchmark:
                 low, high = np.searchsorted(i[order], w, "left"), np.searchsorted(i[order], w, "right")
                 some = np.flatnonzero(high > low)
                 which = np.repeat(some, (high - low)[some])
-                found.update(zip(starts[which].tolist(), [members[k] for k in order[ranges(low[some], (high - low)[some])]], strict=True))
+                found.update(zip(spots[starts[which]].tolist(), [members[k] for k in order[ranges(low[some], (high - low)[some])]], strict=True))
         return found
 
     def matches(self, texts: list[str | None]) -> list[list[tuple]]:
@@ -167,23 +188,30 @@ class Benchmark:
         for text in texts:
             found = words(text)
             begin.append(at)
-            parts += [np.fromiter((get(w, -1) for w in found), np.int64, len(found)), gap]
+            parts += [np.fromiter(map(get, found, repeat(-1)), np.int64, len(found)), gap]
             at += len(found) + len(gap)
         codes, begin = np.concatenate(parts), np.array(begin + [at])
-        done: set[tuple[int, int, int]] = set()
         reached: dict[tuple[int, int], int] = {}
+        starts: dict[tuple[int, int], list[int]] = {}
         for start, k in sorted(self.candidates(codes)):
-            item = self.coded[k]
-            doc = int(np.searchsorted(begin, start, "right")) - 1
-            if doc < 0 or start < reached.get((doc, k), 0):
-                continue
-            d = edits(len(item))
-            low = max(start - d, int(begin[doc]))
-            distance, first, end = align(item, codes[low:min(start + len(item) + 2 * d, int(begin[doc + 1]) - len(gap))])
-            if distance <= d and (doc, k, low + first) not in done:
-                done.add((doc, k, low + first))
-                reached[doc, k] = low + end
-                out[doc].append((k, low + first - int(begin[doc]), low + end - int(begin[doc]), distance))
+            starts.setdefault((int(np.searchsorted(begin, start, "right")) - 1, k), []).append(start)
+        for (doc, k), own in starts.items():
+            item, at = self.coded[k], 0
+            n, d = len(item), edits(len(item))
+            while at < len(own):
+                # neighbouring windows are verified together
+                low, at = own[at], int(np.searchsorted(own, own[at] + n // 2, "right"))
+                last = own[at - 1]
+                if last < reached.get((doc, k), 0):
+                    continue
+                low = max(low - d, int(begin[doc]), reached.get((doc, k), 0))
+                passage = codes[low:min(last + n + 2 * d, int(begin[doc + 1]) - len(gap))]
+                if np.isin(item, passage).sum() < n - d:
+                    continue
+                distance, first, end = align(item, passage)
+                if distance <= d:
+                    reached[doc, k] = low + end
+                    out[doc].append((k, low + first - int(begin[doc]), low + end - int(begin[doc]), distance))
         for doc, found in enumerate(out):
             if found:
                 places = [m.span() for m in WORD.finditer((texts[doc] or "").lower())]
