@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentspark.llm import chat, decontaminate, language, lm_score, ngram_join, packing, quality, suffix_dedup, vectors
+from talentspark.llm import chat, decontaminate, language, lm_score, ngram_join, packing, quality, suffix_dedup, token_files, vectors
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -57,6 +57,11 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(turns.unionByName(chat.probe(spark)))
 
 
+@query("op6_token_files")
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(load(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), False)
+
+
 @query("op7_packing")
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_pieces(load(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
