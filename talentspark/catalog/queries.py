@@ -176,7 +176,7 @@ def skill_dictionary(spark, sf):
 def sink_skill_map(spark, sf):
     path = scratch_path(spark, "dictionary")
     files.sink_skill_map(_dictionary(spark, sf), path)
-    return spark.read.schema("phrase string, preferred string").json(path)
+    return files.scan_skill_map(spark, path)
 
 
 _MAPPED = f"""
@@ -714,11 +714,31 @@ def _fitted(spark, sf):
 
 def _trained(spark, sf, costs, weights) -> train.Training:
     return train.train_classifier(
-        _labelled(spark, sf), "doc_id", "class", "text", costs=costs, class_weights=weights, folds=3,
+        _labelled(spark, sf), "doc_id", "class", "text", costs=costs, class_weights=weights, folds=P.FOLDS,
         max_iter=_ITERATIONS,
     )
 
 
+@query("fold_sizes", """
+    WITH r AS (SELECT lang AS class, row_number() OVER (PARTITION BY lang ORDER BY md5('420:' || doc_id), doc_id) AS rn,
+            count(*) OVER (PARTITION BY lang) AS n FROM documents WHERE lang IS NOT NULL),
+    t AS (SELECT class, n, (n * 30 + 99) // 100 AS test FROM r GROUP BY ALL),
+    k AS (SELECT class, false AS is_test, CAST(f AS INTEGER) AS fold, (n - test) * (f + 1) // 5 - (n - test) * f // 5 AS n
+        FROM t, range(5) s(f))
+    SELECT class, true AS is_test, CAST(NULL AS INTEGER) AS fold, CAST(test AS BIGINT) AS n FROM t
+    UNION ALL SELECT class, is_test, fold, CAST(n AS BIGINT) FROM k WHERE n > 0""")
+def fold_sizes(spark, sf):
+    parts = train.parts(_labelled(spark, sf), "doc_id", "class", "text", P.FOLDS)
+    return parts.groupBy("class", "is_test", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("analysis_status", """
+    SELECT doc_id, CASE WHEN toxic = 1 THEN 'null' WHEN quality = 0 THEN 'blank' ELSE 'answered' END AS status
+    FROM documents LEFT JOIN labels USING (doc_id)""")
+def analysis_status(spark, sf):
+    return analyze.statuses(T.messy_texts(spark, sf), "doc_id", "text")
+
+
 @query("embed_text", r"""
     SELECT doc_id, CAST(length(text) AS DOUBLE) AS dim0, CAST(len(regexp_extract_all(text, ' ')) AS DOUBLE) AS dim1,
         CAST(len(regexp_extract_all(text, '\p{Lu}')) AS DOUBLE) AS dim2 FROM documents""")

@@ -7,17 +7,11 @@ WORD = r"\p{L}\p{N}_"
 PROSE_KEPT = r"a-zA-Z0-9" + WHITESPACE + r".,\-/()@+"
 
 # --- fixed values: personal-data grammar ---
-STREET_SUFFIXES = [
-    "St", "Street", "Ave", "Avenue", "Rd", "Road", "Blvd", "Boulevard",
-    "Dr", "Drive", "Ln", "Lane", "Way", "Ct", "Court", "Pl", "Place", "Pkwy", "Parkway",
-    "Hwy", "Highway", "Cir", "Circle", "Terrace", "Ter",
-]
-UNIT_WORDS = ["Apt", "Apartment", "Suite", "Ste", "Unit", "Fl", "Floor", "#"]
-
 ADDRESS = (
     r"(?i)\b\d{1,3}\s+[A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+){0,3}"
-    r"(?:\s+(?:" + "|".join(STREET_SUFFIXES) + r")\.?)?"
-    r"(?:[,\s]+(?:" + "|".join(UNIT_WORDS) + r")\s*[\w-]+)?"
+    r"(?:\s+(?:St|Street|Ave|Avenue|Rd|Road|Blvd|Boulevard|Dr|Drive|Ln|Lane|Way|"
+    r"Ct|Court|Pl|Place|Pkwy|Parkway|Hwy|Highway|Cir|Circle|Terrace|Ter)\.?)?"
+    r"(?:[,\s]+(?:Apt|Apartment|Suite|Ste|Unit|Fl|Floor|#)\s*[\w-]+)?"
 )
 PHONE_INTERNATIONAL = (
     r"(?:\+|00)\d{1,3}[\s\-.]?(?:\(?\d{1,4}\)?[\s\-.]?)?\d{1,4}[\s\-.]?\d{1,4}[\s\-.]?\d{1,9}"
@@ -38,11 +32,13 @@ SKILL_LABELS = ["skill", "software", "technical concept"]
 ENTITY_THRESHOLD = 0.5
 
 # --- fixed values: stop list of the keyword score ---
-KEYWORD_STOP_WORDS = (
-    "the and a to of in for is on that by this with i you it not or be are from at as your all "
-    "have new more an was we will can us about if my has but our one other do no they he up may "
-    "what which their out use any there see only so his when who also now get"
-).split()
+KEYWORD_STOP_WORDS = [
+    "the", "and", "a", "to", "of", "in", "for", "is", "on", "that", "by", "this", "with", "i", "you", "it",
+    "not", "or", "be", "are", "from", "at", "as", "your", "all", "have", "new", "more", "an", "was", "we",
+    "will", "can", "us", "about", "if", "my", "has", "but", "our", "one", "other", "do", "no", "they", "he",
+    "up", "may", "what", "which", "their", "out", "use", "any", "there", "see", "only", "so", "his", "when",
+    "who", "also", "now", "get",
+]
 
 # --- fixed values: match bands ---
 GREAT_MATCH_SCORE = 70
@@ -50,30 +46,51 @@ GREAT_MATCH_TEXT = "Great match! Your resume aligns well with this role."
 ADVICE_TEXT = "Consider adding more keywords from the job description to your resume."
 
 # --- fixed values: raw resume category -> broad category ---
-CATEGORIES = {
-    "Engineering": [
-        "Electrical Engineering", "Mechanical Engineer", "Civil Engineer", "Architecture",
-    ],
-    "Technology": [
-        "Java Developer", "Python Developer", "React Developer", "DotNet Developer",
-        "SAP Developer", "ETL Developer", "SQL Developer", "DevOps", "Database",
-        "Network Security Engineer", "Information Technology", "Web Designing", "Blockchain",
-        "Data Science", "Testing",
-    ],
-    "Business & Management": [
-        "Management", "Consultant", "Business Analyst", "Operations Manager", "PMO", "BPO",
-    ],
-    "Finance & Accounting": ["Accountant", "Finance", "Banking"],
-    "Sales & Marketing": ["Sales", "Public Relations", "Digital Media"],
-    "Human & Social Services": ["Human Resources", "Education", "Advocate"],
-    "Creative & Design": ["Arts", "Designing", "Apparel"],
-    "Health & Lifestyle": ["Health and Fitness", "Food and Beverages"],
-    "Automobile": ["Automobile"],
-    "Aviation & Transport": ["Aviation"],
-    "Agriculture": ["Agriculture"],
-    "Building & Construction": ["Building and Construction"],
-}
-CATEGORY_PAIRS = [(raw, broad) for broad, raws in CATEGORIES.items() for raw in raws]
+CATEGORY_PAIRS = [
+    ("Electrical Engineering", "Engineering"),
+    ("Mechanical Engineer", "Engineering"),
+    ("Civil Engineer", "Engineering"),
+    ("Architecture", "Engineering"),
+    ("Java Developer", "Technology"),
+    ("Python Developer", "Technology"),
+    ("React Developer", "Technology"),
+    ("DotNet Developer", "Technology"),
+    ("SAP Developer", "Technology"),
+    ("ETL Developer", "Technology"),
+    ("SQL Developer", "Technology"),
+    ("DevOps", "Technology"),
+    ("Database", "Technology"),
+    ("Network Security Engineer", "Technology"),
+    ("Information Technology", "Technology"),
+    ("Web Designing", "Technology"),
+    ("Blockchain", "Technology"),
+    ("Data Science", "Technology"),
+    ("Testing", "Technology"),
+    ("Management", "Business & Management"),
+    ("Consultant", "Business & Management"),
+    ("Business Analyst", "Business & Management"),
+    ("Operations Manager", "Business & Management"),
+    ("PMO", "Business & Management"),
+    ("BPO", "Business & Management"),
+    ("Accountant", "Finance & Accounting"),
+    ("Finance", "Finance & Accounting"),
+    ("Banking", "Finance & Accounting"),
+    ("Sales", "Sales & Marketing"),
+    ("Public Relations", "Sales & Marketing"),
+    ("Digital Media", "Sales & Marketing"),
+    ("Human Resources", "Human & Social Services"),
+    ("Education", "Human & Social Services"),
+    ("Advocate", "Human & Social Services"),
+    ("Arts", "Creative & Design"),
+    ("Designing", "Creative & Design"),
+    ("Apparel", "Creative & Design"),
+    ("Health and Fitness", "Health & Lifestyle"),
+    ("Food and Beverages", "Health & Lifestyle"),
+    ("Automobile", "Automobile"),
+    ("Aviation", "Aviation & Transport"),
+    ("Agriculture", "Agriculture"),
+    ("Building and Construction", "Building & Construction"),
+]
 
 # --- fixed values: the text document of a job ---
 DESCRIPTION_DIR = "job_descriptions"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 def top_k_classes(scores: Column, classes: list[str], k: int = 2) -> Column:
     """The k classes with the highest scores, best first; ties go to the lower class index."""
     if not 1 <= k <= len(classes):
-        raise ValueError(f"top_k must be between 1 and {len(classes)}, got {k}.")
+        raise ValueError(f"k = {k}: there are {len(classes)} classes to choose from")
     keyed = F.transform(scores, lambda s, i: F.struct((-s).alias("key"), i.alias("idx")))
     best = F.slice(F.array_sort(keyed), 1, k)
     names = F.array(*[F.lit(c) for c in classes])

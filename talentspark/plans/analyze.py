@@ -2,7 +2,7 @@
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talentspark.functions.redact import redact_serving, redact_spans
@@ -21,6 +21,21 @@ def validate(df: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
     return checked.where("reason is null").drop("reason"), checked.where("reason is not null")
 
 
+def _reason(id_col: str, text_col: str) -> Column:
+    text = F.col(text_col)
+    return F.when(F.col(id_col).isNull(), "null id").when(text.isNull(), "null").when(is_blank(text), "blank")
+
+
+def statuses(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, status) of every row: ``answered`` by the analyses, or why not (``null id``, ``null``, ``blank``)."""
+    return df.select(id_col, F.coalesce(_reason(id_col, text_col), F.lit("answered")).alias("status"))
+
+
+def rejects(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows that the analyses leave unanswered, as they came, with ``reason``."""
+    return df.withColumn("reason", _reason(id_col, text_col)).where("reason is not null")
+
+
 def _skill_maps(skills: DataFrame, id_col: str) -> DataFrame:
     """Per text a map skill -> struct<unit,start,end>; a group is one text's distinct skills."""
     entry = F.struct("skill", F.struct("unit", "start", "end"))
@@ -57,7 +72,7 @@ def analyze_jobs(
     jobs: DataFrame, id_col: str, text_col: str, lex: grams.Lexicon,
     entities: DataFrame | None = None,
 ) -> DataFrame:
-    """(id, cleaned_job_desc, skills, education); blank texts are left out."""
+    """(id, cleaned_job_desc, skills, education); the other rows are those of ``rejects``."""
     good, _ = validate(jobs.select(id_col, text_col), text_col)
     clean = _placed(good.select(id_col, text_sanitize(F.col(text_col)).alias("cleaned_job_desc")), id_col)
     return _with_skills(
@@ -88,7 +103,7 @@ def _redacted(df: DataFrame, from_col: str, to_col: str, entity_spans) -> DataFr
 
 
 def clean_resumes(resumes: DataFrame, id_col: str, text_col: str, entity_spans=None) -> DataFrame:
-    """(id, cleaned_resume); blank texts are left out."""
+    """(id, cleaned_resume); the other rows are those of ``rejects``."""
     good, _ = validate(resumes.select(id_col, text_col), text_col)
     return _redacted(good, text_col, "cleaned_resume", entity_spans).select(id_col, "cleaned_resume")
 

@@ -42,15 +42,20 @@ def fit_text_model(rows: DataFrame, class_col: str, text_col: str, max_iter: int
     return L.text_model(features, [L.LinearSvm(maxIter=max_iter, **svm).fit(vectors)], labels.labels)
 
 
-def _parts(dataset, id_col, class_col, text_col, folds, synthetic) -> DataFrame:
-    """(id, class, text, is_test, fold); rows without a class are left out, synthetic rows train only."""
+def parts(dataset, id_col, class_col, text_col, folds, synthetic=None) -> DataFrame:
+    """(id, class, text, is_test, fold); rows without a class are left out, synthetic rows train only.
+
+    Folds are drawn from the training rows alone, in an order of their own; test rows have none.
+    """
     rows = dataset.where(F.col(class_col).isNotNull()).select(
         id_col, F.col(class_col).alias("class"), F.col(text_col).alias("text")
     )
-    parts = stratified_kfold(stratified_split(rows, "class", id_col), "class", id_col, folds)
+    split = stratified_split(rows, "class", id_col)
+    training = stratified_kfold(split.where("not is_test"), "class", id_col, folds, seed=P.SEED + 1)
+    rows = training.unionByName(split.where("is_test").withColumn("fold", F.lit(None).cast("int")))
     if synthetic is None:
-        return parts
-    return parts.unionByName(synthetic.select(
+        return rows
+    return rows.unionByName(synthetic.select(
         F.lit(None).cast(rows.schema[id_col].dataType).alias(id_col), "class", "text",
         F.lit(False).alias("is_test"), F.pmod(F.xxhash64("text"), F.lit(folds)).cast("int").alias("fold"),
     ))
@@ -82,15 +87,15 @@ def train_classifier(
     array<float>, see ``embed_with``) takes the place of the hashed words; the model then starts
     from a column ``features``.
     """
-    parts = _parts(dataset, id_col, class_col, text_col, folds, synthetic)
-    labels = L.index_labels(parts, "class")
+    rows = parts(dataset, id_col, class_col, text_col, folds, synthetic)
+    labels = L.index_labels(rows, "class")
     if embed is None:
-        features = hashed_embedding("text").fit(parts)
+        features = hashed_embedding("text").fit(rows)
     else:
         features = PipelineModel(stages=[])
-        parts = parts.withColumn("features", array_to_vector(embed(F.col("text"))))
+        rows = rows.withColumn("features", array_to_vector(embed(F.col("text"))))
     vectors = settle_table(
-        labels.transform(features.transform(parts)).select("class", "label", "is_test", "fold", "features"), "vectors"
+        labels.transform(features.transform(rows)).select("class", "label", "is_test", "fold", "features"), "vectors"
     )
     svm = L.LinearSvm(maxIter=max_iter)
     return _tune(vectors, features, labels, svm, L.parameter_grid(svm, costs, class_weights), folds)
@@ -102,10 +107,10 @@ def train_on_terms(
 ) -> Training:
     """The same on TF-IDF weights. The vocabulary belongs to the fit, so each fold has its own;
     ``grid`` takes ``max_ns``, ``min_dfs``, ``sizes`` and ``costs``."""
-    parts = _parts(dataset, id_col, class_col, text_col, folds, synthetic)
-    features, labels = term_lists("text").fit(parts), L.index_labels(parts, "class")
+    rows = parts(dataset, id_col, class_col, text_col, folds, synthetic)
+    features, labels = term_lists("text").fit(rows), L.index_labels(rows, "class")
     terms = settle_table(
-        labels.transform(features.transform(parts)).select(
+        labels.transform(features.transform(rows)).select(
             "class", "label", "is_test", "fold", "grams1", "grams2", "grams3"), "terms"
     )
     stages, svm = tfidf_stages(), L.LinearSvm(maxIter=max_iter)

@@ -27,13 +27,21 @@ def scan_vocab_tsv(spark: SparkSession, path: str, column: str) -> DataFrame:
 
 
 def scan_skill_map(spark: SparkSession, path: str) -> DataFrame:
-    """(phrase, preferred) of JSON objects, one per file; text that is no JSON object raises."""
+    """(phrase, preferred) of a dictionary: JSON rows as ``sink_skill_map`` writes them, which are read
+    in splits, or one JSON object phrase -> preferred per file. Anything else raises."""
     try:
+        rows = spark.read.schema("phrase string, preferred string").json(path)
         files = spark.read.text(path, wholetext=True)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
-            raise FileNotFoundError(f"Skills map json was not found at {path}") from e
+            raise FileNotFoundError(f"no dictionary at {path}") from e
         raise
+    both = F.col("phrase").isNotNull() & F.col("preferred").isNotNull()
+    lines, whole = rows.agg(F.count(F.lit(1)), F.count_if(both)).first()
+    if whole and whole == lines:
+        return rows
+    if whole:
+        raise ValueError(f"{lines - whole} of {lines} rows of {path} lack a phrase or its preferred name")
     pairs = F.from_json("value", "map<string,string>", {"mode": "FAILFAST"})
     return files.select(F.explode(pairs).alias("phrase", "preferred"))
 
@@ -63,7 +71,7 @@ def sink_descriptions(documents: DataFrame, path: str) -> None:
 
 
 def sink_skill_map(dictionary: DataFrame, path: str) -> None:
-    """The dictionary as JSON rows."""
+    """The dictionary as JSON rows, for ``scan_skill_map``."""
     dictionary.select("phrase", "preferred").write.json(path)
 
 

@@ -12,15 +12,18 @@ def landed_requests(spark: SparkSession, path: str, schema: str = "request_id lo
 
 
 def answer(
-    requests: DataFrame, analyze: Callable[[DataFrame], DataFrame], out: str, checkpoint: str
+    requests: DataFrame, analyze: Callable[[DataFrame], DataFrame], out: str, checkpoint: str,
+    rejects: Callable[[DataFrame], DataFrame] | None = None, rejects_out: str | None = None,
 ) -> StreamingQuery:
     """Run ``analyze`` on each batch of new requests and keep its answers under ``out``.
 
     A batch that is run again after a failure replaces its own folder, so each request is
-    answered once. Works through what has landed and stops.
+    answered once; what ``rejects`` finds in it goes to ``rejects_out``. Works through what has landed and stops.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         analyze(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        if rejects is not None:
+            rejects(batch).write.mode("overwrite").parquet(f"{rejects_out}/batch={batch_id}")
 
     return (
         requests.writeStream.foreachBatch(run)
