@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from talentspark.session import settle
 
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 FAN_IN = 32
 
 

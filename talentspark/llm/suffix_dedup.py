@@ -44,7 +44,7 @@ HOT = 64 << 20
 TASK_BYTES = 8 << 20
 BASE = 0x9E3779B97F4A7C15
 PLACE = np.uint64((1 << 24) - 1)
-DOCS_PER_BUCKET = 20_000
+DOCS_PER_BUCKET = 8_000
 
 
 def _powers(count: int) -> tuple[np.ndarray, np.ndarray]:
