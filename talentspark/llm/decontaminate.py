@@ -263,5 +263,5 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold a passage of the benchmark."""
     for block in benchmarks(benchmark):
-        docs = docs.withColumn("_matches", found(F.col("text"), block)).where(F.size("_matches") == 0).drop("_matches")
+        docs = docs.where(F.size(found(F.col("text"), block)) == 0)
     return docs

@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talentspark.llm.common import mix, ranges
@@ -316,10 +316,11 @@ def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"id": i, "place": places, "n": n, "w": [xxhash.xxh3_128_digest(s[p:p + SPAN]) for p in places]})
 
 
-def removed(docs: DataFrame, text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """``docs`` with ``_first`` and ``_last``: byte runs to remove (unmerged, null where there are none)."""
-    docs = docs.withColumn("_k", F.xxhash64(F.lit(1), *[F.col(f"`{c}`") for c in docs.columns if c in ("doc_id", text_col)]))
-    rows = docs.select(F.col("_k").alias("k"), F.col(f"`{text_col}`").alias("text"))
+def removed(docs: DataFrame, key: list[Column], hot: int = HOT) -> DataFrame:
+    """``docs`` (text and others) with ``_first`` and ``_last``: byte runs to remove (unmerged, null
+    where there are none). Rows with an equal ``key``, which includes the text, are treated alike."""
+    docs = docs.withColumn("_k", F.xxhash64(F.lit(1), *key))
+    rows = docs.select(F.col("_k").alias("k"), "text")
     buckets = max(16, docs.count() // DOCS_PER_BUCKET)
     made = settle_table(anchor_rows(rows, buckets), "suffix-anchors")
     again = made.where("kind = 1").groupBy("bucket").applyInPandas(repeated, "gram binary, key binary")
@@ -385,7 +386,7 @@ def report(docs: DataFrame, hot: int = HOT) -> DataFrame:
                 "kept_sha256": [hashlib.sha256(kept).hexdigest() for _, _, kept in parts],
             })
 
-    return removed(docs.select("doc_id", "text"), hot=hot).mapInPandas(
+    return removed(docs.select("doc_id", "text"), [F.col("doc_id"), F.col("text")], hot).mapInPandas(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
 
@@ -399,5 +400,9 @@ def clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
             for t, a, b in zip(text, first, last, strict=True)
         ])
 
-    marked = removed(docs, text_col)
-    return marked.withColumn(text_col, left(F.col(f"`{text_col}`"), "_first", "_last")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # the other columns travel in a struct, so their names do not matter
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.lit(0).alias("_"))
+    boxed = docs.select(others.alias("row"), F.col(f"`{text_col}`").alias("text"))
+    marked = removed(boxed, [F.col("row"), F.col("text")])
+    kept = marked.select("row", left(F.col("text"), F.col("_first"), F.col("_last")).alias("text"))
+    return kept.select(*[(F.col("text") if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns])
