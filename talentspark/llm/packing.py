@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentspark.llm.tokens import encoder
+from talentspark.llm.tokens import Encoder
 from talentspark.session import settle_table
 
 SIZE = 1024
@@ -45,7 +45,7 @@ def cuts(count: int, size: int) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, path: str, leading: bool = True, size: int = SIZE, end: int = END, with_ids: bool = True) -> DataFrame:
     """The pieces of each text: doc_id, piece, start, length, ids_crc32 and, where asked for, ids."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = encoder(path, leading)
+        tokens = Encoder(path, leading)
         for batch in batches:
             for at in range(0, len(batch), ROWS):
                 part = batch.iloc[at:at + ROWS]

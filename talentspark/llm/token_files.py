@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentspark.llm.tokens import encoder
+from talentspark.llm.tokens import Encoder
 from talentspark.session import scratch_path
 
 END = 2
@@ -188,7 +188,7 @@ def write(docs: DataFrame, tokenizer: str, leading: bool, folder: str, end: int
     shards = max(1, chars // SHARD_CHARS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens, shard, at, block, left = encoder(tokenizer, leading), TaskContext.get().partitionId(), 0, 0, np.zeros(0, np.int32)
+        tokens, shard, at, block, left = Encoder(tokenizer, leading), TaskContext.get().partitionId(), 0, 0, np.zeros(0, np.int32)
         names = [c.split()[0] for c in STORED.split(", ")]
         waiting: list[np.ndarray] = []
 

@@ -13,7 +13,7 @@ import numpy as np
 
 from talentspark.llm.common import ranges
 
-KEPT_PIECES = 600_000
+KEPT_PIECES = 400_000
 JOINED = 4_000  # new pieces per encoded line
 MARK = "<|startoftext|>"
 # neither white space nor the characters of a special token
@@ -89,13 +89,3 @@ class Encoder:
             ids = self.ids[ranges(self.start[at], self.size[at])]
             out[i] = np.concatenate([head, ids]) if len(head) else ids
         return out
-
-
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str, leading: bool) -> Encoder:
-    """One encoder per worker process and vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path, leading)
-    return _ENCODERS[path]
