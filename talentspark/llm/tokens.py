@@ -13,7 +13,7 @@ import numpy as np
 
 from talentspark.llm.common import ranges
 
-KEPT_PIECES = 400_000
+KEPT_PIECES = 800_000
 JOINED = 4_000  # new pieces per encoded line
 MARK = "<|startoftext|>"
 # neither white space nor the characters of a special token
@@ -44,8 +44,9 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         """Add new pieces; many at once as one line of text, which is cut at the tokens that begin a piece."""
-        whole = [p for p in pieces if not self.joins(p)]
-        joined = [p for p in pieces if self.joins(p)]
+        whole, joined = [], []
+        for p in pieces:
+            (joined if SIMPLE(p) else whole).append(p)
         ids = self._whole([" " + p for p in whole] if self.leading else whole)
         sizes = [np.fromiter(map(len, ids), np.int64, len(ids))]
         lines = [joined[k:k + JOINED] for k in range(0, len(joined), JOINED)]
@@ -67,9 +68,6 @@ class Encoder:
         pieces = whole + joined
         self.number.update(zip(pieces, range(len(self.number), len(self.number) + len(pieces)), strict=True))
 
-    def joins(self, piece: str) -> bool:
-        return SIMPLE(piece) is not None
-
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, without any end token."""
         if len(self.number) > KEPT_PIECES:
