@@ -13,7 +13,7 @@ import numpy as np
 
 from talentspark.llm.common import ranges
 
-KEPT_PIECES = 800_000
+KEPT_PIECES = 250_000
 JOINED = 4_000  # new pieces per encoded line
 MARK = "<|startoftext|>"
 # neither white space nor the characters of a special token
