@@ -30,7 +30,7 @@ END = 2
 SLACK = 4
 CARRY = 20_000
 FAN_IN = 16
-ROWS = 1024
+ROWS = 512
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, ids array<int>"
 
 
