@@ -1,11 +1,11 @@
 """Token ids as compressed binary blocks, written in ascending order of the documents.
 
 A shard is a run of documents by id; its token stream is cut into blocks of ``BLOCK`` ids, each coded by
-itself with all statistics reset. In a block, each id is first compared with the guess of the two ids
-before it (order 2), then with that of the one before it (order 1), else spelled out bit by bit under
-order-0 statistics; every yes or no goes through a binary arithmetic coder with adaptive probabilities,
-those of the guesses chosen by the confidence of both orders. All blocks of a task are coded in step, as
-numpy lanes; the arithmetic is in integers, so any machine reads what another has written.
+itself with all statistics reset. The chance of an id is a mixture of three predictions: the id that
+followed the two ids before it (order 2), that which followed the one before it (order 1), and order-0
+statistics, which spell any other id as four hexadecimal digits. The weights of the mixture adapt, apart
+for each confidence of the first two. A range coder turns the chances into bytes. The blocks of a task
+are coded in step, as numpy lanes; the arithmetic is in integers, so any machine reads what another wrote.
 
 The format is a Parquet folder, which any store can hold, with two kinds of rows: ``block`` (shard, block,
 count, crc32 of the ids as little-endian unsigned 32-bit integers, payload) and ``document`` (shard,
@@ -32,53 +32,73 @@ from talentspark.session import scratch_path
 END = 2
 BLOCK = 4096
 LANES = 1024
-SHARD_CHARS = 8 << 20
+SHARD_CHARS = 32 << 20
 ROWS = 256
 HASH_1, HASH_2 = 2048, 4096
 RATE = 4
-LOW_32 = np.uint64((1 << 32) - 1)
+ONE, RAREST = 1 << 15, 8
+LEAST, LOW_32, LOW_48 = np.uint64(1 << 32), np.uint64((1 << 32) - 1), np.uint64((1 << 48) - 1)
 STORED = "shard int, kind string, block int, doc_id long, start long, count long, crc long, payload binary"
 
 
 class Lanes:
-    """Binary arithmetic coders, one per block; ``code`` does one decision of some of them."""
+    """Range coders, one per block; ``code`` does one decision of some of them."""
 
     def __init__(self, count: int, payloads: list[bytes] | None = None):
-        self.low, self.high = np.zeros(count, np.uint64), np.full(count, (1 << 48) - 1, np.uint64)
-        self.at = np.zeros(count, np.int64)
+        self.span, self.at = np.full(count, 1 << 48, np.uint64), np.zeros(count, np.int64)
         self.reads = payloads is not None
         if payloads is None:
             self.words = np.zeros((count, BLOCK), "<u2")
+            self.low = np.zeros(count, np.uint64)
         else:
-            width = max(len(p) // 2 for p in payloads) + BLOCK
+            width = max(len(p) // 2 for p in payloads) + 1
             self.words = np.zeros((count, width), "<u2")
             for i, p in enumerate(payloads):
                 self.words[i, :len(p) // 2] = np.frombuffer(p, "<u2")
             first = self.words[:, :3].astype(np.uint64)
-            self.value, self.at[:] = (first[:, 0] << np.uint64(32)) | (first[:, 1] << np.uint64(16)) | first[:, 2], 3
+            self.low, self.at[:] = (first[:, 0] << np.uint64(32)) | (first[:, 1] << np.uint64(16)) | first[:, 2], 3
 
-    def code(self, lanes: np.ndarray, chance: np.ndarray, bits: np.ndarray | None) -> np.ndarray:
-        """Write ``bits`` or read them; ``chance`` of a one, in 1/65536."""
-        low, high = self.low[lanes], self.high[lanes]
-        middle = low + ((high - low) >> np.uint64(16)) * chance.astype(np.uint64)
+    def code(self, lanes: np.ndarray, rows: np.ndarray, symbols: np.ndarray | None) -> np.ndarray:
+        """Write ``symbols`` or read them; ``rows`` has, for each symbol, the chance of a smaller one in 1/32768.
+
+        While reading, ``low`` is what has been read above the low end of the span.
+        """
+        span, low, every, size = self.span[lanes], self.low[lanes], np.arange(len(lanes)), rows.shape[1]
+        part = span >> np.uint64(15)
         if self.reads:
-            bits = self.value[lanes] <= middle
-        high, low = np.where(bits, middle, high), np.where(bits, low, middle + np.uint64(1))
-        settled = np.flatnonzero((low ^ high) >> np.uint64(32) == 0)
-        if len(settled):
-            own = lanes[settled]
+            found = np.minimum(low // part, np.uint64(ONE - 1)).astype(np.int16)
+            symbols = (rows <= found[:, None]).sum(1) - 1
+        begin = rows[every, symbols].astype(np.uint64)
+        end = np.where(symbols < size - 1, rows[every, np.minimum(symbols + 1, size - 1)], np.int64(ONE)).astype(np.uint64)
+        low = low - part * begin if self.reads else low + part * begin
+        span = part * (end - begin)
+        if not self.reads:
+            over = np.flatnonzero(low >> np.uint64(48))
+            if len(over):
+                self._carry(lanes[over])
+                low[over] &= LOW_48
+        small = np.flatnonzero(span < LEAST)
+        if len(small):
+            own = lanes[small]
             place = self.at[own]
             if self.reads:
-                self.value[own] = ((self.value[own] & LOW_32) << np.uint64(16)) | self.words[own, place]
+                low[small] = (low[small] << np.uint64(16)) | self.words[own, place]
             else:
                 if place.max() + 4 >= self.words.shape[1]:
                     self.words = np.hstack([self.words, np.zeros_like(self.words)])
-                self.words[own, place] = (low[settled] >> np.uint64(32)).astype(np.uint16)
+                self.words[own, place] = (low[small] >> np.uint64(32)).astype(np.uint16)
+                low[small] = (low[small] & LOW_32) << np.uint64(16)
             self.at[own] = place + 1
-            low[settled] = (low[settled] & LOW_32) << np.uint64(16)
-            high[settled] = ((high[settled] & LOW_32) << np.uint64(16)) | np.uint64(0xFFFF)
-        self.low[lanes], self.high[lanes] = low, high
-        return bits
+            span[small] <<= np.uint64(16)
+        self.span[lanes], self.low[lanes] = span, low
+        return symbols
+
+    def _carry(self, lanes: np.ndarray) -> None:
+        place = self.at[lanes] - 1
+        while len(lanes):
+            self.words[lanes, place] += np.uint16(1)
+            full = self.words[lanes, place] == 0
+            lanes, place = lanes[full], place[full] - 1
 
     def payloads(self) -> list[bytes]:
         self.words = np.hstack([self.words, np.zeros((len(self.words), 4), "<u2")])
@@ -90,23 +110,27 @@ class Lanes:
 
 
 class Chances:
-    """Adaptive probabilities, one table per lane."""
+    """Adaptive chances of ``size`` symbols in each context, one table per lane."""
 
-    def __init__(self, lanes: int, contexts: int):
-        self.table = np.full((lanes, contexts), 1 << 15, np.int32)
+    def __init__(self, lanes: int, contexts: int, size: int):
+        self.table = np.empty((lanes, contexts, size), np.int16)
+        self.table[:] = np.arange(size) * (ONE // size)
+        symbol, k = np.arange(size)[:, None], np.arange(size)[None, :]
+        # where a symbol's arrival moves the row to; no chance falls to nothing
+        self.towards = np.where(k <= symbol, k * RAREST, ONE - (size - k) * RAREST).astype(np.int16)
 
-    def code(self, coder: Lanes, lanes: np.ndarray, context: np.ndarray, bits: np.ndarray | None) -> np.ndarray:
-        chance = self.table[lanes, context]
-        bits = coder.code(lanes, np.clip(chance, 64, 65472), bits)
-        self.table[lanes, context] = chance + ((np.where(bits, 65535, 0) - chance) >> RATE)
-        return bits
+    def code(self, coder: Lanes, lanes: np.ndarray, context: np.ndarray, symbols: np.ndarray | None) -> np.ndarray:
+        rows = self.table[lanes, context]
+        symbols = coder.code(lanes, rows, symbols)
+        self.table[lanes, context] = rows + ((self.towards[symbols] - rows) >> RATE)
+        return symbols
 
 
 class Guesses:
     """The id that followed a context last, and how often in a row it did (up to 3)."""
 
     def __init__(self, lanes: int, contexts: int):
-        self.ids, self.sure = np.zeros((lanes, contexts), np.int32), np.zeros((lanes, contexts), np.int8)
+        self.ids, self.sure = np.zeros((lanes, contexts), np.uint16), np.zeros((lanes, contexts), np.int8)
 
     def update(self, lanes: np.ndarray, context: np.ndarray, guess: np.ndarray, sure: np.ndarray, ids: np.ndarray) -> None:
         right = guess == ids
@@ -119,8 +143,9 @@ def _code(lengths: np.ndarray, ids: np.ndarray | None, payloads: list[bytes] | N
     count = len(lengths)
     coder = Lanes(count, payloads)
     second, first = Guesses(count, HASH_2), Guesses(count, HASH_1)
-    by_two, by_one, high, low = Chances(count, 32), Chances(count, 4), Chances(count, 256), Chances(count, 64 * 256)
-    out = np.zeros((count, int(lengths.max())), np.int32) if ids is None else ids
+    order = Chances(count, 32, 3)
+    digits = [Chances(count, contexts, 16) for contexts in (1, 16, 256, 1024)]
+    out = np.zeros((count, int(lengths.max())), np.int64) if ids is None else ids
     one, two = np.zeros(count, np.int64), np.zeros(count, np.int64)
     for t in range(int(lengths.max())):
         lanes = np.flatnonzero(lengths > t)
@@ -128,26 +153,17 @@ def _code(lengths: np.ndarray, ids: np.ndarray | None, payloads: list[bytes] | N
         c2, c1 = (a * 31 + b * 7919) % HASH_2, a % HASH_1
         g2, s2, g1, s1 = second.ids[lanes, c2], second.sure[lanes, c2], first.ids[lanes, c1], first.sure[lanes, c1]
         real = None if ids is None else ids[lanes, t]
-        value = g2.copy()
-        agree = g1 == g2
-        hit = by_two.code(coder, lanes, s2 * 8 + s1 * 2 + agree, None if real is None else real == g2)
-        ask = np.flatnonzero(~hit & ~agree)
-        spell = ~hit
-        if len(ask):
-            found = by_one.code(coder, lanes[ask], s1[ask].astype(np.int64), None if real is None else real[ask] == g1[ask])
-            value[ask[found]] = g1[ask[found]]
-            spell[ask[found]] = False
-        rest = np.flatnonzero(spell)
+        right = None if real is None else np.where(real == g2, 0, np.where(real == g1, 1, 2))
+        # the chances of the three orders, under the confidence of two of them
+        by = order.code(coder, lanes, s2 * 8 + s1 * 2 + (g1 == g2), right)
+        value = np.where(by == 0, g2, g1).astype(np.int64)
+        rest = np.flatnonzero(by == 2)
         if len(rest):
-            own, node = lanes[rest], np.ones(len(rest), np.int64)
-            known = None if real is None else real[rest]
-            for bit in range(15, 7, -1):
-                node = 2 * node + high.code(coder, own, node, None if known is None else (known >> bit) & 1 == 1)
-            top = node - 256
-            base, node = (top % 64) * 256, np.ones(len(rest), np.int64)
-            for bit in range(7, -1, -1):
-                node = 2 * node + low.code(coder, own, base + node, None if known is None else (known >> bit) & 1 == 1)
-            value[rest] = top * 256 + node - 256
+            own, spelled = lanes[rest], np.zeros(len(rest), np.int64)
+            for chances, shift in zip(digits, (12, 8, 4, 0), strict=True):
+                digit = None if real is None else (real[rest] >> shift) & 15
+                spelled = spelled * 16 + chances.code(coder, own, spelled % chances.table.shape[1], digit)
+            value[rest] = spelled
         out[lanes, t] = value
         second.update(lanes, c2, g2, s2, value)
         first.update(lanes, c1, g1, s1, value)
@@ -161,7 +177,7 @@ def compress(blocks: list[np.ndarray]) -> list[bytes]:
     for k in range(0, len(blocks), LANES):
         part = blocks[k:k + LANES]
         lengths = np.array([len(x) for x in part])
-        ids = np.zeros((len(part), max(int(lengths.max()), 1)), np.int32)
+        ids = np.zeros((len(part), max(int(lengths.max()), 1)), np.int64)
         for i, x in enumerate(part):
             ids[i, :len(x)] = x
         out += _code(lengths, ids, None)[1].payloads()
@@ -174,7 +190,7 @@ def expand(payloads: list[bytes], counts: list[int]) -> list[np.ndarray]:
     for k in range(0, len(payloads), LANES):
         lengths = np.array(counts[k:k + LANES])
         ids = _code(lengths, None, payloads[k:k + LANES])[0]
-        out += [ids[i, :n] for i, n in enumerate(lengths)]
+        out += [ids[i, :n].astype(np.int32) for i, n in enumerate(lengths)]
     return out
 
 
