@@ -14,7 +14,7 @@ import numpy as np
 from talentspark.llm.common import ranges
 
 KEPT_PIECES = 400_000
-JOINED = 4_000  # new pieces per encoded line
+JOINED = 100  # new pieces per encoded line
 MARK = "<|startoftext|>"
 # neither white space nor the characters of a special token
 SIMPLE = re.compile(r"[^\s<>|]+\Z").match
@@ -32,12 +32,18 @@ class Encoder:
         size = self.tokenizer.get_vocab_size()
         self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
         self.mark = self.tokenizer.token_to_id(MARK)
-        self._reset()
-
-    def _reset(self) -> None:
         self.number: dict[str, int] = {}
         self.ids = np.zeros(0, np.uint16)
-        self.start = self.size = np.zeros(0, np.int64)
+        self.start = self.size = self.uses = np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keep the pieces that several texts had since the last time, at most half of all."""
+        kept = np.flatnonzero(self.uses > 1)
+        kept = kept[np.argsort(-self.uses[kept], kind="stable")][:KEPT_PIECES // 2]
+        names = list(self.number)
+        self.number = {names[k]: i for i, k in enumerate(kept.tolist())}
+        self.ids, self.size = self.ids[ranges(self.start[kept], self.size[kept])], self.size[kept]
+        self.start, self.uses = np.cumsum(self.size) - self.size, np.zeros(len(kept), np.int64)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -64,6 +70,7 @@ class Encoder:
         sizes = np.concatenate(sizes)
         self.start = np.r_[self.start, len(self.ids) + np.cumsum(sizes) - sizes]
         self.size = np.r_[self.size, sizes]
+        self.uses = np.r_[self.uses, np.zeros(len(sizes), np.int64)]
         self.ids = np.concatenate([self.ids, *ids])
         pieces = whole + joined
         self.number.update(zip(pieces, range(len(self.number), len(self.number) + len(pieces)), strict=True))
@@ -71,7 +78,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, without any end token."""
         if len(self.number) > KEPT_PIECES:
-            self._reset()
+            self._forget()
         out: list[np.ndarray | None] = [None] * len(texts)
         odd = [i for i, t in enumerate(texts) if self.leading and BESIDE.search(t)]
         for i, ids in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
@@ -84,6 +91,7 @@ class Encoder:
         self._learn(list(set().union(*split) - self.number.keys()))
         for i, head, pieces in zip(plain, heads, split, strict=True):
             at = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
+            self.uses[at] += 1
             ids = self.ids[ranges(self.start[at], self.size[at])]
             out[i] = np.concatenate([head, ids]) if len(head) else ids
         return out
