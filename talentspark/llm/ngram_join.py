@@ -29,8 +29,8 @@ from talentspark.llm.common import WordHash, components, mix, with_id
 from talentspark.operators.joins import lookup_join
 from talentspark.session import settle, settle_table
 
-CHUNK_WORDS = 500_000
-BLOCK = 4_000_000
+CHUNK_WORDS = 250_000
+BLOCK = 1_500_000
 DOCS_PER_BUCKET = 4_000
 SKIP = 0.0085  # weight of a probe against a merge step
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
