@@ -5,13 +5,14 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentspark.session import settle
 
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 CACHE_WORDS = 200_000
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 FAN_IN = 32
 
 
@@ -42,6 +43,15 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's bounds of an Arrow batch, unless they are low already: texts can be long, and
+    each batch is held several times by an executor and its Python process."""
+    rows, size = (f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes"))
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+        spark.conf.set(size, f"{BATCH_BYTES}b")
+
+
 def with_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text) with the text's nulls as empty strings; other columns are left behind."""
     return docs.select(

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentspark.llm import chat, decontaminate, language, lm_score, ngram_join, packing, quality, suffix_dedup, token_files, vectors
+from talentspark.llm.common import small_batches
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +28,7 @@ def vocabulary(name: str) -> str:
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
