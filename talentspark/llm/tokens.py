@@ -7,6 +7,7 @@ other characters, from the left. Texts with a space next to other white space ar
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
@@ -26,6 +27,8 @@ class Encoder:
     """``leading``: whether the space before a word belongs to its token."""
 
     def __init__(self, path: str, leading: bool):
+        # a task has one core; the library would start a thread for each core of the machine
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.leading = Tokenizer.from_file(path), leading
