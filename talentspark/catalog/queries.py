@@ -138,7 +138,7 @@ _CONTENT = (
        f"{_CONTENT} AS content FROM ({S.unique_jobs(S.DOC_LISTINGS, T.SKILLS)})")
 def sink_descriptions(spark, sf):
     path = scratch_path(spark, "descriptions")
-    files.sink_descriptions(J.descriptions(_doc_report(spark, sf).jobs), path)
+    files.sink_descriptions(_doc_report(spark, sf).descriptions(), path)
     return spark.read.parquet(path).select("source", "file_name", "content")
 
 

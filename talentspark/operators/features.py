@@ -128,6 +128,7 @@ def embed_with(text: Column, load: Callable[[], Callable], batch_size: int = EMB
     ``load`` runs once per task and returns ``encode(list of texts) -> 2-d array``; texts reach
     it ``batch_size`` at a time.
     """
+    import numpy as np
     import pandas as pd
 
     def encode_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -135,8 +136,8 @@ def embed_with(text: Column, load: Callable[[], Callable], batch_size: int = EMB
         for texts in batches:
             vectors = []
             for at in range(0, len(texts), batch_size):
-                vectors.extend(encode(texts.iloc[at:at + batch_size].tolist()))
-            yield pd.Series([[float(x) for x in v] for v in vectors], index=texts.index)
+                vectors.extend(np.asarray(encode(texts.iloc[at:at + batch_size].tolist()), "float32"))
+            yield pd.Series(vectors, index=texts.index, dtype=object)
 
     return F.pandas_udf(encode_batches, "array<float>")(text)
 

@@ -5,6 +5,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from talentspark.operators import jobs as J
+from talentspark.session import settle_table
 from talentspark.sources.feeds import normalise
 from talentspark.sources.landing import page_window
 
@@ -12,10 +13,12 @@ from talentspark.sources.landing import page_window
 @dataclass(frozen=True)
 class JobReport:
     """``matching``: scored listings, unique per source and id. ``jobs``: also unique per title
-    and company, with the ranking columns still in place."""
+    and company, with the ranking columns still in place. Both come without the description and
+    from one table, so that all summaries together score the listings once; ``scored`` has it."""
 
     matching: DataFrame
     jobs: DataFrame
+    scored: DataFrame
 
     def ranked(self) -> DataFrame:
         return J.rank_jobs(self.jobs).select(*J.JOB_COLUMNS)
@@ -35,11 +38,16 @@ class JobReport:
     def matches_per_source(self) -> DataFrame:
         return J.matches_per_source(self.matching)
 
+    def descriptions(self) -> DataFrame:
+        """The text documents of ``jobs``."""
+        return J.descriptions(J.title_company_dedup(J.uid_dedup(self.scored)))
+
 
 def report(listings: DataFrame, skills: list[str]) -> JobReport:
     """Score, filter, deduplicate. Texts are written for surviving rows only."""
-    matching = J.uid_dedup(J.score_jobs(listings, skills))
-    return JobReport(matching, J.with_description_file(J.title_company_dedup(matching)))
+    scored = J.score_jobs(listings, skills)
+    matching = J.uid_dedup(settle_table(scored.where("skills_matched > 0").drop("description"), "scored-jobs"))
+    return JobReport(matching, J.with_description_file(J.title_company_dedup(matching)), scored)
 
 
 def aggregate_jobs(landed: DataFrame, skills: list[str], max_pages: int | None = 3) -> JobReport:
