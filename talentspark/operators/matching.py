@@ -87,7 +87,9 @@ def match_pairs(
     copy_no = F.row_number().over(Window.partitionBy("j").orderBy("job_id"))
     members = job_sets.select("j", "job_id").withColumn("_n", copy_no).where(F.col("_n") <= top_k).drop("_n")
     best = F.row_number().over(Window.partitionBy("r").orderBy(F.desc("score"), "job_id"))
-    top = scored.join(members, "j").withColumn("rank", best).where(F.col("rank") <= top_k)
+    # a short job that most resumes match is one key here
+    named = skew_join(settle_table(scored, "scored-sets"), members, ["j"], "inner", ["r"])
+    top = named.withColumn("rank", best).where(F.col("rank") <= top_k)
     return skew_join(resume_sets.select("resume_id", "r"), top, ["r"], "inner", ["resume_id"]).select(
         "resume_id", "job_id", "score", "rank"
     )
