@@ -1,11 +1,17 @@
 """Cross-entropy difference of two n-gram models with one vocabulary.
 
-The target model counts the target documents, the background model an equally large part of all
-documents, chosen by a hash. Both number words and n-grams alike: a word is a hash slot out of
-``WORDS``, its pairs and triples slots out of ``GRAMS``; so the models have a fixed size and cover every
-token. A task counts its rows into such tables, the tables are summed up by slices, and each document
-gets its mean loss per token under either model (triples backed off to pairs, words and a uniform share).
-A document that a model counted is taken off its counts while it is scored.
+The target model counts the target documents, the background model all documents; its counts are
+scaled to the target's number of tokens, so that the lower orders weigh alike in both. Words, pairs and
+triples are counted by 64-bit hashes, each by its own: what is gathered grows with the input.
+
+1. Documents are dealt by a hash into chunks of about ``CHUNK`` characters. A chunk sends each of its
+   distinct n-grams once, with its counts, to the n-gram's bucket; so a frequent n-gram costs a bucket
+   no more than one entry a chunk.
+2. A bucket sums up and answers each chunk with the sums, in the order of what the chunk sent.
+3. A chunk puts the sums to its tokens again, and each document gets its mean loss per token under
+   either model (triples backed off to pairs, words and a uniform share of the distinct words).
+
+What a model counted of a document is taken off its counts while the document is scored.
 
 Edge cases: null and empty texts have no tokens and null losses; without target documents both models
 are uniform and every difference is 0; rows without an id are scored and counted as background only;
@@ -24,79 +30,122 @@ from pyspark.sql import functions as F
 
 from talentspark.llm.common import WordHash, mix
 from talentspark.operators.joins import lookup_join
-from talentspark.session import settle_table
 
-WORDS, GRAMS = 1 << 18, 1 << 19
-SLICE = 1 << 16
 PRIOR = (0.5, 8.0, 4.0)  # weight of the next lower order
 CHUNK = 4_000_000
-SIZES = (WORDS, GRAMS, GRAMS)
-OFFSETS = np.cumsum((0, *SIZES))
-RATE = 1_000_000
+LEAST_PARTS = 64  # chunks and buckets of a small input
+ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+COUNTS = "chunk int, bucket int, keys binary, target binary, whole binary"
+SCORES = "doc_id long, n_tokens long, target_loss double, background_loss double, difference double"
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Unsigned integers without the high bytes that none of them uses, one byte plane after the other."""
+    x = x.astype("<u8")
+    width = -(-int(x.max()).bit_length() // 8) if len(x) else 0
+    return x.view(np.uint8).reshape(-1, 8).T[:width].tobytes() + len(x).to_bytes(8, "little")
+
+
+def unpack(v: bytes) -> np.ndarray:
+    size = int.from_bytes(v[-8:], "little")
+    out = np.zeros((size, 8), np.uint8)
+    if size:
+        planes = np.frombuffer(v, np.uint8, len(v) - 8).reshape(-1, size)
+        out[:, :len(planes)] = planes.T
+    return out.view("<u8").ravel()
 
 
-def slots(texts: list[str | None], cache: WordHash) -> tuple[list[np.ndarray], np.ndarray]:
-    """Slots of each token's word, pair and triple (of the tokens before it), and the tokens of each text."""
+def grams(texts: list[str | None], cache: WordHash) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (3, tokens) of each token's word, pair and triple (with the tokens before it), and the tokens of each text."""
     split = [(t or "").lower().encode("utf-8", "replace").split() for t in texts]
     sizes = np.fromiter(map(len, split), np.int64, len(split))
-    word = cache.of([w for s in split for w in s]) % np.uint64(WORDS)
-    first = np.zeros(len(word) + 1, bool)
-    first[np.cumsum(sizes) - sizes] = True
-    first = first[:len(word)]
-    before = np.where(first, np.uint64(WORDS), np.r_[np.uint64(WORDS), word[:-1]]) if len(word) else word
-    second = np.where(first, np.uint64(WORDS), np.r_[np.uint64(WORDS), before[:-1]]) if len(word) else word
-    pair = mix((before << np.uint64(20)) + word) % np.uint64(GRAMS)
-    triple = mix((second << np.uint64(40)) + (before << np.uint64(20)) + word + np.uint64(1 << 60)) % np.uint64(GRAMS)
-    back = mix((second << np.uint64(20)) + before) % np.uint64(GRAMS)  # the pair that a triple continues
-    return [x.astype(np.int64) for x in (word, pair, triple, before, back)], sizes
-
-
-def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        size = batch["text"].fillna("").map(len).cumsum() // CHUNK
-        for _, part in batch.groupby(size, sort=False):
-            yield part
-
-
-def count(docs: DataFrame) -> DataFrame:
-    """(slice, target, background): counted tokens of (text, target, background), per task and slice."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, table = WordHash(), np.zeros((2, OFFSETS[-1]), np.int64)
-        for part in chunks(batches):
-            found, sizes = slots(part["text"].tolist(), cache)
-            for model, name in enumerate(("target", "background")):
-                use = np.repeat(part[name].to_numpy(bool), sizes)
-                for order in range(3):
-                    table[model, OFFSETS[order]:OFFSETS[order + 1]] += np.bincount(found[order][use], minlength=SIZES[order])
-        for k in range(0, OFFSETS[-1], SLICE):
-            own = table[:, k:k + SLICE]
-            if own.any():
-                yield pd.DataFrame({"slice": [k // SLICE], "v": [own.astype(np.int32).tobytes()]})
-
-    return docs.mapInPandas(run, "slice int, v binary")
-
-
-def add(frame: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros((2, SLICE), np.int64)
-    for v in frame["v"]:
-        total += np.frombuffer(v, np.int32).reshape(2, -1)
-    return pd.DataFrame({"slice": [int(frame["slice"].iloc[0])], "v": [total.tobytes()]})
-
-
-def train(docs: DataFrame) -> np.ndarray:
-    """Counts (2, slots) of the target and the background model, from (text, target, background)."""
-    parts = settle_table(count(docs).withColumn("part", F.spark_partition_id() % 64), "lm-counts")
-    once = parts.groupBy("slice", "part").applyInPandas(add, "slice int, v binary")
-    table = np.zeros((2, OFFSETS[-1]), np.int64)
-    # a fixed number of slices, whatever the input
-    for row in once.groupBy("slice").applyInPandas(_add_wide, "slice int, v binary").toLocalIterator():
-        table[:, row["slice"] * SLICE:(row["slice"] + 1) * SLICE] = np.frombuffer(row["v"], np.int64).reshape(2, -1)
-    return table
-
-
-def _add_wide(frame: pd.DataFrame) -> pd.DataFrame:
-    total = np.sum([np.frombuffer(v, np.int64) for v in frame["v"]], axis=0)
-    return pd.DataFrame({"slice": [int(frame["slice"].iloc[0])], "v": [total.tobytes()]})
+    first = (np.cumsum(sizes) - sizes)[sizes > 0]
+
+    def before(x: np.ndarray) -> np.ndarray:
+        out = np.empty_like(x)
+        out[1:] = x[:-1]
+        out[first] = 0
+        return out
+
+    word = mix(cache.of([w for s in split for w in s]) + ODD[0])
+    pair = mix(mix(before(word) + ODD[1]) + word)
+    triple = mix(mix(before(pair) + ODD[2]) + word)
+    return np.stack([word, pair, triple]), sizes
+
+
+def tally(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in ascending order and how often each occurs."""
+    keys = np.sort(keys)
+    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[at], np.diff(np.r_[at, len(keys)])
+
+
+def runs(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
+    """(bucket, its part) of ascending keys."""
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+    for b in np.unique(bucket).tolist():
+        yield b, slice(int(ends[b - 1]) if b else 0, int(ends[b]))
+
+
+def measure(rows: DataFrame, buckets: int) -> tuple[int, int, int]:
+    """Tokens of the target documents, tokens of all, and distinct words, of (text, target)."""
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache, seen, target, whole = WordHash(), set(), 0, 0
+
+        def send() -> pd.DataFrame:
+            keys = np.sort(cache.of(list(seen)))
+            out = [(b, keys[part].tobytes(), 0, 0) for b, part in runs(keys, buckets)] + [(0, b"", target, whole)]
+            return pd.DataFrame(out, columns=["bucket", "keys", "target", "whole"])
+
+        for batch in batches:
+            for text, chosen in zip(batch["text"], batch["target"], strict=True):
+                found = (text or "").lower().encode("utf-8", "replace").split()
+                seen.update(found)
+                whole += len(found)
+                target += len(found) * bool(chosen)
+            if len(seen) >= 200_000:
+                yield send()
+                seen, target, whole = set(), 0, 0
+        yield send()
+
+    def distinct(frame: pd.DataFrame) -> pd.DataFrame:
+        keys = np.concatenate([np.frombuffer(x, np.uint64) for x in frame["keys"]])
+        return pd.DataFrame({"words": [len(np.unique(keys))], "target": [frame["target"].sum()], "whole": [frame["whole"].sum()]})
+
+    sent = rows.select("text", "target").mapInPandas(words, "bucket int, keys binary, target long, whole long")
+    sums = sent.groupBy("bucket").applyInPandas(distinct, "words long, target long, whole long")
+    return tuple(x or 0 for x in sums.agg(F.sum("target"), F.sum("whole"), F.sum("words")).first())
+
+
+def count(chunks: DataFrame, buckets: int) -> DataFrame:
+    """Per chunk and bucket, the sums over all chunks of the chunk's distinct n-grams, in ascending order of their keys."""
+    def send(frame: pd.DataFrame) -> pd.DataFrame:
+        keys, sizes = grams(frame["text"].tolist(), WordHash())
+        found, whole = tally(keys.ravel())
+        some, number = tally(keys[:, np.repeat(frame["target"].to_numpy(bool), sizes)].ravel())
+        target = np.zeros(len(found), np.int64)
+        target[np.searchsorted(found, some)] = number
+        chunk = int(frame["chunk"].iloc[0])
+        out = [
+            (chunk, b, pack(np.diff(found[part], prepend=np.uint64(0))), pack(target[part]), pack(whole[part]))
+            for b, part in runs(found, buckets)
+        ]
+        return pd.DataFrame(out, columns=["chunk", "bucket", "keys", "target", "whole"])
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        parts = [np.cumsum(unpack(v), dtype=np.uint64) for v in frame["keys"]]
+        ends = np.cumsum([len(p) for p in parts])[:-1]
+        _, at = np.unique(np.concatenate(parts), return_inverse=True)
+        out = frame[["chunk", "bucket"]].assign(keys=b"")
+        for name in ("target", "whole"):
+            # sums of whole numbers, exact below 2 ** 53
+            total = np.bincount(at, np.concatenate([unpack(v) for v in frame[name]])).astype(np.uint64)
+            out[name] = [pack(x) for x in np.split(total[at], ends)]
+        return out
+
+    sent = chunks.groupBy("chunk").applyInPandas(send, COUNTS)
+    return sent.groupBy("bucket").applyInPandas(add, COUNTS).select("chunk", "bucket", "target", "whole")
 
 
 def own_counts(slot: np.ndarray, owner: np.ndarray, size: int) -> np.ndarray:
@@ -105,26 +154,25 @@ def own_counts(slot: np.ndarray, owner: np.ndarray, size: int) -> np.ndarray:
     return number[at]
 
 
-def losses(table: np.ndarray, found: list[np.ndarray], owner: np.ndarray, inside: np.ndarray) -> np.ndarray:
-    """Loss in bits of each token under each model. ``inside[model, text]``: the model counted the text;
-    what it counted there is taken off again, so no text is scored by itself."""
-    word, pair, triple, before, back = found
+def losses(
+    counts: np.ndarray, own: np.ndarray, owner: np.ndarray, inside: np.ndarray, tokens: tuple[int, int], words: int
+) -> np.ndarray:
+    """Loss in bits of each token under each model, from its n-grams' counts (model, order, token) and those
+    in its own text. ``inside[model, text]``: the model counted the text; what it counted there is taken off
+    again, so no text is scored by itself. ``tokens``: how many each model counted; the second is scaled to the first."""
     n = np.bincount(owner, minlength=inside.shape[1])[owner]
-    own = [own_counts(s, owner, z) for s, z in zip((word, pair, triple), SIZES, strict=True)]
-    own_before = np.r_[0, own[0][:-1]] if len(word) else n
-    own_back = np.r_[0, own[1][:-1]] if len(word) else n
+    first = np.r_[True, owner[1:] != owner[:-1]]
     out = []
-    for model, counted in zip(table, inside, strict=True):
-        unit, pairs, triples = (model[OFFSETS[o]:OFFSETS[o + 1]] for o in range(3))
+    for model, counted, size in zip(counts, inside, tokens, strict=True):
+        scale = tokens[0] / size if size else 0.0
         less = counted[owner].astype(np.int64)
-        first = before == WORDS
-        p = (unit[word] - less * own[0] + PRIOR[0]) / (unit.sum() - less * n + PRIOR[0] * WORDS)
-        for counts, own_count, context, own_context, prior in (
-            (pairs[pair], own[1], np.r_[unit, 0][before], own_before, PRIOR[1]), (triples[triple], own[2], pairs[back], own_back, PRIOR[2])
-        ):
-            seen = np.maximum(context - less * own_context, 0)
-            both = np.clip(counts - less * own_count, 0, seen)
-            p = np.where(first, p, (both + prior * p) / (seen + prior))
+        rest = np.maximum(model - less * own, 0) * scale
+        p = (rest[0] + PRIOR[0]) / ((size - less * n) * scale + PRIOR[0] * words)
+        for order in (1, 2):
+            # how often the last word, or the last pair, before the token was seen
+            seen = np.r_[0, model[order - 1][:-1]] - less * np.r_[0, own[order - 1][:-1]]
+            seen = np.maximum(seen, 0) * scale
+            p = np.where(first, p, (np.minimum(rest[order], seen) + PRIOR[order] * p) / (seen + PRIOR[order]))
         out.append(-np.log2(p))
     return np.array(out)
 
@@ -134,29 +182,30 @@ def score(docs: DataFrame, targets: DataFrame) -> DataFrame:
 
     ``targets`` holds the doc_id of the target documents.
     """
-    spark = docs.sparkSession
     ids = targets.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().withColumn("target", F.lit(True))
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("h"))
     rows = lookup_join(rows, ids, ["doc_id"], "left", spread_by=["h"]).withColumn("target", F.coalesce("target", F.lit(False)))
-    size = F.coalesce(F.length("text"), F.lit(0))
-    target, whole = rows.agg(F.sum(F.when(F.col("target"), size)), F.sum(size)).first()
-    rate = round(RATE * (target or 0) / (whole or 1))
-    rows = rows.withColumn("background", F.pmod("h", F.lit(RATE)) < rate)
-    table = spark.sparkContext.broadcast(train(rows.where("target OR background").select("text", "target", "background")))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordHash()
-        for part in chunks(batches):
-            found, sizes = slots(part["text"].tolist(), cache)
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            lost = losses(table.value, found, owner, part[["target", "background"]].to_numpy(bool).T)
-            mean = [np.bincount(owner, x, len(sizes)) / np.where(sizes, sizes, np.nan) for x in lost]
-            out = pd.DataFrame({
-                "doc_id": part["doc_id"].astype("Int64"), "n_tokens": sizes, "target_loss": mean[0],
-                "background_loss": mean[1], "difference": mean[0] - mean[1],
-            })
-            yield out.astype({c: "Float64" for c in ("target_loss", "background_loss", "difference")})
-
-    return rows.select("doc_id", "text", "target", "background").mapInPandas(
-        run, "doc_id long, n_tokens long, target_loss double, background_loss double, difference double"
-    )
+    parts = max(LEAST_PARTS, (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // CHUNK)
+    in_target, in_all, words = measure(rows, parts)
+    chunks = rows.select("doc_id", "text", "target", F.pmod("h", F.lit(parts)).cast("int").alias("chunk"))
+
+    def run(frame: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
+        keys, sizes = grams(frame["text"].tolist(), WordHash())
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        found, at = np.unique(keys.ravel(), return_inverse=True)
+        at = at.reshape(keys.shape)
+        sums = sums.sort_values("bucket")
+        lost = np.zeros((2, 0))
+        if len(found):
+            counts = np.stack([np.concatenate([unpack(v) for v in sums[c]]).astype(np.int64) for c in ("target", "whole")])
+            own = np.stack([own_counts(x, owner, len(found)) for x in at])
+            inside = np.stack([frame["target"].to_numpy(bool), np.ones(len(frame), bool)])
+            lost = losses(counts[:, at], own, owner, inside, (in_target, in_all), words)
+        mean = [np.bincount(owner, x, len(sizes)) / np.where(sizes, sizes, np.nan) for x in lost]
+        out = pd.DataFrame({
+            "doc_id": frame["doc_id"].astype("Int64"), "n_tokens": sizes, "target_loss": mean[0],
+            "background_loss": mean[1], "difference": mean[0] - mean[1],
+        })
+        return out.astype({c: "Float64" for c in ("target_loss", "background_loss", "difference")})
+
+    return chunks.groupBy("chunk").cogroup(count(chunks, parts).groupBy("chunk")).applyInPandas(run, SCORES)
