@@ -6,6 +6,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from talentspark.llm import lm_score
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -68,3 +69,15 @@ def test_lm_score_keeps_many_ngrams_apart():
     assert sizes.tolist() == [400_000] and len(np.unique(keys)) == 3 * len(np.unique(keys[0])) == 1_200_000
     some = np.sort(keys[0])
     assert np.array_equal(np.cumsum(lm_score.unpack(lm_score.pack(np.diff(some, prepend=np.uint64(0)))), dtype=np.uint64), some)
+
+
+def test_pipeline_drops_copies_of_four_fifths(spark, sf):
+    rng = random.Random(23)
+    text = words(rng, 400)
+    longer = text + words(rng, 60)  # 0.87 on five words and on three
+    edited = list(text)
+    for k in range(25, 400, 50):
+        edited[k] = "edited"  # 0.82 on five words, 0.88 on three
+    other = text[:200] + words(rng, 200)
+    docs = frame(spark, [" ".join(w) for w in (text, longer, edited, other)])
+    assert sorted(r.doc_id for r in corpus_pipeline.distinct(spark, docs, sf).collect()) == [0, 3]
