@@ -5,12 +5,13 @@ Texts and items are sequences of lower-cased words (``\\w+``). A passage matches
 their word edit distance is at most ``DIFFER`` of n. Steps, on blocks of concatenated texts:
 
 1. a lossless filter: d edits leave at least n - 1 - 2d of the item's word pairs, so windows with fewer
-   benchmark pairs are skipped;
-2. CGK embedding: a random walk, steered by the words, maps each remaining item-sized window (and each
-   item) to 3n places, so that a small edit distance becomes a small Hamming distance;
-3. LSH by bit sampling: ``BANDS`` samples of ``SAMPLE`` places in each of ``WALKS`` walks; a window and
-   an item that agree on one sample are a candidate;
-4. exact verification: the best alignment of the item to any passage around the window.
+   pairs of items of that length are skipped;
+2. the same for each item: among the pairs of what is left, an inverted list finds the stretches that
+   hold that many pairs of one item, from whichever word they start;
+3. exact verification of them all: the best alignment of the item to any passage around the stretch.
+
+Both filters are lossless, so every passage within the distance is found (a recall of 1 at any edit
+rate up to ``DIFFER``); embedding and sampling, which miss some, are not needed.
 
 The benchmark travels to the tasks; above ``ITEM_BYTES`` it does so in blocks, one column each.
 
@@ -35,11 +36,10 @@ from talentspark.llm.common import mix, ranges
 
 DIFFER = 0.2
 MIN_WORDS = 5
-WALKS, BANDS, SAMPLE = 10, 6, 2
-STRETCH = 3
 ITEM_BYTES = 16 << 20
 BLOCK_WORDS = 800_000
 PAIR_BITS = 20
+LIST_ENTRIES = 4_000_000
 WORD = re.compile(r"\w+")
 MATCH = "array<struct<item_id:bigint,start:int,end:int,distance:int,n_words:int>>"
 
@@ -52,6 +52,14 @@ def edits(n: int, differ: float = DIFFER) -> int:
     return int(math.floor(differ * n + 1e-9))
 
 
+def pieces(at: np.ndarray, lengths: np.ndarray, size: int) -> list[slice]:
+    """Cuts of ascending places into parts of about ``LIST_ENTRIES``, where places lie ``size`` or more apart."""
+    free = np.flatnonzero(np.diff(at) >= size) + 1
+    number = np.cumsum(lengths)[free - 1] // LIST_ENTRIES
+    cuts = free[np.flatnonzero(np.diff(number, prepend=0))].tolist()
+    return [slice(a, b) for a, b in zip([0, *cuts], [*cuts, len(at)], strict=True)]
+
+
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     """(distance, first, end) of the passage part that is nearest to the item; the earliest, shortest one of several."""
     cost, origin = [0] * (len(passage) + 1), list(range(len(passage) + 1))
@@ -71,13 +79,24 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return cost[end], origin[end], end
 
 
+def near_parts(item: np.ndarray, passage: np.ndarray, d: int) -> list[tuple[int, int, int]]:
+    """The nearest part within ``d`` edits of the item, and those of what lies before it."""
+    out = []
+    while len(passage) >= len(item) - d:
+        distance, first, end = align(item, passage)
+        if distance > d:
+            break
+        out.append((distance, first, end))
+        passage = passage[:first]
+    return out
+
+
 @dataclass
 class Benchmark:
-    """Word numbers, pair table and the sampled walks of a block of items."""
+    """Word numbers, pair table and the pairs' inverted lists of a block of items."""
 
     ids: list[int]
     items: list[list[str]]
-    seed: int = 11
 
     def prepare(self) -> None:
         self.number = {}
@@ -92,43 +111,22 @@ class Benchmark:
         self.short = lengths[0] + edits(lengths[0])
         self.gate = min(-(-self.need[n] // -(-(n + edits(n)) // self.short)) for n in lengths)
         self.by_length = {n: [k for k, item in enumerate(self.coded) if len(item) == n] for n in lengths}
-        self.keys, self.made = {}, {}
-        for n, members in self.by_length.items():
-            flat = np.concatenate([self.coded[k] for k in members])
-            self.keys[n] = self.embed(flat, np.arange(len(members)) * n, n)
+        self.holders = {n: self.inverted(members) for n, members in self.by_length.items()}
+
+    def inverted(self, members: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pairs of the items, where the list of each begins (and the last one ends), and the lists of items."""
+        pairs = np.concatenate([self.pair(self.coded[k][:-1], self.coded[k][1:]) for k in members])
+        owner = np.repeat(members, [len(self.coded[k]) - 1 for k in members])
+        both = np.unique(np.stack([pairs, owner], 1), axis=0)
+        keys, first = np.unique(both[:, 0], return_index=True)
+        return keys, np.r_[first, len(both)], both[:, 1]
 
     def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         h = mix((a.astype(np.uint64) << np.uint64(32)) + b.astype(np.uint64))
         return (h >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
 
-    def walks(self, n: int) -> list[tuple[np.ndarray, list[list[int]]]]:
-        """Of each walk over n words, what steers its steps and the samples that take in each step's word."""
-        if n not in self.made:
-            self.made[n] = []
-            for walk in range(WALKS):
-                rng = np.random.default_rng([self.seed, n, walk])
-                places = [rng.choice(STRETCH * n, SAMPLE, replace=False).tolist() for _ in range(BANDS)]
-                last = max(map(max, places)) + 1
-                steer = rng.integers(1, 1 << 62, last).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-                self.made[n].append((steer, [[b for b in range(BANDS) if j in places[b]] for j in range(last)]))
-        return self.made[n]
-
-    def embed(self, codes: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-        """Keys (walk x band, window) of the n-word windows at ``starts``: hashes of sampled places of the walks."""
-        out = np.zeros((WALKS * BANDS, len(starts)), np.uint64)
-        padded = np.r_[codes, -2]
-        for walk, (steer, taken) in enumerate(self.walks(n)):
-            at = np.zeros(len(starts), np.int64)
-            for step, bands in zip(steer, taken, strict=True):
-                word = padded[np.where(at < n, starts + at, len(codes))].astype(np.uint64)
-                for band in bands:
-                    row = walk * BANDS + band
-                    out[row] = mix(out[row] * np.uint64(31) + word + np.uint64(7))
-                at += ((word + np.uint64(1)) * step >> np.uint64(63)).astype(np.int64)
-        return out
-
     def candidates(self, codes: np.ndarray) -> set[tuple[int, int]]:
-        """(window start, item number) that agree on a sample."""
+        """(first pair, item number) of the stretches that hold enough pairs of the item."""
         both = (codes[:-1] >= 0) & (codes[1:] >= 0)
         held = np.zeros(len(codes), np.uint64)
         held[:-1][both] = self.pairs[self.pair(codes[:-1][both], codes[1:][both])]
@@ -148,21 +146,31 @@ class Benchmark:
         high = np.minimum(near[np.r_[cut, len(near) - 1]] + reach, len(codes))
         spots = np.concatenate([np.r_[np.arange(a, b), np.full(reach, -1)] for a, b in zip(low, high, strict=True)])
         codes, held = np.where(spots < 0, -1, codes[spots]), np.where(spots < 0, np.uint64(0), held[spots])
-        for n, members in self.by_length.items():
-            enough = within((held >> np.uint64(n % 64)) & np.uint64(1), n + edits(n)) >= self.need[n]
-            starts = np.flatnonzero(enough & (codes >= 0))
-            # a shift by a few words is as many edits, which the walks bear
-            starts = starts[(starts % max(1, edits(n) // 2) == 0) | ~enough[starts - 1] | (codes[starts - 1] < 0)]
-            starts = starts[starts + n <= len(codes)]
-            if not len(starts):
-                continue
-            windows, items = self.embed(codes, starts, n), self.keys[n]
-            for w, i in zip(windows, items, strict=True):
-                order = np.argsort(i, kind="stable")
-                low, high = np.searchsorted(i[order], w, "left"), np.searchsorted(i[order], w, "right")
-                some = np.flatnonzero(high > low)
-                which = np.repeat(some, (high - low)[some])
-                found.update(zip(spots[starts[which]].tolist(), [members[k] for k in order[ranges(low[some], (high - low)[some])]], strict=True))
+        code = np.zeros(len(codes), np.int64)
+        code[:-1] = self.pair(codes[:-1], codes[1:])
+        for n, need in self.need.items():
+            of_length = (held >> np.uint64(n % 64)) & np.uint64(1)
+            size = n + edits(n)
+            enough = within(of_length, size) >= need
+            # the pairs within some such window
+            covered = np.cumsum(np.r_[enough, np.zeros(size, bool)].astype(np.int64) - np.r_[np.zeros(size, bool), enough])[:len(codes)] > 0
+            at = np.flatnonzero(covered & (of_length > 0))
+            keys, begin, items = self.holders[n]
+            where = np.minimum(np.searchsorted(keys, code[at]), len(keys) - 1)
+            known = keys[where] == code[at]
+            at, where = at[known], where[known]
+            # a bounded number of list entries at a time, cut where no window reaches over
+            lengths = begin[where + 1] - begin[where]
+            for part in pieces(at, lengths, size):
+                item, place = items[ranges(begin[where[part]], lengths[part])], np.repeat(at[part], lengths[part])
+                order = np.argsort(item, kind="stable")
+                item, place = item[order], place[order]
+                last = np.arange(len(item)) + need - 1
+                first = np.flatnonzero(last < len(item))
+                last = last[first]
+                # n + d words hold pairs that begin at most n + d - 2 words apart
+                hit = first[(item[last] == item[first]) & (place[last] - place[first] <= size - 2)]
+                found.update(zip(spots[place[hit]].tolist(), item[hit].tolist(), strict=True))
         return found
 
     def matches(self, texts: list[str | None]) -> list[list[tuple]]:
@@ -199,18 +207,18 @@ class Benchmark:
             item, at = self.coded[k], 0
             n, d = len(item), edits(len(item))
             while at < len(own):
-                # neighbouring windows are verified together
+                # neighbouring stretches are verified together
                 low, at = own[at], int(np.searchsorted(own, own[at] + n // 2, "right"))
                 last = own[at - 1]
                 if last < reached.get((doc, k), 0):
                     continue
-                low = max(low - d, int(begin[doc]), reached.get((doc, k), 0))
+                # each edit keeps at most two words before the first pair
+                low = max(low - 2 * d, int(begin[doc]), reached.get((doc, k), 0))
                 passage = codes[low:min(last + n + 2 * d, int(begin[doc + 1]) - len(gap))]
                 if np.isin(item, passage).sum() < n - d:
                     continue
-                distance, first, end = align(item, passage)
-                if distance <= d:
-                    reached[doc, k] = low + end
+                for distance, first, end in near_parts(item, passage, d):
+                    reached[doc, k] = max(low + end, reached.get((doc, k), 0))
                     out[doc].append((k, low + first - int(begin[doc]), low + end - int(begin[doc]), distance))
         for doc, found in enumerate(out):
             if found:
@@ -242,7 +250,7 @@ def found(text: Column, block: Benchmark) -> Column:
     """The matches of a text as an array of ``MATCH`` structs; offsets count characters of the lower-cased text."""
     @F.pandas_udf(MATCH)
     def run(texts: pd.Series) -> pd.Series:
-        if not hasattr(block, "keys"):
+        if not hasattr(block, "holders"):
             block.prepare()
         names = ("item_id", "start", "end", "distance", "n_words")
         return pd.Series([[dict(zip(names, m, strict=True)) for m in row] for row in block.matches(texts.tolist())])

@@ -4,10 +4,11 @@ import collections
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from talentspark.llm import lm_score
+from talentspark.llm import decontaminate, lm_score
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -81,3 +82,27 @@ def test_pipeline_drops_copies_of_four_fifths(spark, sf):
     other = text[:200] + words(rng, 200)
     docs = frame(spark, [" ".join(w) for w in (text, longer, edited, other)])
     assert sorted(r.doc_id for r in corpus_pipeline.distinct(spark, docs, sf).collect()) == [0, 3]
+
+
+def edited(rng, item, n):
+    """``item`` after n edits: words changed, left out or put in, at n places."""
+    out = [[w] for w in item]
+    for k in rng.sample(range(len(item)), n):
+        out[k] = rng.choice([["changed"], [], ["put", out[k][0]]])
+    return [w for part in out for w in part]
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.05, 0.1, 0.2])
+def test_decontaminate_finds_all_up_to_the_threshold(spark, rate):
+    rng = random.Random(24)
+    items = [words(rng, rng.randrange(15, 60)) for _ in range(80)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    docs = [" ".join(words(rng, 40) + edited(rng, w, int(rate * len(w) + 1e-9)) + words(rng, 40)) for w in items]
+    # every other word from the first on is changed, so the first pair comes late; and a worse copy before a better one
+    w = items[0]
+    docs.append(" ".join(["changed" if k % 2 == 0 and k < 2 * int(rate * len(w)) else x for k, x in enumerate(w)]))
+    docs.append(" ".join(edited(rng, w, int(rate * len(w) + 1e-9)) + w))
+    found = decontaminate.matches(frame(spark, docs), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(i, i) for i in range(80)} | {(80, 0), (81, 0)}
+    assert all(r.distance <= int(rate * r.n_words + 1e-9) for r in found)
+    assert sum(r.doc_id == 81 for r in found) == 2
