@@ -8,8 +8,8 @@
    the overlap T. What reaches it is compared exactly (100 * intersection >= t * union).
 
 Equal sets are one class from the start and are worked on once. Blocks above ``BLOCK`` shingles are cut
-into pieces that are compared two by two, each pair in a task of its own. A task reports at most a
-spanning forest of its links, never all pairs.
+into pieces that are compared two by two, each pair of documents in one task only. All links are verified
+and counted; a task reports the number of links of each document and a spanning forest, never all pairs.
 
 Edge cases: texts that are null or without words have an empty set and link with nothing; with fewer
 than n words the whole sequence is the one shingle; rows that share an id are one document; a row
@@ -169,8 +169,8 @@ class Index:
         self.length = np.bincount(token)
         self.start = np.cumsum(self.length) - self.length
 
-    def at_least(self, q: int, percent: int, same: np.ndarray) -> np.ndarray:
-        """Sets before ``q`` that reach the similarity, without those that ``same`` marks."""
+    def at_least(self, q: int, percent: int, use: np.ndarray) -> np.ndarray:
+        """Sets before ``q`` that reach the similarity, of those that ``use`` marks."""
         own, size, count = self.tokens[q], self.sizes[q], len(self.sizes)
         need = -(-percent * size // 100)
         own = own[self.length[own] > 1]
@@ -183,7 +183,7 @@ class Index:
         merged = self.docs[_spans(self.start[short], self.length[short])]
         hits = np.bincount(merged[merged < q], minlength=0)
         found = np.flatnonzero(hits >= max(need - skipped, 1))
-        found = found[~same[found] & (100 * np.minimum(self.sizes[found], size) >= percent * np.maximum(self.sizes[found], size))]
+        found = found[use[found] & (100 * np.minimum(self.sizes[found], size) >= percent * np.maximum(self.sizes[found], size))]
         if not len(found):
             return found
         total = hits[found]
@@ -199,20 +199,27 @@ def _spans(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - length), length)
 
 
-def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that connect exactly what the links of similarity >= percent connect."""
+def linked(
+    sets: list[np.ndarray], percent: int, copies: np.ndarray, cut: np.ndarray, across: bool
+) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links that connect exactly what the links of similarity >= percent connect, and how many documents each
+    set links with, of ``copies`` a set. Only pairs of different (``across``) or of equal cuts are compared."""
     index, group = Index(sets), np.arange(len(sets))
-    links = []
+    links, number = [], np.zeros(len(sets), np.int64)
     for q in range(len(sets)):
-        for other in index.at_least(q, percent, group[:q] == group[q]):
-            if group[other] != group[q]:
-                links.append((q, int(other)))
-                group[group == group[q]] = group[other]
-    return links
+        others = index.at_least(q, percent, (cut[:q] != cut[q]) == across)
+        number[q] += copies[others].sum()
+        number[others] += copies[q]
+        for g in np.unique(group[others]).tolist():
+            if g != group[q]:
+                links.append((q, int(others[group[others] == g][0])))
+                group[group == group[q]] = g
+    return links, number
 
 
 def classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+    """Per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable by links) and n_links
+    (other documents of similarity >= percent, equal ones among them)."""
     spark = docs.sparkSession
     rows = with_id(docs)
     buckets = max(16, docs.count() // DOCS_PER_BUCKET)
@@ -224,20 +231,22 @@ def classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 
     digest = ["n", "d1", "d2"]
     reps = settle(
-        info.where("n > 0 AND doc_id IS NOT NULL").groupBy(*digest).agg(F.min("doc_id").alias("rep"))
+        info.where("n > 0 AND doc_id IS NOT NULL").groupBy(*digest).agg(
+            F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies")
+        )
     )
-    members = blocks.join(reps.select(F.col("rep").alias("id"), "n"), "id")
+    members = blocks.join(reps.select(F.col("rep").alias("id"), "n", "copies"), "id")
     sizes = members.groupBy("component_id").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).where("m > 1")
     members = members.join(sizes, "component_id").withColumn("cuts", F.ceil(F.col("total") / BLOCK).cast("int"))
     cut = F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")
     members = members.withColumn("cut", cut).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     whole = F.col("cuts") == 1
     tasks = members.select(
-        F.col("id").alias("doc_id"),
+        F.col("id").alias("doc_id"), "copies", "cut",
         F.when(whole, F.pmod(F.xxhash64("component_id"), F.lit(buckets * 4))).otherwise(F.col("component_id")).alias("task"),
         whole.alias("whole"), F.least("cut", "other").alias("i"), F.greatest("cut", "other").alias("j"),
     )
-    tasks = settle(tasks.groupBy("doc_id").agg(F.collect_list(F.struct("task", "whole", "i", "j")).alias("tasks")))
+    tasks = settle(tasks.groupBy("doc_id").agg(F.collect_list(F.struct("task", "whole", "i", "j", "cut", "copies")).alias("tasks")))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = WordHash()
@@ -246,7 +255,7 @@ def classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
                 "doc_id": batch["doc_id"], "tasks": batch["tasks"], "s": [shingles(t, n, cache).tobytes() for t in batch["text"]]
             })
 
-    task = "array<struct<task:bigint,whole:boolean,i:int,j:int>>"
+    task = "array<struct<task:bigint,whole:boolean,i:int,j:int,cut:int,copies:bigint>>"
     shipped = lookup_join(rows.where("doc_id IS NOT NULL"), tasks, ["doc_id"], spread_by=["doc_id"]).mapInPandas(
         sets, f"doc_id long, tasks {task}, s binary"
     ).select("doc_id", "s", F.explode("tasks").alias("t")).select("doc_id", "s", "t.*")
@@ -254,13 +263,21 @@ def classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     def search(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates(["doc_id", "s"])
         ids = frame["doc_id"].to_numpy()
-        links = forest([np.frombuffer(s, np.uint64) for s in frame["s"]], percent)
-        return pd.DataFrame([(ids[a], ids[b]) for a, b in links], columns=["a", "b"]).astype("int64")
-
-    links = shipped.groupBy("task", "whole", "i", "j").applyInPandas(search, "a long, b long")
-    linked = components(links).select(F.col("id").alias("rep"), "component_id")
-    found = info.join(reps, digest, "left").join(linked, "rep", "left")
+        sets, copies, cut = [np.frombuffer(s, np.uint64) for s in frame["s"]], frame["copies"].to_numpy(), frame["cut"].to_numpy()
+        # a pair of one cut is also in the cut's tasks with the others
+        links, number = linked(sets, percent, copies, cut, bool(frame["i"].iloc[0] != frame["j"].iloc[0]))
+        out = [(ids[a], ids[b], 0) for a, b in links] + [(v, v, c) for v, c in zip(ids, number, strict=True) if c]
+        return pd.DataFrame(out, columns=["a", "b", "links"]).astype("int64")
+
+    links = settle_table(
+        shipped.groupBy("task", "whole", "i", "j").applyInPandas(search, "a long, b long, links long"), "ngram-links"
+    )
+    linked_to = components(links.select("a", "b")).select(F.col("id").alias("rep"), "component_id")
+    counts = links.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
+    found = info.join(reps, digest, "left").join(linked_to, "rep", "left").join(counts, "rep", "left")
+    known = F.col("doc_id").isNotNull()
     return found.select(
         "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "rep", "doc_id")).alias("component_id"),
+        F.when(known, F.coalesce("component_id", "rep", "doc_id")).alias("component_id"),
+        F.when(known & F.col("rep").isNotNull(), F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(0).cast("long").alias("n_links"),
     )

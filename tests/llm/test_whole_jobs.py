@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from talentspark.llm import decontaminate, lm_score
+from talentspark.llm import decontaminate, lm_score, ngram_join
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -106,3 +106,25 @@ def test_decontaminate_finds_all_up_to_the_threshold(spark, rate):
     assert {(r.doc_id, r.item_id) for r in found} == {(i, i) for i in range(80)} | {(80, 0), (81, 0)}
     assert all(r.distance <= int(rate * r.n_words + 1e-9) for r in found)
     assert sum(r.doc_id == 81 for r in found) == 2
+
+
+@pytest.mark.parametrize("block", [ngram_join.BLOCK, 300])
+def test_ngram_join_counts_all_links(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng, texts = random.Random(25), []
+    for n in (60, 120, 300):
+        base = words(rng, n)
+        for _ in range(8):
+            text = list(base)
+            for k in rng.sample(range(n), rng.randrange(n // 40 + 1)):
+                text[k] = f"edit{rng.randrange(3)}"
+            texts.append(" ".join(text))
+    texts += texts[::5] + ["one two", "one two", "", None] + [" ".join(words(rng, 50)) for _ in range(10)]
+    sets = [ngram_join.shingles(t or "", 3, ngram_join.WordHash()) for t in texts]
+    want = dict.fromkeys(range(len(texts)), 0)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            both = len(np.intersect1d(a, b))
+            want[i] += i != j and both > 0 and 100 * both >= 90 * (len(a) + len(b) - both)
+    got = {r.doc_id: r.n_links for r in ngram_join.classes(frame(spark, texts)).collect()}
+    assert got == want and max(want.values()) > 4
