@@ -23,7 +23,7 @@ def score_jobs(
     """Add ``skills_matched`` and ``matched_skills`` (names in query order, comma-joined).
 
     A skill counts when it occurs as a whole word in title or description, ignoring case; a
-    name given twice counts twice. ``key`` identifies a row.
+    name given twice counts twice. ``key`` names rows; rows that share it are told apart by their texts.
     """
     if len(skills) > MAX_LITERALS:
         return _score_by_join(listings, skills, title, description, key)
@@ -46,17 +46,17 @@ def _search_text(title: str, description: str) -> Column:
 
 
 def _score_by_join(listings, skills, title, description, key) -> DataFrame:
-    keyed = listings.withColumn("_key", F.struct(*key))
+    # rows of one key and text have the same hits, which the set below takes once
+    keyed = listings.withColumn("_key", F.struct(*key, F.sha2(_search_text(title, description), 256).alias("_digest")))
     texts = keyed.select("_key", _search_text(title, description).alias("_text"))
     hits = whole_word_hits(texts, "_key", "_text", skill_table(listings.sparkSession, skills))
     per_job = hits.groupBy("_key").agg(
-        F.count(F.lit(1)).cast("int").alias("skills_matched"),
-        F.sort_array(F.collect_list(F.struct("pos", "skill"))).alias("_hits"),
+        F.sort_array(F.collect_set(F.struct("pos", "skill"))).alias("_hits"),
     )
     scored = keyed.join(per_job, "_key", "left")
     return scored.select(
         *listings.columns,
-        F.coalesce("skills_matched", F.lit(0)).alias("skills_matched"),
+        F.when(F.col("_hits").isNull(), 0).otherwise(F.size("_hits")).alias("skills_matched"),
         F.coalesce(F.array_join(F.col("_hits.skill"), ", "), F.lit("")).alias("matched_skills"),
     )
 

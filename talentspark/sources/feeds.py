@@ -204,13 +204,32 @@ FEEDS = {
 }
 
 
+# feeds fetched by category: the categories in the order in which they are fetched
+CATEGORIES = {
+    "We Work Remotely": [
+        "Programming", "DevOps / Sysadmin", "Design", "Data Science", "Product", "Management & Finance", "All Other Remote",
+    ],
+}
+
+
+def term_pos(source: Column, skill: Column, skill_pos: Column) -> Column:
+    """Place of the search term in the query, or of the feed category among the feed's categories."""
+    place = F
+    for name, categories in CATEGORIES.items():
+        for k, category in enumerate(categories):
+            place = place.when((source == name) & (skill == category), k)
+    return F.coalesce(place, skill_pos, F.lit(0))
+
+
 def fetch_ord(skill_pos: Column, page: Column, pos: Column) -> Column:
-    """One number that sorts as (skill_pos, page, pos): 19, 24 and 20 bits."""
-    return (
-        F.shiftleft(F.coalesce(skill_pos, F.lit(0)).cast("long"), 44)
-        .bitwiseOR(F.shiftleft(page.cast("long"), 20))
-        .bitwiseOR(pos.cast("long"))
-    )
+    """One number that sorts as (skill_pos, page, pos): 19, 24 and 20 bits; larger values are refused."""
+    parts = [(F.coalesce(skill_pos, F.lit(0)).cast("long"), 19), (page.cast("long"), 24), (pos.cast("long"), 20)]
+    fits = F.lit(True)
+    for value, bits in parts:
+        fits = fits & F.coalesce(value.between(0, (1 << bits) - 1), F.lit(True))
+    (a, _), (b, _), (c, _) = parts
+    joined = F.shiftleft(a, 44).bitwiseOR(F.shiftleft(b, 20)).bitwiseOR(c)
+    return F.when(fits, joined).otherwise(F.raise_error(F.lit("skill_pos, page or pos out of range")).cast("long"))
 
 
 def normalise(landed: DataFrame, *feed_keys: str) -> DataFrame:
@@ -231,7 +250,8 @@ def normalise(landed: DataFrame, *feed_keys: str) -> DataFrame:
         here = F.col("source") == feed.name
         listings, source_ord = listings.when(here, listing(feed)), source_ord.when(here, feed.ord)
     items = landed.where(F.col("source").isin([f.name for f in feeds])).select(
-        "source", source_ord.alias("source_ord"), "skill_pos", "page", F.posexplode(listings).alias("pos", "j")
+        "source", source_ord.alias("source_ord"), term_pos(F.col("source"), F.col("skill"), F.col("skill_pos")).alias("skill_pos"),
+        "page", F.posexplode(listings).alias("pos", "j")
     )
     plain = F.col("source").isin([f.name for f in FEEDS.values() if not f.html])
     return items.select(
