@@ -1,10 +1,10 @@
 """Token ids as compressed binary blocks, written in ascending order of the documents.
 
 A shard is a run of documents by id; its token stream is cut into blocks of ``BLOCK`` ids, each coded by
-itself with all statistics reset. The chance of an id is a mixture of three predictions: the id that
-followed the two ids before it (order 2), that which followed the one before it (order 1), and order-0
-statistics, which spell any other id as four hexadecimal digits. The weights of the mixture adapt, apart
-for each confidence of the first two. A range coder turns the chances into bytes. The blocks of a task
+itself with all statistics reset. An id is predicted with escapes, no probabilities are mixed: a flag of
+adaptive chances, apart for each confidence of the two, says whether it is the id that followed the two ids
+before it (order 2), that which followed the one before it (order 1), or neither; then order-0 statistics
+spell it as four hexadecimal digits. A range coder turns the chances into bytes. The blocks of a task
 are coded in step, as numpy lanes; the arithmetic is in integers, so any machine reads what another wrote.
 
 The format is a Parquet folder, which any store can hold, with two kinds of rows: ``block`` (shard, block,
