@@ -78,6 +78,19 @@ def tree_sum(parts: DataFrame) -> np.ndarray | None:
     return np.sum([np.frombuffer(r["v"]) for r in parts.collect()], axis=0)
 
 
+def counted_join(big: DataFrame, keyed: DataFrame, on: list[str], n: str, parts: int = 100_000) -> DataFrame:
+    """Inner join with ``keyed``, a settled table of one row per key, whose column ``n`` is the key's number of rows in ``big``.
+
+    Keys of more than one in ``parts`` of all rows are fewer than ``parts``, which bounds what is broadcast for
+    them whatever the input; the others are joined by a shuffle, in which no key is hot.
+    """
+    total = keyed.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) * parts > total
+    common = big.join(F.broadcast(keyed.where(hot)), on)
+    rest = big.join(F.broadcast(keyed.where(hot).select(*on)), on, "left_anti").join(keyed.where(~hot), on)
+    return common.unionByName(rest)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component_id): connected components of ``edges`` (a, b), named by their smallest id.
 

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentspark.llm import chat, decontaminate, language, lm_score, ngram_join, packing, quality, suffix_dedup, token_files, vectors
+from talentspark.llm import chat, decontaminate, language, lm_score, ngram_join, packing, quality, secrets, suffix_dedup, token_files, vectors
 from talentspark.llm.common import small_batches
 
 QUERIES: dict = {}
@@ -83,3 +83,8 @@ def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_suffix_dedup")
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(load(spark, sf_dir, "documents"))
+
+
+@query("op13_secrets")
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(load(spark, sf_dir, "documents"))
