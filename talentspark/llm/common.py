@@ -5,10 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from talentspark.session import settle
+from talentspark.session import settle, settle_table
 
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 CACHE_WORDS = 200_000
@@ -91,6 +91,27 @@ def counted_join(big: DataFrame, keyed: DataFrame, on: list[str], n: str, parts:
     return common.unionByName(rest)
 
 
+def numbered(rows: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """The rows with ``pos``, their place (from 0) in their group by ``order`` (nulls first; equal rows in any order).
+
+    Rows are dealt to tasks by ranges of (group, order), so a group of any size is numbered by many tasks: each
+    counts its own rows, and a group that reaches over several tasks, of which there are at most one per
+    boundary, starts at the sum of the counts before.
+    """
+    order = [*order, "_row"]
+    dealt = rows.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(group, *order)
+    dealt = settle_table(dealt.withColumn("_part", F.spark_partition_id()), name)
+    parts = dealt.groupBy(group, "_part").count().groupBy(group).agg(F.sort_array(F.collect_list(F.struct("_part", "count"))).alias("c"))
+    before = F.transform("c", lambda x: F.struct(
+        x["_part"].alias("_part"),
+        F.aggregate(F.filter("c", lambda y: y["_part"] < x["_part"]), F.lit(0).cast("long"), lambda t, y: t + y["count"]).alias("_before"),
+    ))
+    offsets = parts.where(F.size("c") > 1).select(group, F.inline(before))
+    within = F.row_number().over(Window.partitionBy("_part", group).orderBy(*order))
+    joined = dealt.withColumn("pos", within - F.lit(1).cast("long")).join(F.broadcast(offsets), [group, "_part"], "left")
+    return joined.withColumn("pos", F.col("pos") + F.coalesce("_before", F.lit(0))).drop("_part", "_row", "_before")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component_id): connected components of ``edges`` (a, b), named by their smallest id.
 

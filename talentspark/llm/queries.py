@@ -3,7 +3,9 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentspark.llm import chat, decontaminate, language, lm_score, ngram_join, packing, quality, secrets, suffix_dedup, token_files, vectors
+from talentspark.llm import (
+    chat, decontaminate, language, lm_score, ngram_join, packing, prefix_trie, quality, secrets, suffix_dedup, token_files, vectors,
+)
 from talentspark.llm.common import small_batches
 
 QUERIES: dict = {}
@@ -85,6 +87,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(load(spark, sf_dir, "documents"))
 
 
+@query("op12_prefix_trie")
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.report(load(spark, sf_dir, "conversations"))
+
+
 @query("op13_secrets")
 def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(load(spark, sf_dir, "documents"))
