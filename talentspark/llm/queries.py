@@ -4,7 +4,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentspark.llm import (
-    chat, decontaminate, language, lm_score, ngram_join, packing, prefix_trie, quality, secrets, suffix_dedup, token_files, vectors,
+    chat, decontaminate, language, lm_score, ngram_join, packing, prefix_trie, quality, repair, secrets, suffix_dedup, token_files,
+    vectors,
 )
 from talentspark.llm.common import small_batches
 
@@ -87,6 +88,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(load(spark, sf_dir, "documents"))
 
 
+@query("op11_repair")
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(load(spark, sf_dir, "conversations"), repair.damage)
+
+
 @query("op12_prefix_trie")
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.report(load(spark, sf_dir, "conversations"))
