@@ -78,13 +78,16 @@ def tree_sum(parts: DataFrame) -> np.ndarray | None:
     return np.sum([np.frombuffer(r["v"]) for r in parts.collect()], axis=0)
 
 
-def counted_join(big: DataFrame, keyed: DataFrame, on: list[str], n: str, parts: int = 100_000) -> DataFrame:
+def counted_join(
+    big: DataFrame, keyed: DataFrame, on: list[str], n: str, parts: int = 100_000, total: int | None = None
+) -> DataFrame:
     """Inner join with ``keyed``, a settled table of one row per key, whose column ``n`` is the key's number of rows in ``big``.
 
     Keys of more than one in ``parts`` of all rows are fewer than ``parts``, which bounds what is broadcast for
     them whatever the input; the others are joined by a shuffle, in which no key is hot.
     """
-    total = keyed.agg(F.sum(n)).first()[0] or 0
+    if total is None:
+        total = keyed.agg(F.sum(n)).first()[0] or 0
     hot = F.col(n) * parts > total
     common = big.join(F.broadcast(keyed.where(hot)), on)
     rest = big.join(F.broadcast(keyed.where(hot).select(*on)), on, "left_anti").join(keyed.where(~hot), on)
@@ -121,8 +124,9 @@ def components(edges: DataFrame) -> DataFrame:
         pairs = pairs.select("u", "v")
         if large:
             pairs = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        joined = pairs.join(least, "u")
+        # the hub of a large component has most of the rows
+        least = settle(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")))
+        joined = counted_join(pairs, least, ["u"], "n")
         if large:
             linked = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
@@ -136,7 +140,7 @@ def components(edges: DataFrame) -> DataFrame:
     )
     before, now = None, pairs.agg(mark).first()["mark"]
     while now["n"] and before != now:
-        pairs = settle(star(star(pairs, True), False))
+        pairs = settle(star(settle(star(pairs, True)), False))
         before, now = now, pairs.agg(mark).first()["mark"]
     members = pairs.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
     roots = pairs.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct()

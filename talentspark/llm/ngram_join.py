@@ -1,8 +1,10 @@
 """N-gram Jaccard self-join by T-occurrence search.
 
-1. Lossless blocks: two sets of similarity >= t differ in at most d elements (d follows from the size
-   band), so of d + 2 hash parts of their shingles at least two are equal. Documents with an equal part
-   are connected; connected documents form a block.
+1. Lossless blocks: in an order of all shingles by the number of documents that hold them, two sets of
+   similarity >= t share one of the n - ceil(t n) + 1 rarest shingles of either (prefix filter). A shingle that no
+   other document holds needs no list, so a document with more than 1 - t of its own words sends none at all, and
+   a passage that many documents share links only those that consist of little else. Documents with a shared
+   rare shingle are connected; connected documents form a block.
 2. In a block, an inverted index; each document's lists are split as DivideSkip does: the short ones are
    merged and counted, the long ones are probed by binary search for the documents that can still reach
    the overlap T. What reaches it is compared exactly (100 * intersection >= t * union).
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +34,7 @@ from talentspark.session import settle, settle_table
 
 CHUNK_WORDS = 250_000
 BLOCK = 1_500_000
-DOCS_PER_BUCKET = 4_000
+BUCKET_BYTES = 16 << 20  # of texts; a task counts the shingles of that many
 SKIP = 0.0085  # weight of a probe against a merge step
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -51,108 +54,151 @@ def shingles(text: str, n: int, cache: WordHash) -> np.ndarray:
     return np.unique(mix(total))
 
 
-def bands(percent: int) -> np.ndarray:
-    """First sizes of the size bands: similar sets lie in the same or in neighbouring bands."""
-    firsts = [1]
-    while firsts[-1] < 1 << 40:
-        firsts.append(100 * firsts[-1] // percent + 1)
-    return np.array(firsts)
-
-
-def part_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(set number, key): keys of which two sets of the given similarity share at least one."""
-    firsts = bands(percent)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    band = np.searchsorted(firsts, sizes, "right") - 1
-    numbers, keys = [], []
-    for shift in (0, 1):
-        # group g holds the bands g and g + 1
-        group = band - shift
-        most = firsts[np.maximum(group, 0) + 2] - 1
-        differ = (100 - percent) * 2 * most // (100 + percent)
-        parts = np.where((group >= 0) & (differ > 0) & (sizes > 0), differ + 2, 0)
-        base = np.cumsum(parts) - parts
-        used = np.repeat(parts > 0, sizes)
-        owner = np.repeat(np.arange(len(sets)), sizes)[used]
-        mine = values[used]
-        slot = base[owner] + ((mine >> np.uint64(20)) % parts[owner].astype(np.uint64)).astype(np.int64)
-        sums = np.zeros(int(parts.sum()), np.uint64)
-        np.add.at(sums, slot, mix(mine * ODD[0]))
-        filled = np.bincount(slot, minlength=len(sums)) > 0
-        doc = np.repeat(np.arange(len(sets)), parts)
-        part = (np.arange(len(sums)) - base[doc]).astype(np.uint64)
-        tag = group[doc].astype(np.uint64) * ODD[1]
-        numbers.append(doc[filled])
-        keys.append(mix(sums + part * ODD[2] + tag)[filled])
-        empty = np.flatnonzero(~filled)
-        # two documents may agree only in empty parts; then they share a pair of them
-        for d in np.flatnonzero(np.bincount(doc[empty], minlength=len(sets)) > 1):
-            own = part[empty[doc[empty] == d]]
-            i, j = np.triu_indices(len(own), 1)
-            numbers.append(np.full(len(i), d))
-            keys.append(mix(own[i] * ODD[3] + own[j] * ODD[4] + np.uint64(group[d]) * ODD[1] + np.uint64(1)))
-    return np.concatenate(numbers), np.concatenate(keys)
-
-
-def stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct keys, smallest id of each, id, smaller id): ids with an equal key, tied to its smallest."""
-    order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
-    first = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, bool)
-    least = ids[first][np.cumsum(first) - 1] if len(keys) else ids
-    edges = np.unique(np.stack([ids, least], 1)[ids != least], axis=0)
-    return keys[first], ids[first], edges[:, 0], edges[:, 1]
-
-
-def signatures(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
-    """One pass over the texts. kind 0: a document's set size and digest; 1: keys and ids of a hash
-    bucket, each key once per chunk; 2: pairs of documents that share a key within the chunk."""
-    def chunk(ids: list[int], sets: list[np.ndarray]) -> pd.DataFrame:
-        rows: list[tuple] = []
-        for i, s in zip(ids, sets, strict=True):
-            rows.append((0, 0, i, len(s), int(mix(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0,
-                         int(mix(s * ODD[3]).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0, None, None))
-        known = [k for k, i in enumerate(ids) if i is not None]
-        numbers, keys = part_keys([sets[k] for k in known], percent)
-        key, least, a, b = stars(keys, np.array([ids[k] for k in known], np.int64)[numbers])
-        bucket = (key % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
-            rows.append((1, int(bucket[part[0]]), None, None, None, None, key[part].tobytes(), least[part].tobytes()))
-        if len(a):
-            rows.append((2, 0, None, None, None, None, a.tobytes(), b.tobytes()))
-        out = pd.DataFrame(rows, columns=["kind", "bucket", "doc_id", "n", "d1", "d2", "x", "y"])
-        return out.astype({c: "Int64" for c in ("doc_id", "n", "d1", "d2")})
+def packed(values: np.ndarray) -> bytes:
+    """Integers byte by byte, the low bytes of all first: the high ones, mostly zeros, take no room when written."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(data, np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
+
+
+def by_bucket(bucket: np.ndarray) -> list[np.ndarray]:
+    """Places of each bucket in an ascending array."""
+    return np.split(np.arange(len(bucket)), np.flatnonzero(np.diff(bucket)) + 1) if len(bucket) else []
+
+
+def signatures(docs: DataFrame, n: int, buckets: int) -> DataFrame:
+    """One pass over the texts, in chunks of documents. kind 0: a document (``no`` in its chunk), its set's size and digest;
+    kind 1: the shingles of a hash bucket (32 bits of them, ascending) with the numbers of their documents."""
+    columns = {"kind": "int32", "chunk": "int64", "bucket": "int64", "no": "int64", "doc_id": "Int64", "n": "int64", "d1": "int64", "d2": "int64"}
+
+    def signed(s: np.ndarray) -> int:
+        return int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0
+
+    def chunk(number: int, ids: list[int], sets: list[np.ndarray]) -> pd.DataFrame:
+        rows: list[tuple] = [
+            (0, number, 0, no, i, len(s), signed(mix(s)), signed(mix(s * ODD[3])), None, None)
+            for no, (i, s) in enumerate(zip(ids, sets, strict=True))
+        ]
+        values = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), [0 if i is None else len(s) for i, s in zip(ids, sets, strict=True)]).astype(np.uint16)
+        values = values[np.repeat([i is not None for i in ids], [len(s) for s in sets])] if None in ids else values
+        bucket, short = (values % np.uint64(buckets)).astype(np.int64), (values >> np.uint64(32)).astype(np.uint32)
+        order = np.lexsort((short, bucket))
+        bucket, short, owner = bucket[order], short[order], owner[order]
+        for part in by_bucket(bucket):
+            gaps = np.diff(short[part], prepend=np.uint32(0))
+            rows.append((1, number, int(bucket[part[0]]), 0, None, 0, 0, 0, packed(gaps), packed(owner[part])))
+        return pd.DataFrame(rows, columns=[*columns, "x", "y"]).astype(columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache, ids, sets, size = WordHash(), [], [], 0
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for i, text in zip(batch["doc_id"], batch["text"], strict=True):
                 ids.append(None if pd.isna(i) else int(i))
                 sets.append(shingles(text, n, cache))
                 size += len(sets[-1])
                 if size >= CHUNK_WORDS or len(ids) >= 20_000:
-                    yield chunk(ids, sets)
-                    ids, sets, size = [], [], 0
+                    yield chunk(number, ids, sets)
+                    ids, sets, size, number = [], [], 0, number + 1
         if ids:
-            yield chunk(ids, sets)
-
-    return docs.mapInPandas(run, "kind int, bucket int, doc_id long, n long, d1 long, d2 long, x binary, y binary")
-
-
-def meet(frame: pd.DataFrame) -> pd.DataFrame:
-    """Documents of one bucket that share a key."""
-    keys = np.concatenate([np.frombuffer(x, np.uint64) for x in frame["x"]])
-    ids = np.concatenate([np.frombuffer(y, np.int64) for y in frame["y"]])
-    _, _, a, b = stars(keys, ids)
-    return pd.DataFrame({"x": [a.tobytes()], "y": [b.tobytes()]})
-
-
-def unpack_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for x, y in zip(batch["x"], batch["y"], strict=True):
-            yield pd.DataFrame({"a": np.frombuffer(x, np.int64), "b": np.frombuffer(y, np.int64)})
+            yield chunk(number, ids, sets)
+
+    schema = "kind int, chunk long, bucket long, no long, doc_id long, n long, d1 long, d2 long, x binary, y binary"
+    return docs.mapInPandas(run, schema)
+
+
+def shared(frame: pd.DataFrame) -> pd.DataFrame:
+    """Of one bucket the shingles that several documents hold, with their number of documents, for each chunk."""
+    parts = [np.cumsum(unpacked(x, np.uint32), dtype=np.uint32) for x in frame["x"]]
+    every = np.sort(np.concatenate(parts))
+    starts = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
+    counts = np.diff(np.r_[starts, len(every)])
+    values, counts = every[starts[counts > 1]], counts[counts > 1].astype(np.uint32)
+    rows = []
+    for chunk, bucket, part, y in zip(frame["chunk"], frame["bucket"], parts, frame["y"], strict=True):
+        at = np.searchsorted(values, part)
+        held = np.flatnonzero(at < len(values))
+        held = held[values[at[held]] == part[held]]
+        if len(held):
+            rows.append((chunk, bucket, packed(part[held]), packed(unpacked(y, np.uint16)[held]), packed(counts[at[held]])))
+    return pd.DataFrame(rows, columns=["chunk", "bucket", "x", "y", "z"])
+
+
+def prefix(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """How many of its rarest elements a set has to show."""
+    return sizes + (-percent * sizes) // 100 + 1
+
+
+def rare_keys(owner: np.ndarray, key: np.ndarray, held_by: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the shared shingles (documents ``owner``, ``key``, documents that hold it) belong to the prefixes of their documents."""
+    order = np.lexsort((key, held_by, owner))
+    mine = np.bincount(owner, minlength=len(sizes))
+    rank = np.arange(len(order)) - np.repeat(np.cumsum(mine) - mine, mine)
+    alone = sizes - mine
+    return order[rank < (prefix(sizes, percent) - alone)[owner[order]]]
+
+
+def keys_of(percent: int):
+    """The prefixes' shared shingles of a chunk, by bucket: (bucket, keys, ids)."""
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        docs, lists = frame[frame["no"].notna()], frame[frame["no"].isna()]
+        ids = np.zeros(65_536, np.int64)
+        sizes = np.zeros(65_536, np.int64)
+        no = docs["no"].to_numpy(np.int64)
+        ids[no], sizes[no] = docs["doc_id"].to_numpy(np.int64), docs["n"].to_numpy(np.int64)
+        if not len(lists):
+            return pd.DataFrame({"bucket": [], "x": [], "y": []})
+        short, owner, held_by = (np.concatenate([unpacked(v, t) for v in lists[c]]) for c, t in (("x", np.uint32), ("y", np.uint16), ("z", np.uint32)))
+        bucket = np.repeat(lists["bucket"].to_numpy(np.int64), [len(v) // 4 for v in lists["x"]])
+        use = sizes[owner] > 0  # one document of equal ones
+        bucket, short, owner, held_by = bucket[use], short[use], owner[use], held_by[use]
+        key = (bucket.astype(np.uint64) << np.uint64(32)) | short
+        kept = rare_keys(owner, key, held_by, sizes, percent)
+        kept = kept[np.argsort(bucket[kept], kind="stable")]
+        rows = [(int(bucket[kept[p[0]]]), key[kept[p]].tobytes(), ids[owner[kept[p]]].tobytes()) for p in by_bucket(bucket[kept])]
+        return pd.DataFrame(rows, columns=["bucket", "x", "y"])
+
+    return run
+
+
+def meet(buckets: int):
+    """Documents of one bucket that share a key, each tied to the smallest one: (part, ids, smaller ids)."""
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        keys = np.concatenate([np.frombuffer(x, np.uint64) for x in frame["x"]])
+        ids = np.concatenate([np.frombuffer(y, np.int64) for y in frame["y"]])
+        order = np.lexsort((ids, keys))
+        keys, ids = keys[order], ids[order]
+        first = np.r_[True, keys[1:] != keys[:-1]]
+        least = ids[first][np.cumsum(first) - 1]
+        edges = np.unique(np.stack([ids, least], 1)[ids != least], axis=0)
+        part = edges[:, 0] % buckets
+        edges = edges[np.argsort(part, kind="stable")]
+        rows = [(int(edges[p[0], 0] % buckets), edges[p, 0].tobytes(), edges[p, 1].tobytes()) for p in by_bucket(np.sort(part))]
+        return pd.DataFrame(rows, columns=["part", "x", "y"])
+
+    return run
+
+
+def distinct_pairs(frame: pd.DataFrame) -> pd.DataFrame:
+    """The pairs that several buckets found, once."""
+    pairs = np.stack([np.concatenate([np.frombuffer(v, np.int64) for v in frame[c]]) for c in ("x", "y")], 1)
+    return pd.DataFrame(np.unique(pairs, axis=0), columns=["a", "b"])
+
+
+def candidates(made: DataFrame, reps: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """(a, b): documents tied by a shared rare shingle, each to the smallest document of the shingle."""
+    lists = made.where("kind = 1").select("chunk", "bucket", "x", "y").groupBy("bucket").applyInPandas(
+        shared, "chunk long, bucket long, x binary, y binary, z binary"
+    )
+    one = made.where("kind = 0 AND n > 0").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    both = lists.unionByName(one.select("chunk", "no", "doc_id", "n"), allowMissingColumns=True)
+    keys = both.groupBy("chunk").applyInPandas(keys_of(percent), "bucket long, x binary, y binary")
+    met = keys.groupBy("bucket").applyInPandas(meet(buckets), "part long, x binary, y binary")
+    return met.groupBy("part").applyInPandas(distinct_pairs, "a long, b long")
 
 
 class Index:
@@ -220,21 +266,18 @@ def linked(
 def classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable by links) and n_links
     (other documents of similarity >= percent, equal ones among them)."""
-    spark = docs.sparkSession
     rows = with_id(docs)
-    buckets = max(16, docs.count() // DOCS_PER_BUCKET)
-    made = settle_table(signatures(rows, n, percent, buckets), "ngram-signatures")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(16, size // BUCKET_BYTES)
+    made = settle_table(signatures(rows, n, buckets), "ngram-signatures")
     info = made.where("kind = 0").select("doc_id", "n", "d1", "d2")
-    met = made.where("kind = 1").select("bucket", "x", "y").groupBy("bucket").applyInPandas(meet, "x binary, y binary")
-    near = met.unionByName(made.where("kind = 2").select("x", "y")).mapInPandas(unpack_pairs, "a long, b long")
-    blocks = components(near)
-
     digest = ["n", "d1", "d2"]
     reps = settle(
         info.where("n > 0 AND doc_id IS NOT NULL").groupBy(*digest).agg(
             F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies")
         )
     )
+    blocks = components(candidates(made, reps, percent, buckets))
     members = blocks.join(reps.select(F.col("rep").alias("id"), "n", "copies"), "id")
     sizes = members.groupBy("component_id").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).where("m > 1")
     members = members.join(sizes, "component_id").withColumn("cuts", F.ceil(F.col("total") / BLOCK).cast("int"))

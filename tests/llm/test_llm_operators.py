@@ -66,11 +66,11 @@ def linked(sets, percent):
     return {i: root(i) for i in sets}
 
 
-def shingle_sets(texts):
+def shingle_sets(texts, n=3):
     out = {}
     for i, t in enumerate(texts):
         w = (t or "").encode().lower().split()
-        out[i] = {tuple(w[k:k + 3]) for k in range(len(w) - 2)} if len(w) > 2 else {tuple(w)} - {()}
+        out[i] = {tuple(w[k:k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} - {()}
     return out
 
 
@@ -83,17 +83,54 @@ def test_ngram_join(spark, texts, monkeypatch, block):
     assert got == {i: (len(s), root[i]) for i, s in sets.items()}
 
 
-def test_ngram_join_parts_lose_no_pair():
+def test_ngram_join_prefixes_lose_no_pair():
     rng = np.random.default_rng(1)
-    for n in (10, 25, 57, 200):
-        one = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
-        for drop in range(n // 18 + 1):
-            other = np.unique(np.r_[one[drop:], rng.integers(0, 1 << 63, drop).astype(np.uint64)])
-            both = len(np.intersect1d(one, other))
-            if 100 * both < 90 * (len(one) + len(other) - both) or drop == 0:
-                continue
-            number, key = ngram_join.part_keys([one, other], 90)
-            assert set(key[number == 0]) & set(key[number == 1])
+    for percent in (80, 90):
+        for n in (1, 2, 5, 10, 25, 57, 200):
+            held_by = rng.integers(1, 5, 5000)  # documents that hold a shingle; one: no list
+            one = np.sort(rng.choice(5000, n, replace=False))
+            for drop in range(n // 4 + 1):
+                other = np.unique(np.r_[rng.choice(one, n - drop, replace=False), rng.choice(5000, rng.integers(0, drop + 1))])
+                both = np.intersect1d(one, other)
+                if 100 * len(both) < percent * (len(one) + len(other) - len(both)):
+                    continue
+                held = held_by.copy()
+                held[both] = np.maximum(held[both], 2)
+                found = []
+                for some in (one, other):
+                    lists = some[held[some] > 1]
+                    kept = ngram_join.rare_keys(np.zeros(len(lists), int), lists, held[lists], np.array([len(some)]), percent)
+                    found.append(set(lists[kept].tolist()))
+                assert found[0] & found[1]
+
+
+def test_ngram_join_packs_what_it_unpacks():
+    rng = np.random.default_rng(2)
+    for kind in (np.uint16, np.uint32):
+        some = rng.integers(0, np.iinfo(kind).max, 1000).astype(kind)
+        assert (ngram_join.unpacked(ngram_join.packed(some), kind) == some).all()
+
+
+def test_ngram_join_of_five_words(spark, texts):
+    """At 0.8 too, with texts that share passages only; those are in no block."""
+    rng = random.Random(11)
+    passage, some = prose(rng, 60), list(texts)
+    for _ in range(60):
+        some.append(prose(rng, 50) + " " + passage + " " + prose(rng, 50))
+    base = prose(rng, 200).split()
+    for rate in (0.0, 0.01, 0.02, 0.03, 0.05):
+        for _ in range(6):
+            some.append(" ".join(w if rng.random() > rate else f"new{rng.random()}" for w in base))
+    for k in range(0, 60, 4):
+        some.append(" ".join(base[k:]))
+    sets = shingle_sets(some, 5)
+    root = linked(sets, 80)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.classes(frame(spark, some), 5, 80).collect()}
+    assert got == {i: (len(s), root[i]) for i, s in sets.items()}
+    made = ngram_join.signatures(ngram_join.with_id(frame(spark, some)), 5, 16).cache()
+    reps = made.where("kind = 0 AND n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
+    near = ngram_join.candidates(made, reps, 80, 16).collect()
+    assert near and not {i for r in near for i in r} & set(range(len(texts), len(texts) + 60))
 
 
 def brute_repeats(texts):
