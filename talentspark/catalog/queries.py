@@ -1,5 +1,10 @@
 """The registered queries: name -> (Spark query, checking SQL or None)."""
 
+import json
+
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import IndexToString, SQLTransformer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +23,7 @@ from talentspark.operators import learning as L
 from talentspark.operators import matching as M
 from talentspark.operators import metrics as MT
 from talentspark.operators import splits as SP
+from talentspark.operators import stages, svm
 from talentspark.plans import aggregate, analyze, dataset, train
 from talentspark.session import scratch_path, spread
 from talentspark.sources import feeds, files, landing
@@ -144,8 +150,10 @@ def sink_descriptions(spark, sf):
 
 _ESCO = r"""
     esco_words AS (SELECT item_id, regexp_extract_all(text, '\p{L}+') AS w FROM benchmark),
-    esco AS (SELECT item_id AS row_no, lower(w[1] || ' ' || w[2]) AS preferred,
-        CASE WHEN item_id % 5 <> 0 THEN [w[3], array_to_string(w[4:6], ' '), w[7]] ELSE [] END AS alts FROM esco_words),
+    esco_runs AS (SELECT item_id * 1000 + g AS row_no, w[g * 7 + 1:g * 7 + 7] AS w
+        FROM (SELECT item_id, w, unnest(range((len(w) + 6) // 7)) AS g FROM esco_words)),
+    esco AS (SELECT row_no, lower(concat_ws(' ', w[1], w[2])) AS preferred,
+        CASE WHEN row_no % 5 <> 0 THEN [w[3], array_to_string(w[4:6], ' '), w[7]] ELSE [] END AS alts FROM esco_runs),
     esco_entries AS (
         SELECT preferred AS phrase, preferred, row_no, 0 AS pos FROM esco
         UNION ALL SELECT lower(unnest(alts)), preferred, row_no, unnest(range(1, len(alts) + 1)) FROM esco),
@@ -353,11 +361,13 @@ def title_company_split(spark, sf):
 
 _QUERY_TERMS = r"""
     qw AS (SELECT item_id, regexp_extract_all(text, '\p{L}+') AS w FROM benchmark),
-    terms AS (
-        SELECT CAST(item_id * 4 AS INTEGER) AS pos, w[1] || ' ' || w[2] AS skill FROM qw
-        UNION ALL SELECT CAST(item_id * 4 + 1 AS INTEGER), w[3] FROM qw
-        UNION ALL SELECT CAST(item_id * 4 + 2 AS INTEGER), '.' || w[4] FROM qw
-        UNION ALL SELECT CAST(item_id * 4 + 3 AS INTEGER), w[5] || ', ' || w[6] FROM qw)"""
+    qr AS (SELECT item_id * 1000 + g AS row_no, w[g * 6 + 1:g * 6 + 6] AS w
+        FROM (SELECT item_id, w, unnest(range((len(w) + 5) // 6)) AS g FROM qw)),
+    terms AS (SELECT * FROM (
+        SELECT CAST(row_no * 4 AS INTEGER) AS pos, concat_ws(' ', w[1], w[2]) AS skill FROM qr
+        UNION ALL SELECT CAST(row_no * 4 + 1 AS INTEGER), w[3] FROM qr
+        UNION ALL SELECT CAST(row_no * 4 + 2 AS INTEGER), '.' || w[4] FROM qr
+        UNION ALL SELECT CAST(row_no * 4 + 3 AS INTEGER), w[5] || ', ' || w[6] FROM qr) WHERE skill IS NOT NULL)"""
 
 
 def _marked(x: str) -> str:
@@ -438,16 +448,19 @@ def vocab_distinct(spark, sf):
     return D.vocab_distinct(T.load(spark, sf, "part").select(F.concat(F.upper("p_name"), F.lit(" \t")).alias("t")), "t")
 
 
-# requests: the resume with the number of a page answers that page
+# requests: each resume answers the page of its number, counted round
 _PAIR_SCORES = f"""
     pairs AS (SELECT doc_id AS resume_id, page_id AS job_id, {S.keywords('text')} AS r, {S.keywords('html')} AS j
-        FROM documents JOIN pages ON page_id = doc_id),
+        FROM documents JOIN pages ON page_id = doc_id % (SELECT count(*) FROM pages)),
     scored AS (SELECT resume_id, job_id, CASE WHEN len(j) = 0 THEN 0 ELSE
         CAST(floor(len(list_intersect(j, r)) / len(j) * 100 + 0.5) AS INTEGER) END AS score FROM pairs)"""
 
 
 def _request_scores(spark, sf) -> DataFrame:
-    requests = T.load(spark, sf, "pages").select(F.col("page_id").alias("resume_id"), F.col("page_id").alias("job_id"))
+    n_pages = T.load(spark, sf, "pages").count()
+    requests = T.load(spark, sf, "documents").select(
+        F.col("doc_id").alias("resume_id"), (F.col("doc_id") % n_pages).alias("job_id")
+    )
     resumes = M.keyword_sets(T.documents(spark, sf), "doc_id", "text").withColumnRenamed("doc_id", "resume_id")
     jobs = M.keyword_sets(T.pages(spark, sf), "page_id", "html").withColumnRenamed("page_id", "job_id")
     return M.score_pairs(requests, resumes, jobs)
@@ -632,7 +645,8 @@ def tfidf(spark, sf):
 
 # given predictions: the class with the highest of ten given scores
 _PREDICTED = """
-    scored AS (SELECT vec_id, label, list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE)) AS s FROM embeddings),
+    scored AS (SELECT vec_id, label, list_transform(range(10), lambda c: list_sum(list_transform(
+        list_filter(embedding, lambda x, i: (i - 1) % 10 = c), lambda x: CAST(x AS DOUBLE)))) AS s FROM embeddings),
     predicted AS (SELECT vec_id, label, CAST(list_position(s, list_max(s)) - 1 AS INTEGER) AS prediction, s FROM scored)"""
 
 
@@ -684,39 +698,71 @@ def topk_categories(spark, sf):
     return T.class_scores(spark, sf).select("vec_id", F.array_join(best, "|").alias("categories"))
 
 
-@query("decision_scores", """
-    SELECT vec_id, CAST(i - 1 AS INTEGER) AS class, round(CAST(embedding[i] AS DOUBLE), 6) AS score
-    FROM embeddings, range(1, 11) AS r(i)""")
+@query("decision_scores", f"""
+    WITH {_PREDICTED} SELECT vec_id, CAST(i AS INTEGER) AS class, round(s[i + 1], 6) AS score FROM predicted, range(10) AS r(i)""")
 def decision_scores(spark, sf):
-    from pyspark.ml.functions import array_to_vector
-
-    given = T.class_scores(spark, sf).withColumn("rawPrediction", array_to_vector("scores"))
-    return given.select("vec_id", F.posexplode(L.decision_scores(given)).alias("class", "score")).withColumn(
+    rows = T.load(spark, sf, "embeddings").select("vec_id", array_to_vector("embedding").alias("features"))
+    width = len(rows.first()["features"])
+    # a row of weights a class, the intercept last
+    weights = [float(i % 10 == c and i < width) for c in range(10) for i in range(width + 1)]
+    scored = svm.BlockSvmModel(weights=weights, classes=10).transform(rows)
+    return scored.select("vec_id", F.posexplode(L.decision_scores(scored)).alias("class", "score")).withColumn(
         "score", F.round("score", 6)
     )
 
 
 # ---------------------------------------------------------------- learning and analysis
 
-# settings of the registered training queries: enough to learn the language of a text
-_ITERATIONS = 10
-
-
 def _labelled(spark, sf) -> DataFrame:
     return T.documents(spark, sf).select("doc_id", F.col("lang").alias("class"), "text")
 
 
 def _fitted(spark, sf):
-    """(text model, labelled rows) fitted on the languages of all documents."""
+    """(text model, labelled rows) fitted on the languages of all documents; the model takes raw texts."""
     rows = _labelled(spark, sf)
-    return train.fit_text_model(rows, "class", "text", max_iter=_ITERATIONS), rows
+    steps = [stages.RedactText(inputCol="text", outputCol="clean"), stages.NormalizeText(inputCol="clean", outputCol="plain")]
+    return train.fit_text_model(rows, "class", "text", steps=steps), rows
 
 
-def _trained(spark, sf, costs, weights) -> train.Training:
+def _trained(spark, sf, costs, weights, penalties) -> train.Training:
     return train.train_classifier(
-        _labelled(spark, sf), "doc_id", "class", "text", costs=costs, class_weights=weights, folds=P.FOLDS,
-        max_iter=_ITERATIONS,
+        _labelled(spark, sf), "doc_id", "class", "text", costs=costs, class_weights=weights, penalties=penalties, folds=P.FOLDS,
+    )
+
+
+def _learned_sql(points: list[dict]) -> str:
+    return "SELECT * FROM " + S.values([(json.dumps(p, sort_keys=True), True) for p in points], "t(params, learned)")
+
+
+def _learned(scores: DataFrame) -> DataFrame:
+    """Whether each point of the grid tells languages apart better than by chance, twice as well at least."""
+    return scores.select("params", (F.col("mean_score") > 2 / len(_CLASSES)).alias("learned"))
+
+
+# a model whose scores SQL can restate: counts of letter groups times whole numbers, an intercept last
+_GROUPS = ["th", "ch", "os", "que", "e"]
+_GROUP_WEIGHTS = [[0, 9, 0, 0, 1, 0], [9, 0, 0, 0, 0, 3], [0, 0, 9, 0, 0, 2], [0, 0, 1, 9, 0, 1]]
+_CLASSES = ["de", "en", "es", "fr"]
+
+
+def _group_model(spark) -> PipelineModel:
+    counts = ", ".join(f"CAST((length(text) - length(replace(text, '{g}', ''))) / {len(g)} AS DOUBLE) AS n{i}" for i, g in enumerate(_GROUPS))
+    return PipelineModel(stages=[
+        SQLTransformer(statement=f"SELECT *, {counts} FROM __THIS__"),
+        VectorAssembler(inputCols=[f"n{i}" for i in range(len(_GROUPS))], outputCol="features"),
+        svm.BlockSvmModel(weights=[float(x) for row in _GROUP_WEIGHTS for x in row], classes=len(_CLASSES)),
+        IndexToString(inputCol="prediction", outputCol="category", labels=_CLASSES),
+    ])
+
+
+def _group_categories(x: str) -> str:
+    """SQL of the model's two best classes of text ``x``."""
+    counts = [f"(length({x}) - length(replace({x}, '{g}', ''))) // {len(g)}" for g in _GROUPS]
+    scores = ", ".join(
+        f"{{'s': -({' + '.join(f'{w} * ({n})' for w, n in zip(row, counts))} + {row[-1]}), 'i': {i}}}" for i, row in enumerate(_GROUP_WEIGHTS)
     )
+    names = "[" + ", ".join(map(S.text, _CLASSES)) + "]"
+    return f"array_to_string(list_transform(list_sort([{scores}])[1:2], lambda b: {names}[b.i + 1]), '|')"
 
 
 @query("fold_sizes", """
@@ -755,41 +801,52 @@ def embed_text(spark, sf):
     return embedded.select("doc_id", *[F.get("embedding", F.lit(i)).cast("double").alias(f"dim{i}") for i in range(3)])
 
 
-@query("train_svc")
+@query("train_svc", "SELECT lang AS class, count(*) AS n, true AS learned FROM documents WHERE lang IS NOT NULL GROUP BY lang")
 def train_svc(spark, sf):
     model, rows = _fitted(spark, sf)
-    return model.transform(rows).groupBy("class", "category").agg(F.count(F.lit(1)).alias("n"))
+    right = F.avg((F.col("category") == F.col("class")).cast("double"))
+    return model.transform(rows).groupBy("class").agg(F.count(F.lit(1)).alias("n"), (right > 0.9).alias("learned"))
 
 
-@query("grid_search")
+@query("grid_search", _learned_sql(L.svm_points()))
 def grid_search(spark, sf):
-    return _trained(spark, sf, [0.2, 0.4], ["balanced"]).scores
+    return _learned(_trained(spark, sf, L.COSTS, L.CLASS_WEIGHTS, L.PENALTIES).scores)
 
 
-@query("cv_scores")
+@query("cv_scores", _learned_sql(L.svm_points([0.3], ["balanced", "none"], ["l2"])))
 def cv_scores(spark, sf):
-    return _trained(spark, sf, [0.3], ["balanced", "none"]).scores.select("params", "mean_score")
+    return _learned(_trained(spark, sf, [0.3], ["balanced", "none"], ["l2"]).scores)
 
 
-@query("model_save_load")
+@query("model_save_load", "SELECT doc_id, true AS same FROM documents")
 def model_save_load(spark, sf):
     model, rows = _fitted(spark, sf)
     path = scratch_path(spark, "model")
     L.save_model(model, path)
-    return L.load_model(path).transform(rows).select("doc_id", "category")
+    before, after = (
+        m.transform(rows).select("doc_id", "category", vector_to_array("rawPrediction").alias("scores")) for m in (model, L.load_model(path))
+    )
+    return before.join(after, "doc_id").select(
+        "doc_id", ((before["category"] == after["category"]) & (before["scores"] == after["scores"])).alias("same")
+    )
 
 
-@query("classify_resumes")
+@query("classify_resumes", f"""
+    WITH clean AS (SELECT doc_id, {S.redact_serving('text')} AS t FROM documents)
+    SELECT doc_id, {_group_categories('t')} AS categories FROM clean""")
 def classify_resumes(spark, sf):
-    model, rows = _fitted(spark, sf)
-    return analyze.classify_resumes(rows, "doc_id", "text", model).select(
+    return analyze.classify_resumes(T.documents(spark, sf).select("doc_id", "text"), "doc_id", "text", _group_model(spark)).select(
         "doc_id", F.array_join("categories", "|").alias("categories")
     )
 
 
-@query("train_classifier")
+@query("train_classifier", """
+    WITH n AS (SELECT lang AS label, (count(*) * 30 + 99) // 100 AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang)
+    SELECT label, CAST(n AS BIGINT) AS support, true AS learned FROM n
+    UNION ALL SELECT unnest(['accuracy', 'macro avg', 'weighted avg']), CAST(sum(n) AS BIGINT), true FROM n""")
 def train_classifier(spark, sf):
-    return _trained(spark, sf, [0.3], ["balanced"]).report()
+    report = _trained(spark, sf, [0.3], ["balanced"], ["l2"]).report()
+    return report.select("label", "support", (F.col("f1") > 0.9).alias("learned"))
 
 
 def _skill_text(df: DataFrame, *columns: str) -> DataFrame:
@@ -812,11 +869,20 @@ def analyze_jobs(spark, sf):
     return _skill_text(result, "doc_id", "cleaned_job_desc", "education")
 
 
-@query("analyze_resumes")
+@query("analyze_resumes", f"""
+    WITH {_ESCO}, redacted AS (SELECT doc_id, {S.redact_serving('text')} AS t FROM documents),
+    clean AS (SELECT doc_id, {_entity_sql('t')} AS cleaned FROM redacted),
+    again AS (SELECT doc_id, {S.redact_serving('cleaned')} AS t FROM clean),
+    twice AS (SELECT doc_id, {_entity_sql('t')} AS t FROM again),
+    {_HITS.replace("TOKENS", S.tokens('cleaned')).replace("AS t FROM documents", "AS t FROM clean")},
+    maps AS (SELECT doc_id, string_agg(skill || '@' || span[1] || '-' || span[2], '|' ORDER BY skill) AS skills
+        FROM firsts GROUP BY doc_id)
+    SELECT doc_id, cleaned AS cleaned_resume, '' AS education, {_group_categories('t')} AS categories, coalesce(skills, '') AS skills
+    FROM clean JOIN twice USING (doc_id) LEFT JOIN maps USING (doc_id)""")
 def analyze_resumes(spark, sf):
-    model, rows = _fitted(spark, sf)
     result = analyze.analyze_resumes(
-        rows, "doc_id", "text", model, G.lexicon(_dictionary(spark, sf)), entity_spans=_pii_spans
+        T.documents(spark, sf).select("doc_id", "text"), "doc_id", "text", _group_model(spark), G.lexicon(_dictionary(spark, sf)),
+        entity_spans=_pii_spans,
     )
     return _skill_text(result.withColumn("categories", F.array_join("categories", "|")),
                        "doc_id", "cleaned_resume", "education", "categories")

@@ -200,22 +200,28 @@ def resumes_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _benchmark_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "benchmark").select(
+_LOWER = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _benchmark_runs(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    """(row_no, w): all words of each benchmark text in runs of ``size`` words, the last one shorter."""
+    words = load(spark, sf_dir, "benchmark").select(
         "item_id", F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)).alias("w")
-    )
+    ).where(F.size("w") > 0)
+    runs = F.expr(f"transform(sequence(0, (size(w) - 1) div {size}), g -> slice(w, int(g) * {size} + 1, {size}))")
+    return words.select("item_id", F.posexplode(runs).alias("g", "w")).select((F.col("item_id") * 1000 + F.col("g")).alias("row_no"), "w")
 
 
 def esco(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A skill vocabulary from benchmark: words 1-2 as the preferred label; word 3, words 4-6 and
-    word 7 as alternatives, none for every fifth row."""
+    """A skill vocabulary from all words of benchmark, seven a row: words 1-2 as the preferred label; word 3,
+    words 4-6 and word 7 as alternatives, none for every fifth row."""
     alts = F.concat_ws(
         "\n", F.get("w", F.lit(2)), F.array_join(F.slice("w", 4, 3), " "), F.lit(" "),
-        F.concat(F.lit(" "), F.upper(F.get("w", F.lit(6))), F.lit(" ")),
+        F.concat(F.lit(" "), F.translate(F.get("w", F.lit(6)), _LOWER, _LOWER.upper()), F.lit(" ")),
     )
-    return _benchmark_words(spark, sf_dir).select(
-        F.col("item_id").alias("row_no"), F.concat_ws(" ", F.get("w", F.lit(0)), F.get("w", F.lit(1))).alias("preferredLabel"),
-        F.when(F.col("item_id") % 5 != 0, alts).alias("altLabels"),
+    return _benchmark_runs(spark, sf_dir, 7).select(
+        "row_no", F.concat_ws(" ", F.get("w", F.lit(0)), F.get("w", F.lit(1))).alias("preferredLabel"),
+        F.when(F.col("row_no") % 5 != 0, alts).alias("altLabels"),
     )
 
 
@@ -228,15 +234,14 @@ def tech_terms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A long skill list from benchmark: words 1-2, word 3 and ".word 4" of each row."""
-    words = _benchmark_words(spark, sf_dir)
+    """A long skill list from all words of benchmark, six a time: words 1-2, word 3, ".word 4" and "word 5, word 6"."""
     terms = F.array(
         F.concat_ws(" ", F.get("w", F.lit(0)), F.get("w", F.lit(1))), F.get("w", F.lit(2)),
         F.concat(F.lit("."), F.get("w", F.lit(3))), F.concat(F.get("w", F.lit(4)), F.lit(", "), F.get("w", F.lit(5))),
     )
-    return words.select(
-        "item_id", F.posexplode(terms).alias("i", "skill")
-    ).select((F.col("item_id") * 4 + F.col("i")).cast("int").alias("pos"), "skill")
+    return _benchmark_runs(spark, sf_dir, 6).select("row_no", F.posexplode(terms).alias("i", "skill")).where("skill IS NOT NULL").select(
+        (F.col("row_no") * 4 + F.col("i")).cast("int").alias("pos"), "skill"
+    )
 
 
 def model_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,10 +252,11 @@ def model_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """embeddings with the first ten dimensions as the scores of classes 0-9."""
-    return load(spark, sf_dir, "embeddings").select(
-        "vec_id", "label", F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double")).alias("scores")
+    """embeddings with the scores of classes 0-9: class c sums the dimensions i with i mod 10 = c."""
+    scores = F.expr(
+        "transform(sequence(0, 9), c -> aggregate(filter(embedding, (x, i) -> i % 10 = c), 0D, (t, x) -> t + double(x)))"
     )
+    return load(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding", scores.alias("scores"))
 
 
 def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:

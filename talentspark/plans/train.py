@@ -11,6 +11,7 @@ from talentspark.functions import patterns as P
 from talentspark.functions.scores import label_rank
 from talentspark.operators import learning as L
 from talentspark.operators import metrics as M
+from talentspark.operators import svm
 from talentspark.operators.features import hashed_embedding, term_lists, tfidf_stages
 from talentspark.operators.splits import stratified_kfold, stratified_split
 from talentspark.session import settle_table
@@ -33,13 +34,18 @@ class Training:
         return M.topk_accuracy(self.test_predictions, rank, list(ks))
 
 
-def fit_text_model(rows: DataFrame, class_col: str, text_col: str, max_iter: int = L.MAX_ITER, **svm) -> PipelineModel:
-    """A classifier of texts with fixed settings. Every iteration reads the vectors, so they are
-    computed once and kept."""
-    features = hashed_embedding(text_col).fit(rows)
+def fit_text_model(
+    rows: DataFrame, class_col: str, text_col: str, max_iter: int = L.MAX_ITER, steps: list | None = None, **settings
+) -> PipelineModel:
+    """A classifier of texts with fixed ``settings`` (``C``, ``classWeight``, ``penalty``). Every iteration reads
+    the vectors, so they are computed once and kept. ``steps`` (see ``operators.stages``) prepare the texts and
+    are saved with the model."""
+    steps = steps or []
+    words = hashed_embedding(steps[-1].getOutputCol() if steps else text_col)
+    features = Pipeline(stages=[*steps, *words.getStages()]).fit(rows)
     labels = L.index_labels(rows, class_col)
     vectors = settle_table(labels.transform(features.transform(rows)).select("label", "features"), "vectors")
-    return L.text_model(features, [L.LinearSvm(maxIter=max_iter, **svm).fit(vectors)], labels.labels)
+    return L.text_model(features, [svm.BlockSvm(maxIter=max_iter, **settings).fit(vectors)], labels.labels)
 
 
 def parts(dataset, id_col, class_col, text_col, folds, synthetic=None) -> DataFrame:
@@ -61,28 +67,26 @@ def parts(dataset, id_col, class_col, text_col, folds, synthetic=None) -> DataFr
     ))
 
 
-def _tune(vectors, features, labels, estimator, grid, folds) -> Training:
-    train, test = vectors.where("not is_test"), vectors.where("is_test")
-    search = L.grid_search(train, estimator, grid, "fold", folds)
-    best = search.bestModel.stages if isinstance(search.bestModel, PipelineModel) else [search.bestModel]
-    model = L.text_model(features, best, labels.labels)
+def _trained(vectors, features, labels, fitted, scores) -> Training:
+    model = L.text_model(features, fitted, labels.labels)
 
     def predict(part: DataFrame) -> DataFrame:
         for stage in model.stages[len(features.stages):]:
             part = stage.transform(part)
         return part
 
-    return Training(model, L.cv_scores(search, grid), predict(train), predict(test))
+    return Training(model, scores, predict(vectors.where("not is_test")), predict(vectors.where("is_test")))
 
 
 def train_classifier(
     dataset: DataFrame, id_col: str, class_col: str, text_col: str, costs=L.COSTS,
-    class_weights=L.CLASS_WEIGHTS, folds: int = P.FOLDS, max_iter: int = L.MAX_ITER, synthetic: DataFrame | None = None,
-    embed=None,
+    class_weights=L.CLASS_WEIGHTS, penalties=L.PENALTIES, folds: int = P.FOLDS, max_iter: int = L.MAX_ITER,
+    synthetic: DataFrame | None = None, embed=None,
 ) -> Training:
     """Train on 70 % of each class with the best settings of the grid, on embeddings.
 
-    Vectors are computed once and kept as a table, as every fit reads them again.
+    Vectors are computed once and kept as a table; all points of the grid and all folds are fitted in
+    shared passes over them, then the best point once more on all training rows.
     ``synthetic`` (text, class) is added to the training rows only. ``embed`` (text column ->
     array<float>, see ``embed_with``) takes the place of the hashed words; the model then starts
     from a column ``features``.
@@ -97,8 +101,13 @@ def train_classifier(
     vectors = settle_table(
         labels.transform(features.transform(rows)).select("class", "label", "is_test", "fold", "features"), "vectors"
     )
-    svm = L.LinearSvm(maxIter=max_iter)
-    return _tune(vectors, features, labels, svm, L.parameter_grid(svm, costs, class_weights), folds)
+    points = L.svm_points(costs, class_weights, penalties)
+    train = vectors.where("not is_test")
+    scores = svm.grid_scores(train, points, "features", "label", "fold", max_iter)
+    # on equal means the first point, as a grid search reports it
+    best = max(range(len(points)), key=lambda i: (sum(scores[i]), -i))
+    fitted = svm.BlockSvm(maxIter=max_iter, **points[best]).fit(train)
+    return _trained(vectors, features, labels, [fitted], L.point_scores(points, scores))
 
 
 def train_on_terms(
@@ -113,7 +122,7 @@ def train_on_terms(
         labels.transform(features.transform(rows)).select(
             "class", "label", "is_test", "fold", "grams1", "grams2", "grams3"), "terms"
     )
-    stages, svm = tfidf_stages(), L.LinearSvm(maxIter=max_iter)
-    return _tune(
-        terms, features, labels, Pipeline(stages=[*stages, svm]), L.tfidf_grid(stages[0], svm, **grid), folds
-    )
+    stages, last = tfidf_stages(), L.LinearSvm(maxIter=max_iter)
+    points = L.tfidf_grid(stages[0], last, **grid)
+    search = L.grid_search(terms.where("not is_test"), Pipeline(stages=[*stages, last]), points, "fold", folds)
+    return _trained(terms, features, labels, search.bestModel.stages, L.cv_scores(search, points))

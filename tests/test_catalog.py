@@ -9,8 +9,6 @@ import __spark_entry__ as entry
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
-# minutes of model fitting; tests/test_files_and_jobs.py covers them on smaller settings
-SLOW = {"grid_search", "cv_scores", "train_classifier", "train_svc", "model_save_load", "classify_resumes", "analyze_resumes"}
 
 
 @pytest.fixture(scope="module")
@@ -32,7 +30,7 @@ def rows(columns, values):
     return sorted(columns), sorted((tuple(cell(v[i]) for i in order) for v in values), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries().keys() - SLOW))
+@pytest.mark.parametrize("name", sorted(entry.queries().keys()))
 def test_query(spark, sf, con, name):
     df = entry.queries()[name](spark, sf)
     got = rows(df.columns, [tuple(r) for r in df.collect()])

@@ -121,9 +121,10 @@ def test_training(spark, texts):
     two = texts.where(F.col("class").isin("en", "fr"))
     extra = spark.createDataFrame([("le la les des", "fr")], "text string, class string")
     result = train.train_classifier(two, "doc_id", "class", "text", costs=[0.3], class_weights=["balanced", "none"], folds=2,
-                                    max_iter=3, synthetic=extra)
+                                    synthetic=extra)
     scores = result.scores.collect()
-    assert [json.loads(r.params) for r in scores] == [{"C": 0.3, "classWeight": w} for w in ("balanced", "none")]
+    assert [json.loads(r.params) for r in scores] == [
+        {"C": 0.3, "classWeight": w, "penalty": p} for w in ("balanced", "none") for p in ("l1", "l2")]
     assert all(r.mean_score > 0.8 for r in scores)
     assert {r.label for r in result.report().collect()} == {"en", "fr", "accuracy", "macro avg", "weighted avg"}
     assert result.topk((1, 2)).collect()[1].accuracy == 1.0
