@@ -3,12 +3,15 @@
 Texts are tokenised and cut into pieces of at most ``size`` tokens. Each task packs its pieces by
 best fit in descending order of length and emits the bins that are nearly full. What is left in an
 underfull bin goes on as one item to the next round, where ``FAN_IN`` tasks meet in one, until a single
-group is left. A group carries on at most ``CARRY`` bins (the emptiest), so no task grows with the input;
-bins that are not carried on are sequences as they are.
+group is left. Bins above half full cannot join each other, and best fit leaves at most one other bin in a
+group; so at most ``FAN_IN`` bins of a length can find a partner in a round, and a group carries on ``KEPT`` of
+each length: as many as all rounds to come can use. What more there is of a length stays a sequence of its own,
+as it would if it were carried on. A node thus holds a bounded number of bins whatever the input.
 
 Edge cases: a null text is empty and gives one piece that holds the end token only; texts longer than
 ``size`` give pieces of exactly ``size`` tokens after a first one that may be shorter; rows without an
-id and repeated rows give pieces like any other; further columns are left behind.
+id and repeated rows give pieces like any other; pieces of equal length are packed in the order in which their
+task read them; further columns are left behind.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ from talentspark.session import settle_table
 SIZE = 1024
 END = 2
 SLACK = 4
-CARRY = 20_000
 FAN_IN = 16
+KEPT = FAN_IN * 8  # eight rounds join 16 ** 8 tasks
 ROWS = 512
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, ids array<int>"
 
@@ -92,7 +95,9 @@ def _packed(items: np.ndarray, lengths: np.ndarray, size: int, prefix: int, grou
     names = prefix + np.arange(len(used))
     placed = pd.DataFrame({"item": items, "bin": names[where], "offset": offset, "length": lengths, "group": -1})
     under = np.zeros(0, np.int64) if last else np.flatnonzero(used < size - SLACK)
-    under = under[np.argsort(used[under], kind="stable")][:CARRY]
+    under = under[np.argsort(used[under], kind="stable")]
+    first = np.searchsorted(used[under], used[under])  # of the bins with the same length
+    under = under[np.arange(len(under)) - first < KEPT]
     carried = pd.DataFrame({"item": names[under], "bin": -1, "offset": 0, "length": used[under], "group": group})
     return pd.concat([placed, carried])
 

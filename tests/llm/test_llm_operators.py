@@ -277,6 +277,25 @@ def test_codec_round_trip():
     assert len(coded[-1]) < 600
 
 
+def test_packing_carries_what_can_still_be_joined(spark, monkeypatch):
+    """Many groups, few bins of a length carried on: no more sequences than with all of them, and nearly as few as one best fit."""
+    rng = random.Random(8)
+    lengths = [rng.choice([20, 35, 51, 52, 60, 61, 70, 88]) for _ in range(6000)]
+    items = spark.createDataFrame(list(enumerate(lengths)), "item long, length int").repartition(60)
+    monkeypatch.setattr(packing, "SLACK", 0)
+    found = []
+    for kept in (packing.KEPT, 10**9):
+        monkeypatch.setattr(packing, "KEPT", kept)
+        rows = packing.pack(items, 100).collect()
+        used = collections.Counter()
+        for r in rows:
+            used[r.sequence_id] += lengths[r.item]
+        assert len(rows) == 6000 and max(used.values()) <= 100
+        found.append(len(used))
+    alone = len(packing.best_fit(np.array(lengths), 100)[2])
+    assert found[0] == found[1] <= alone * 1.02
+
+
 def test_packing(spark, texts):
     docs = frame(spark, texts)
     path = public_tokenizers.path("byte_bpe_50k.json")
