@@ -83,6 +83,22 @@ def _csv_of_documents(spark, sf, name: str, columns: list) -> str:
     return path
 
 
+@query("rss_jobs", f"""
+    WITH landed AS ({S.feed_listings('weworkremotely')}),
+    placed AS (SELECT *, 5 AS source_ord, ((fetch_ord >> 20) % 7 << 44) + fetch_ord AS place FROM landed)
+    SELECT job_id, title, company, location, url, skills_matched, matched_skills
+    FROM ({S.unique_jobs("SELECT source, source_ord, place AS fetch_ord, job_id, title, company, location, url, description FROM placed", T.SKILLS)})""")
+def rss_jobs(spark, sf):
+    """Landed RSS files to ranked jobs."""
+    path = scratch_path(spark, "rss")
+    names = F.array(*[F.lit(c) for c in feeds.CATEGORIES["We Work Remotely"]])
+    T.landed_feed(spark, sf, "weworkremotely").select(
+        "payload", "page", F.get(names, F.col("page") % 7).alias("category")
+    ).write.partitionBy("category", "page").text(path)
+    jobs = aggregate.report(feeds.rss_listings(feeds.read_rss(spark, path)), T.SKILLS).ranked()
+    return jobs.select("job_id", "title", "company", "location", "url", "skills_matched", "matched_skills")
+
+
 @query("scan_labelled_csv", "SELECT source AS Category, text AS Text FROM documents")
 def scan_labelled_csv(spark, sf):
     path = _csv_of_documents(spark, sf, "labelled", [F.col("source").alias("Category"), F.col("text").alias("Text")])

@@ -263,7 +263,25 @@ def normalise(landed: DataFrame, *feed_keys: str) -> DataFrame:
 
 
 def read_rss(spark: SparkSession, path: str) -> DataFrame:
-    """Raw ``<item>`` rows of landed RSS files."""
-    return spark.read.format("xml").option("rowTag", "item").schema(
-        ", ".join(f"{tag} string" for tag in RSS_TAGS)
+    """(category, page, pos, item): the items of landed RSS files, ``path/category=<name>/page=<number>/<any name>``.
+
+    A file is one row of the reader, so its items keep their order; unreadable files give no rows.
+    """
+    item = ", ".join(f"{tag}: string" for tag in RSS_TAGS)
+    pages = spark.read.format("xml").option("rowTag", "channel").schema(
+        f"item array<struct<{item}>>, category string, page int"
     ).load(path)
+    return pages.select("category", "page", F.posexplode("item").alias("pos", "item"))
+
+
+def rss_listings(items: DataFrame) -> DataFrame:
+    """Listings of ``read_rss`` rows, in the order in which the categories are fetched."""
+    feed = FEEDS["weworkremotely"]
+    source = F.lit(feed.name)
+    fields = {name: value for name, value in feed.fields(F.col("item")).items()}
+    place = term_pos(source, F.col("category"), F.lit(None).cast("int"))
+    return items.select(
+        source.alias("source"), F.lit(feed.ord).alias("source_ord"), fetch_ord(place, F.col("page"), F.col("pos")).alias("fetch_ord"),
+        *(fields[c].alias(c) for c in ("job_id", "title", "company", "location", "url")),
+        clean_html(fields["description"]).alias("description"),
+    )

@@ -48,8 +48,13 @@ def test_rss_items(spark):
 
 
 def test_rss_files(spark, tmp_path):
-    (tmp_path / "a.rss").write_text(RSS.format(more=SOLO))
-    assert sorted(r.title for r in feeds.read_rss(spark, str(tmp_path)).collect()) == ["Acme: Dev: Ops", "Solo"]
+    for category, page, name in (("Design", 2, "a.rss"), ("Programming", 1, "b.xml"), ("DevOps %2F Sysadmin", 1, "c.rss")):
+        folder = tmp_path / f"category={category}" / f"page={page}"
+        folder.mkdir(parents=True)
+        (folder / name).write_text(RSS.format(more=SOLO) if category == "Design" else "<rss><oops" if page == 3 else RSS.format(more=""))
+    rows = feeds.rss_listings(feeds.read_rss(spark, str(tmp_path))).orderBy("fetch_ord").collect()
+    assert [(r.company, r.title) for r in rows] == [("Acme", "Dev: Ops")] * 3 + [("", "Solo")]
+    assert [r.fetch_ord for r in rows] == [1 << 20, (1 << 44) + (1 << 20), (2 << 44) + (2 << 20), (2 << 44) + (2 << 20) + 1]
 
 
 def test_nested_feeds(spark):
