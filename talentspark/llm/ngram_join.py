@@ -28,13 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentspark.llm.common import WordHash, components, mix, with_id
+from talentspark.llm.common import WordHash, components, mix, released, trim, with_id
 from talentspark.operators.joins import lookup_join
 from talentspark.session import settle, settle_table
 
 CHUNK_WORDS = 250_000
 BLOCK = 1_500_000
-BUCKET_BYTES = 16 << 20  # of texts; a task counts the shingles of that many
+BUCKET_BYTES = 8 << 20  # of texts; a task counts the shingles of that many
 SKIP = 0.0085  # weight of a probe against a merge step
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -108,7 +108,7 @@ def signatures(docs: DataFrame, n: int, buckets: int) -> DataFrame:
             yield chunk(number, ids, sets)
 
     schema = "kind int, chunk long, bucket long, no long, doc_id long, n long, d1 long, d2 long, x binary, y binary"
-    return docs.mapInPandas(run, schema)
+    return docs.mapInPandas(released(run), schema)
 
 
 def shared(frame: pd.DataFrame) -> pd.DataFrame:
@@ -125,6 +125,7 @@ def shared(frame: pd.DataFrame) -> pd.DataFrame:
         held = held[values[at[held]] == part[held]]
         if len(held):
             rows.append((chunk, bucket, packed(part[held]), packed(unpacked(y, np.uint16)[held]), packed(counts[at[held]])))
+    trim()
     return pd.DataFrame(rows, columns=["chunk", "bucket", "x", "y", "z"])
 
 
@@ -300,7 +301,7 @@ def classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 
     task = "array<struct<task:bigint,whole:boolean,i:int,j:int,cut:int,copies:bigint>>"
     shipped = lookup_join(rows.where("doc_id IS NOT NULL"), tasks, ["doc_id"], spread_by=["doc_id"]).mapInPandas(
-        sets, f"doc_id long, tasks {task}, s binary"
+        released(sets), f"doc_id long, tasks {task}, s binary"
     ).select("doc_id", "s", F.explode("tasks").alias("t")).select("doc_id", "s", "t.*")
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:

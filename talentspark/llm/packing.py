@@ -25,7 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentspark.llm.tokens import Encoder
+from talentspark.llm.common import released
+from talentspark.llm.tokens import KEPT_PIECES, Encoder
 from talentspark.session import settle_table
 
 SIZE = 1024
@@ -45,10 +46,14 @@ def cuts(count: int, size: int) -> list[tuple[int, int]]:
     return ([(0, first)] if first else []) + [(a, size) for a in range(first, count, size)]
 
 
-def pieces(docs: DataFrame, path: str, leading: bool = True, size: int = SIZE, end: int = END, with_ids: bool = True) -> DataFrame:
-    """The pieces of each text: doc_id, piece, start, length, ids_crc32 and, where asked for, ids."""
+def pieces(
+    docs: DataFrame, path: str, leading: bool = True, size: int = SIZE, end: int = END, with_ids: bool = True,
+    kept: int = KEPT_PIECES,
+) -> DataFrame:
+    """The pieces of each text: doc_id, piece, start, length, ids_crc32 and, where asked for, ids. A task remembers the
+    ids of ``kept`` pieces of text."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = Encoder(path, leading)
+        tokens = Encoder(path, leading, kept)
         for batch in batches:
             for at in range(0, len(batch), ROWS):
                 part = batch.iloc[at:at + ROWS]
@@ -61,7 +66,7 @@ def pieces(docs: DataFrame, path: str, leading: bool = True, size: int = SIZE, e
                 out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
                 yield out.astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(released(run), PIECES)
 
 
 def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,9 +141,9 @@ def pack(items: DataFrame, size: int = SIZE) -> DataFrame:
     return placed
 
 
-def packed_pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = END) -> DataFrame:
+def packed_pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = END, kept: int = KEPT_PIECES) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    cut = pieces(docs, path, True, size, end, with_ids=False).drop("ids")
+    cut = pieces(docs, path, True, size, end, with_ids=False, kept=kept).drop("ids")
     cut = settle_table(cut.withColumn("item", F.monotonically_increasing_id()), "pieces")
     full = cut.where(F.col("length") == size).withColumn("sequence_id", -1 - F.col("item")).withColumn("offset", F.lit(0).cast("long"))
     rest = cut.where(F.col("length") < size)

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talentspark.llm.common import mix, ranges
+from talentspark.llm.common import mix, ranges, released
 from talentspark.session import settle, settle_table
 
 SPAN = 200
@@ -127,7 +127,7 @@ def anchor_rows(rows: DataFrame, buckets: int) -> DataFrame:
                 out.append((1, int(bucket[part[0]]), gram[part].tobytes(), key[part].tobytes()))
             yield pd.DataFrame(out, columns=["kind", "bucket", "gram", "key"])
 
-    return rows.mapInPandas(run, "kind int, bucket int, gram binary, key binary")
+    return rows.mapInPandas(released(run), "kind int, bucket int, gram binary, key binary")
 
 
 def repeated(frame: pd.DataFrame) -> pd.DataFrame:
@@ -177,7 +177,7 @@ def strings(flagged: DataFrame) -> DataFrame:
                 entry[4].append(int(base + first[i]))
             yield pd.DataFrame([(d, *e) for d, e in found.items()], columns=["id", "gram", "anchor", "string", "keys", "places"])
 
-    return flagged.mapInPandas(run, STRINGS)
+    return flagged.mapInPandas(released(run), STRINGS)
 
 
 class Columns:

@@ -26,12 +26,12 @@ BESIDE = re.compile(r"\s | \s")
 class Encoder:
     """``leading``: whether the space before a word belongs to its token."""
 
-    def __init__(self, path: str, leading: bool):
+    def __init__(self, path: str, leading: bool, kept: int = KEPT_PIECES):
         # a task has one core; the library would start a thread for each core of the machine
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.leading = Tokenizer.from_file(path), leading
+        self.tokenizer, self.leading, self.kept = Tokenizer.from_file(path), leading, kept
         # in a byte-level vocabulary \u0120 stands for the space
         size = self.tokenizer.get_vocab_size()
         self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
@@ -43,7 +43,7 @@ class Encoder:
     def _forget(self) -> None:
         """Keep the pieces that several texts had since the last time, at most half of all."""
         kept = np.flatnonzero(self.uses > 1)
-        kept = kept[np.argsort(-self.uses[kept], kind="stable")][:KEPT_PIECES // 2]
+        kept = kept[np.argsort(-self.uses[kept], kind="stable")][:self.kept // 2]
         names = list(self.number)
         self.number = {names[k]: i for i, k in enumerate(kept.tolist())}
         self.ids, self.size = self.ids[ranges(self.start[kept], self.size[kept])], self.size[kept]
@@ -82,7 +82,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, without any end token."""
-        if len(self.number) > KEPT_PIECES:
+        if len(self.number) > self.kept:
             self._forget()
         out: list[np.ndarray | None] = [None] * len(texts)
         odd = [i for i, t in enumerate(texts) if self.leading and BESIDE.search(t)]

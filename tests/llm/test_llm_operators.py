@@ -373,11 +373,10 @@ def test_pipeline_keeps_clean_documents(spark, sf, tmp_path):
     assert {r.doc_id for r in rows.select("doc_id").distinct().collect()} == {r.doc_id for r in last.collect()}
 
 
-def test_tokens_after_forgetting(texts, monkeypatch):
+def test_tokens_after_forgetting(texts):
     whole = [t or "" for t in texts] * 2
     expected = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"), False).encode(whole)
-    monkeypatch.setattr(tokens, "KEPT_PIECES", 50)
-    encoder = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"), False)
+    encoder = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"), False, kept=50)
     found = [encoder.encode([t])[0] for t in whole]
     assert all(np.array_equal(a, b) for a, b in zip(expected, found, strict=True))
     assert len(encoder.number) < len({p for t in whole for p in t.split(" ")})
