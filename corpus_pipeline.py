@@ -17,6 +17,8 @@ from talentspark.session import settle_table
 
 # no SQL can express the learned, approximate and packing stages; tests compare them with brute force
 ORACLE_SQL = None
+# pieces of text whose token ids a packing task remembers: fewer than alone, as the stages share their workers
+PIECES = 150_000
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +47,7 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents, packed into sequences of 1024 tokens."""
-    return packing.packed_pieces(docs, vocabulary("byte_bpe_50k.json"))
+    return packing.packed_pieces(docs, vocabulary("byte_bpe_50k.json"), kept=PIECES)
 
 
 STAGES = [
