@@ -2,11 +2,14 @@
 
 The target model counts the target documents, the background model all documents; its counts are
 scaled to the target's number of tokens, so that the lower orders weigh alike in both. Words, pairs and
-triples are counted by 64-bit hashes, each by its own: what is gathered grows with the input.
+triples are counted by hashes, each by its own: what is gathered grows with the input. A hash has ``SPARE``
+bits more than the number of all n-grams has (64 at most), so at every size about one n-gram in four
+million shares its hash with another.
 
 1. Documents are dealt by a hash into chunks of about ``CHUNK`` characters. A chunk sends each of its
    distinct n-grams once, with its counts, to the n-gram's bucket; so a frequent n-gram costs a bucket
-   no more than one entry a chunk.
+   no more than one entry a chunk. Hashes travel as compressed differences of ascending values, and a
+   chunk sends nothing to a bucket that it has no n-gram for, so rows are never more than n-grams.
 2. A bucket sums up and answers each chunk with the sums, in the order of what the chunk sent.
 3. A chunk puts the sums to its tokens again, and each document gets its mean loss per token under
    either model (triples backed off to pairs, words and a uniform share of the distinct words).
@@ -25,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,29 +38,39 @@ from talentspark.operators.joins import lookup_join
 PRIOR = (0.5, 8.0, 4.0)  # weight of the next lower order
 CHUNK = 4_000_000
 LEAST_PARTS = 64  # chunks and buckets of a small input
+SPARE = 22
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 COUNTS = "chunk int, bucket int, keys binary, target binary, whole binary"
 SCORES = "doc_id long, n_tokens long, target_loss double, background_loss double, difference double"
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Unsigned integers without the high bytes that none of them uses, one byte plane after the other."""
+    """Unsigned integers, byte plane after byte plane without the high ones that none uses, compressed."""
     x = x.astype("<u8")
     width = -(-int(x.max()).bit_length() // 8) if len(x) else 0
-    return x.view(np.uint8).reshape(-1, 8).T[:width].tobytes() + len(x).to_bytes(8, "little")
+    planes = x.view(np.uint8).reshape(-1, 8).T[:width].tobytes()
+    return len(x).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(planes)
 
 
 def unpack(v: bytes) -> np.ndarray:
-    size = int.from_bytes(v[-8:], "little")
+    size, planes = int.from_bytes(v[:8], "little"), zstandard.ZstdDecompressor().decompress(v[8:])
     out = np.zeros((size, 8), np.uint8)
-    if size:
-        planes = np.frombuffer(v, np.uint8, len(v) - 8).reshape(-1, size)
+    if planes:
+        planes = np.frombuffer(planes, np.uint8).reshape(-1, size)
         out[:, :len(planes)] = planes.T
     return out.view("<u8").ravel()
 
 
-def grams(texts: list[str | None], cache: WordHash) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (3, tokens) of each token's word, pair and triple (with the tokens before it), and the tokens of each text."""
+def key_bits(tokens: int) -> int:
+    """Bits of a hash where ``tokens`` tokens have three n-grams each."""
+    return min((3 * tokens).bit_length() + SPARE, 64)
+
+
+def grams(texts: list[str | None], cache: WordHash, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (3, tokens) of each token's word, pair and triple (with the tokens before it), and the tokens of each text.
+
+    The upper ``bits`` of a key are its hash, the others are 0.
+    """
     split = [(t or "").lower().encode("utf-8", "replace").split() for t in texts]
     sizes = np.fromiter(map(len, split), np.int64, len(split))
     first = (np.cumsum(sizes) - sizes)[sizes > 0]
@@ -70,7 +84,8 @@ def grams(texts: list[str | None], cache: WordHash) -> tuple[np.ndarray, np.ndar
     word = mix(cache.of([w for s in split for w in s]) + ODD[0])
     pair = mix(mix(before(word) + ODD[1]) + word)
     triple = mix(mix(before(pair) + ODD[2]) + word)
-    return np.stack([word, pair, triple]), sizes
+    spare = np.uint64(64 - bits)
+    return (np.stack([word, pair, triple]) >> spare) << spare, sizes
 
 
 def tally(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,6 +103,11 @@ def runs(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
         yield b, slice(int(ends[b - 1]) if b else 0, int(ends[b]))
 
 
+def first_of(bucket: int, buckets: int) -> np.uint64:
+    """The least key that ``runs`` gives to the bucket."""
+    return np.uint64(-(-(bucket << 32) // buckets) << 32)
+
+
 def measure(rows: DataFrame, buckets: int) -> tuple[int, int, int]:
     """Tokens of the target documents, tokens of all, and distinct words, of (text, target)."""
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -95,7 +115,8 @@ def measure(rows: DataFrame, buckets: int) -> tuple[int, int, int]:
 
         def send() -> pd.DataFrame:
             keys = np.sort(cache.of(list(seen)))
-            out = [(b, keys[part].tobytes(), 0, 0) for b, part in runs(keys, buckets)] + [(0, b"", target, whole)]
+            out = [(b, pack(np.diff(keys[part], prepend=np.uint64(0))), 0, 0) for b, part in runs(keys, buckets)]
+            out.append((0, pack(keys[:0]), target, whole))
             return pd.DataFrame(out, columns=["bucket", "keys", "target", "whole"])
 
         for batch in batches:
@@ -110,7 +131,7 @@ def measure(rows: DataFrame, buckets: int) -> tuple[int, int, int]:
         yield send()
 
     def distinct(frame: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([np.frombuffer(x, np.uint64) for x in frame["keys"]])
+        keys = np.concatenate([np.cumsum(unpack(v), dtype=np.uint64) for v in frame["keys"]])
         return pd.DataFrame({"words": [len(np.unique(keys))], "target": [frame["target"].sum()], "whole": [frame["whole"].sum()]})
 
     sent = rows.select("text", "target").mapInPandas(words, "bucket int, keys binary, target long, whole long")
@@ -118,22 +139,25 @@ def measure(rows: DataFrame, buckets: int) -> tuple[int, int, int]:
     return tuple(x or 0 for x in sums.agg(F.sum("target"), F.sum("whole"), F.sum("words")).first())
 
 
-def count(chunks: DataFrame, buckets: int) -> DataFrame:
+def count(chunks: DataFrame, buckets: int, bits: int) -> DataFrame:
     """Per chunk and bucket, the sums over all chunks of the chunk's distinct n-grams, in ascending order of their keys."""
+    spare = np.uint64(64 - bits)
+
     def send(frame: pd.DataFrame) -> pd.DataFrame:
-        keys, sizes = grams(frame["text"].tolist(), WordHash())
+        keys, sizes = grams(frame["text"].tolist(), WordHash(), bits)
         found, whole = tally(keys.ravel())
         some, number = tally(keys[:, np.repeat(frame["target"].to_numpy(bool), sizes)].ravel())
         target = np.zeros(len(found), np.int64)
         target[np.searchsorted(found, some)] = number
         chunk = int(frame["chunk"].iloc[0])
         out = [
-            (chunk, b, pack(np.diff(found[part], prepend=np.uint64(0))), pack(target[part]), pack(whole[part]))
+            (chunk, b, pack(np.diff(found[part] >> spare, prepend=first_of(b, buckets) >> spare)), pack(target[part]), pack(whole[part]))
             for b, part in runs(found, buckets)
         ]
         return pd.DataFrame(out, columns=["chunk", "bucket", "keys", "target", "whole"])
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
+        # all keys of a bucket are counted from the same one
         parts = [np.cumsum(unpack(v), dtype=np.uint64) for v in frame["keys"]]
         ends = np.cumsum([len(p) for p in parts])[:-1]
         _, at = np.unique(np.concatenate(parts), return_inverse=True)
@@ -187,10 +211,11 @@ def score(docs: DataFrame, targets: DataFrame) -> DataFrame:
     rows = lookup_join(rows, ids, ["doc_id"], "left", spread_by=["h"]).withColumn("target", F.coalesce("target", F.lit(False)))
     parts = max(LEAST_PARTS, (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // CHUNK)
     in_target, in_all, words = measure(rows, parts)
+    bits = key_bits(in_all)
     chunks = rows.select("doc_id", "text", "target", F.pmod("h", F.lit(parts)).cast("int").alias("chunk"))
 
     def run(frame: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
-        keys, sizes = grams(frame["text"].tolist(), WordHash())
+        keys, sizes = grams(frame["text"].tolist(), WordHash(), bits)
         owner = np.repeat(np.arange(len(sizes)), sizes)
         found, at = np.unique(keys.ravel(), return_inverse=True)
         at = at.reshape(keys.shape)
@@ -208,4 +233,4 @@ def score(docs: DataFrame, targets: DataFrame) -> DataFrame:
         })
         return out.astype({c: "Float64" for c in ("target_loss", "background_loss", "difference")})
 
-    return chunks.groupBy("chunk").cogroup(count(chunks, parts).groupBy("chunk")).applyInPandas(run, SCORES)
+    return chunks.groupBy("chunk").cogroup(count(chunks, parts, bits).groupBy("chunk")).applyInPandas(run, SCORES)

@@ -66,10 +66,18 @@ def test_lm_score_counts_the_ngrams_themselves(spark):
 
 def test_lm_score_keeps_many_ngrams_apart():
     rng = random.Random(22)
-    keys, sizes = lm_score.grams([" ".join(f"{rng.random()}" for _ in range(400_000))], lm_score.WordHash())
+    bits = lm_score.key_bits(400_000)
+    keys, sizes = lm_score.grams([" ".join(f"{rng.random()}" for _ in range(400_000))], lm_score.WordHash(), 64)
     assert sizes.tolist() == [400_000] and len(np.unique(keys)) == 3 * len(np.unique(keys[0])) == 1_200_000
     some = np.sort(keys[0])
     assert np.array_equal(np.cumsum(lm_score.unpack(lm_score.pack(np.diff(some, prepend=np.uint64(0)))), dtype=np.uint64), some)
+    # shorter hashes at the same rate of shared ones whatever the size
+    assert bits == 43 and lm_score.key_bits(1 << 50) == 64 and lm_score.key_bits(0) == lm_score.SPARE
+    assert len(np.unique(keys >> np.uint64(64 - bits))) > 1_199_990
+    for buckets in (1, 64, 1000):
+        for b, part in lm_score.runs(np.sort(keys[2]), buckets):
+            low, high = lm_score.first_of(b, buckets), np.sort(keys[2])[part]
+            assert low <= high[0] and (b + 1 == buckets or high[-1] < lm_score.first_of(b + 1, buckets))
 
 
 def test_pipeline_drops_copies_of_four_fifths(spark, sf):
