@@ -10,8 +10,9 @@ million shares its hash with another.
    distinct n-grams once, with its counts, to the n-gram's bucket; so a frequent n-gram costs a bucket
    no more than one entry a chunk. Hashes travel as compressed differences of ascending values, and a
    chunk sends nothing to a bucket that it has no n-gram for, so rows are never more than n-grams.
-2. A bucket sums up and answers each chunk with the sums, in the order of what the chunk sent.
-3. A chunk puts the sums to its tokens again, and each document gets its mean loss per token under
+2. A bucket sums up and answers each chunk with what the other chunks counted, in the order of what the
+   chunk sent; for the many n-grams of one chunk alone that is 0 and takes hardly any room.
+3. A chunk adds its own counts, puts the sums to its tokens again, and each document gets its mean loss per token under
    either model (triples backed off to pairs, words and a uniform share of the distinct words).
 
 What a model counted of a document is taken off its counts while the document is scored.
@@ -140,7 +141,7 @@ def measure(rows: DataFrame, buckets: int) -> tuple[int, int, int]:
 
 
 def count(chunks: DataFrame, buckets: int, bits: int) -> DataFrame:
-    """Per chunk and bucket, the sums over all chunks of the chunk's distinct n-grams, in ascending order of their keys."""
+    """Per chunk and bucket, how often all other chunks have the chunk's distinct n-grams, in ascending order of their keys."""
     spare = np.uint64(64 - bits)
 
     def send(frame: pd.DataFrame) -> pd.DataFrame:
@@ -164,8 +165,9 @@ def count(chunks: DataFrame, buckets: int, bits: int) -> DataFrame:
         out = frame[["chunk", "bucket"]].assign(keys=b"")
         for name in ("target", "whole"):
             # sums of whole numbers, exact below 2 ** 53
-            total = np.bincount(at, np.concatenate([unpack(v) for v in frame[name]])).astype(np.uint64)
-            out[name] = [pack(x) for x in np.split(total[at], ends)]
+            own = np.concatenate([unpack(v) for v in frame[name]])
+            total = np.bincount(at, own).astype(np.uint64)
+            out[name] = [pack(x) for x in np.split(total[at] - own, ends)]
         return out
 
     sent = chunks.groupBy("chunk").applyInPandas(send, COUNTS)
@@ -219,12 +221,14 @@ def score(docs: DataFrame, targets: DataFrame) -> DataFrame:
         owner = np.repeat(np.arange(len(sizes)), sizes)
         found, at = np.unique(keys.ravel(), return_inverse=True)
         at = at.reshape(keys.shape)
+        chosen = frame["target"].to_numpy(bool)
         sums = sums.sort_values("bucket")
         lost = np.zeros((2, 0))
         if len(found):
             counts = np.stack([np.concatenate([unpack(v) for v in sums[c]]).astype(np.int64) for c in ("target", "whole")])
+            counts += [np.bincount(x.ravel(), minlength=len(found)) for x in (at[:, np.repeat(chosen, sizes)], at)]
             own = np.stack([own_counts(x, owner, len(found)) for x in at])
-            inside = np.stack([frame["target"].to_numpy(bool), np.ones(len(frame), bool)])
+            inside = np.stack([chosen, np.ones(len(frame), bool)])
             lost = losses(counts[:, at], own, owner, inside, (in_target, in_all), words)
         mean = [np.bincount(owner, x, len(sizes)) / np.where(sizes, sizes, np.nan) for x in lost]
         out = pd.DataFrame({
