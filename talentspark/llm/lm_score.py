@@ -62,9 +62,9 @@ def unpack(v: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def key_bits(tokens: int) -> int:
-    """Bits of a hash where ``tokens`` tokens have three n-grams each."""
-    return min((3 * tokens).bit_length() + SPARE, 64)
+def key_bits(keys: int) -> int:
+    """Bits of a hash that tells ``keys`` keys apart."""
+    return min(keys.bit_length() + SPARE, 64)
 
 
 def grams(texts: list[str | None], cache: WordHash, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,14 +109,16 @@ def first_of(bucket: int, buckets: int) -> np.uint64:
     return np.uint64(-(-(bucket << 32) // buckets) << 32)
 
 
-def measure(rows: DataFrame, buckets: int) -> tuple[int, int, int]:
+def measure(rows: DataFrame, buckets: int, bits: int) -> tuple[int, int, int]:
     """Tokens of the target documents, tokens of all, and distinct words, of (text, target)."""
+    spare = np.uint64(64 - bits)
+
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache, seen, target, whole = WordHash(), set(), 0, 0
 
         def send() -> pd.DataFrame:
-            keys = np.sort(cache.of(list(seen)))
-            out = [(b, pack(np.diff(keys[part], prepend=np.uint64(0))), 0, 0) for b, part in runs(keys, buckets)]
+            keys = np.sort(cache.of(list(seen))) >> spare << spare
+            out = [(b, pack(np.diff(keys[part] >> spare, prepend=first_of(b, buckets) >> spare)), 0, 0) for b, part in runs(keys, buckets)]
             out.append((0, pack(keys[:0]), target, whole))
             return pd.DataFrame(out, columns=["bucket", "keys", "target", "whole"])
 
@@ -211,9 +213,11 @@ def score(docs: DataFrame, targets: DataFrame) -> DataFrame:
     ids = targets.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().withColumn("target", F.lit(True))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("h"))
     rows = lookup_join(rows, ids, ["doc_id"], "left", spread_by=["h"]).withColumn("target", F.coalesce("target", F.lit(False)))
-    parts = max(LEAST_PARTS, (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // CHUNK)
-    in_target, in_all, words = measure(rows, parts)
-    bits = key_bits(in_all)
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(LEAST_PARTS, chars // CHUNK)
+    # a word and the space after it are two characters at least
+    in_target, in_all, words = measure(rows, parts, key_bits(chars // 2 + 1))
+    bits = key_bits(3 * in_all)
     chunks = rows.select("doc_id", "text", "target", F.pmod("h", F.lit(parts)).cast("int").alias("chunk"))
 
     def run(frame: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:

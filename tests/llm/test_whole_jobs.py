@@ -66,7 +66,7 @@ def test_lm_score_counts_the_ngrams_themselves(spark):
 
 def test_lm_score_keeps_many_ngrams_apart():
     rng = random.Random(22)
-    bits = lm_score.key_bits(400_000)
+    bits = lm_score.key_bits(1_200_000)
     keys, sizes = lm_score.grams([" ".join(f"{rng.random()}" for _ in range(400_000))], lm_score.WordHash(), 64)
     assert sizes.tolist() == [400_000] and len(np.unique(keys)) == 3 * len(np.unique(keys[0])) == 1_200_000
     some = np.sort(keys[0])
