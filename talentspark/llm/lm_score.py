@@ -3,7 +3,7 @@
 The target model counts the target documents, the background model all documents; its counts are
 scaled to the target's number of tokens, so that the lower orders weigh alike in both. Words, pairs and
 triples are counted by hashes, each by its own: what is gathered grows with the input. A hash has ``SPARE``
-bits more than the number of all n-grams has (64 at most), so at every size about one n-gram in four
+bits more than the number of all n-grams has (64 at most), so at every size about one n-gram in a
 million shares its hash with another.
 
 1. Documents are dealt by a hash into chunks of about ``CHUNK`` characters. A chunk sends each of its
@@ -39,7 +39,7 @@ from talentspark.operators.joins import lookup_join
 PRIOR = (0.5, 8.0, 4.0)  # weight of the next lower order
 CHUNK = 4_000_000
 LEAST_PARTS = 64  # chunks and buckets of a small input
-SPARE = 22
+SPARE = 20
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 COUNTS = "chunk int, bucket int, keys binary, target binary, whole binary"
 SCORES = "doc_id long, n_tokens long, target_loss double, background_loss double, difference double"
