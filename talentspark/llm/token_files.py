@@ -1,11 +1,13 @@
 """Token ids as compressed binary blocks, written in ascending order of the documents.
 
 A shard is a run of documents by id; its token stream is cut into blocks of ``BLOCK`` ids, each coded by
-itself with all statistics reset. An id is predicted with escapes, no probabilities are mixed: a flag of
-adaptive chances, apart for each confidence of the two, says whether it is the id that followed the two ids
-before it (order 2), that which followed the one before it (order 1), or neither; then order-0 statistics
-spell it as four hexadecimal digits. A range coder turns the chances into bytes. The blocks of a task
-are coded in step, as numpy lanes; the arithmetic is in integers, so any machine reads what another wrote.
+itself with all statistics reset. Three models predict an id: order 0 as four hexadecimal digits of adaptive
+chances; order 2 and order 1 give an adaptive chance to the id that followed the two ids, or the one id, before
+it last, and share out the rest as order 0 does. Their probabilities are mixed with weights, which after each
+id move to the models that gave it the higher probability; every confidence of the two has weights of its own.
+A range coder codes by the mixed probabilities: first whether the id is that of order 2, that of order 1 or
+another, and another one by its digits, from which alone order 0 learns. The blocks of a task are coded in
+step, as numpy lanes; the arithmetic is in integers, so any machine reads what another wrote.
 
 The format is a Parquet folder, which any store can hold, with two kinds of rows: ``block`` (shard, block,
 count, crc32 of the ids as little-endian unsigned 32-bit integers, payload) and ``document`` (shard,
@@ -37,6 +39,7 @@ ROWS = 256
 HASH_1, HASH_2 = 2048, 4096
 RATE = 4
 ONE, RAREST = 1 << 15, 8
+LEAST_WEIGHT = 400  # of ONE
 LEAST, LOW_32, LOW_48 = np.uint64(1 << 32), np.uint64((1 << 32) - 1), np.uint64((1 << 48) - 1)
 STORED = "shard int, kind string, block int, doc_id long, start long, count long, crc long, payload binary"
 
@@ -58,8 +61,9 @@ class Lanes:
             first = self.words[:, :3].astype(np.uint64)
             self.low, self.at[:] = (first[:, 0] << np.uint64(32)) | (first[:, 1] << np.uint64(16)) | first[:, 2], 3
 
-    def code(self, lanes: np.ndarray, rows: np.ndarray, symbols: np.ndarray | None) -> np.ndarray:
-        """Write ``symbols`` or read them; ``rows`` has, for each symbol, the chance of a smaller one in 1/32768.
+    def code(self, lanes: np.ndarray, rows: np.ndarray, symbols: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Write ``symbols`` or read them, and give their chances; ``rows`` has, for each symbol, the chance of a
+        smaller one in 1/32768.
 
         While reading, ``low`` is what has been read above the low end of the span.
         """
@@ -71,7 +75,8 @@ class Lanes:
         begin = rows[every, symbols].astype(np.uint64)
         end = np.where(symbols < size - 1, rows[every, np.minimum(symbols + 1, size - 1)], np.int64(ONE)).astype(np.uint64)
         low = low - part * begin if self.reads else low + part * begin
-        span = part * (end - begin)
+        chance = end - begin
+        span = part * chance
         if not self.reads:
             over = np.flatnonzero(low >> np.uint64(48))
             if len(over):
@@ -91,7 +96,7 @@ class Lanes:
             self.at[own] = place + 1
             span[small] <<= np.uint64(16)
         self.span[lanes], self.low[lanes] = span, low
-        return symbols
+        return symbols, chance.astype(np.int64)
 
     def _carry(self, lanes: np.ndarray) -> None:
         place = self.at[lanes] - 1
@@ -119,11 +124,68 @@ class Chances:
         # where a symbol's arrival moves the row to; no chance falls to nothing
         self.towards = np.where(k <= symbol, k * RAREST, ONE - (size - k) * RAREST).astype(np.int16)
 
-    def code(self, coder: Lanes, lanes: np.ndarray, context: np.ndarray, symbols: np.ndarray | None) -> np.ndarray:
+    def code(
+        self, coder: Lanes, lanes: np.ndarray, context: np.ndarray, symbols: np.ndarray | None
+    ) -> tuple[np.ndarray, np.ndarray]:
         rows = self.table[lanes, context]
-        symbols = coder.code(lanes, rows, symbols)
+        symbols, chance = coder.code(lanes, rows, symbols)
         self.table[lanes, context] = rows + ((self.towards[symbols] - rows) >> RATE)
-        return symbols
+        return symbols, chance
+
+    def of(self, lanes: np.ndarray, context: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """The chances of ``symbols``."""
+        flat, size = self.table.reshape(-1), self.table.shape[2]
+        at = (lanes * self.table.shape[1] + context) * size + symbols
+        last = symbols == size - 1
+        return np.where(last, ONE, flat[at + ~last]) - flat[at]
+
+
+class Digits:
+    """Order 0: an id as four hexadecimal digits, each under those before it. Chances of ids are in 1 / 2 ** 30."""
+
+    def __init__(self, lanes: int):
+        self.chances = [Chances(lanes, contexts, 16) for contexts in (1, 16, 256, 1024)]
+
+    def of(self, lanes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        out = np.full(len(ids), 1 << 30, np.int64)
+        for chances, shift in zip(self.chances, (12, 8, 4, 0), strict=True):
+            out = out * chances.of(lanes, (ids >> (shift + 4)) % chances.table.shape[1], (ids >> shift) & 15) >> 15
+        return out
+
+    def code(self, coder: Lanes, lanes: np.ndarray, ids: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        spelled, all_chance = np.zeros(len(lanes), np.int64), np.full(len(lanes), 1 << 30, np.int64)
+        for chances, shift in zip(self.chances, (12, 8, 4, 0), strict=True):
+            digit = None if ids is None else (ids >> shift) & 15
+            digit, chance = chances.code(coder, lanes, spelled % chances.table.shape[1], digit)
+            spelled, all_chance = spelled * 16 + digit, all_chance * chance >> 15
+        return spelled, all_chance
+
+
+class Mixture:
+    """Weights of order 2 and order 1 (order 0 has the rest of ``ONE``) by the confidences of both, and the chances
+    in 1/32768 that their ids are right, each by its own confidence."""
+
+    def __init__(self, lanes: int):
+        self.weights = np.full((lanes, 16, 2), ONE // 3, np.int64)
+        self.right = np.tile(np.array([ONE // 16, ONE // 4, ONE // 2, ONE * 3 // 4], np.int64), (lanes, 2, 1))
+
+    def update(
+        self, lanes: np.ndarray, sure: tuple[np.ndarray, np.ndarray], hits: tuple[np.ndarray, np.ndarray], zero: np.ndarray
+    ) -> None:
+        """``hits``: whether order 2 and order 1 had the id; ``zero``: its chance by order 0."""
+        context = sure[0] * 4 + sure[1]
+        weights, shares = self.weights[lanes, context], []
+        for k in (0, 1):
+            c = self.right[lanes, k, sure[k]]
+            shares.append(weights[:, k] * (hits[k] * (c << 15) + ((ONE - c) * zero >> 15)))
+            c += (hits[k] * ONE - c) >> RATE
+            self.right[lanes, k, sure[k]] = np.clip(c, RAREST, ONE - 4 * RAREST)
+        total = np.maximum(shares[0] + shares[1] + (ONE - weights.sum(1)) * zero, 1)
+        for k in (0, 1):
+            # what the id says of the model's weight, followed slowly; no weight falls to nothing
+            told = LEAST_WEIGHT + (ONE - 3 * LEAST_WEIGHT) * (shares[k] >> 15) // np.maximum(total >> 15, 1)
+            weights[:, k] += (told - weights[:, k]) >> RATE
+        self.weights[lanes, context] = weights
 
 
 class Guesses:
@@ -143,8 +205,7 @@ def _code(lengths: np.ndarray, ids: np.ndarray | None, payloads: list[bytes] | N
     count = len(lengths)
     coder = Lanes(count, payloads)
     second, first = Guesses(count, HASH_2), Guesses(count, HASH_1)
-    order = Chances(count, 32, 3)
-    digits = [Chances(count, contexts, 16) for contexts in (1, 16, 256, 1024)]
+    mixture, digits = Mixture(count), Digits(count)
     out = np.zeros((count, int(lengths.max())), np.int64) if ids is None else ids
     one, two = np.zeros(count, np.int64), np.zeros(count, np.int64)
     for t in range(int(lengths.max())):
@@ -152,19 +213,25 @@ def _code(lengths: np.ndarray, ids: np.ndarray | None, payloads: list[bytes] | N
         a, b = one[lanes], two[lanes]
         c2, c1 = (a * 31 + b * 7919) % HASH_2, a % HASH_1
         g2, s2, g1, s1 = second.ids[lanes, c2], second.sure[lanes, c2], first.ids[lanes, c1], first.sure[lanes, c1]
+        same = g1 == g2
+        # the mixed probabilities of the two ids
+        weights, right = mixture.weights[lanes, s2 * 4 + s1], mixture.right
+        by2, by1 = weights[:, 0] * right[lanes, 0, s2] >> 15, weights[:, 1] * right[lanes, 1, s1] >> 15
+        zero = digits.of(np.r_[lanes, lanes], np.r_[g2, g1].astype(np.int64))
+        zero2, zero1 = zero[:len(lanes)], zero[len(lanes):]
+        rest = ONE - by2 - by1
+        p2 = np.clip(by2 + by1 * same + (rest * zero2 >> 30), RAREST, ONE - 2 * RAREST)
+        p1 = np.clip(by1 + (rest * zero1 >> 30), RAREST, ONE - RAREST - p2) * ~same
         real = None if ids is None else ids[lanes, t]
-        right = None if real is None else np.where(real == g2, 0, np.where(real == g1, 1, 2))
-        # the chances of the three orders, under the confidence of two of them
-        by = order.code(coder, lanes, s2 * 8 + s1 * 2 + (g1 == g2), right)
-        value = np.where(by == 0, g2, g1).astype(np.int64)
-        rest = np.flatnonzero(by == 2)
-        if len(rest):
-            own, spelled = lanes[rest], np.zeros(len(rest), np.int64)
-            for chances, shift in zip(digits, (12, 8, 4, 0), strict=True):
-                digit = None if real is None else (real[rest] >> shift) & 15
-                spelled = spelled * 16 + chances.code(coder, own, spelled % chances.table.shape[1], digit)
-            value[rest] = spelled
+        found = None if real is None else np.where(real == g2, 0, np.where(real == g1, 1, 2))
+        found, _ = coder.code(lanes, np.stack([np.zeros_like(p2), p2, p2 + p1], 1), found)
+        value = np.where(found == 0, g2, g1).astype(np.int64)
+        chance = np.where(found == 0, zero2, zero1)
+        other = np.flatnonzero(found == 2)
+        if len(other):
+            value[other], chance[other] = digits.code(coder, lanes[other], None if real is None else real[other])
         out[lanes, t] = value
+        mixture.update(lanes, (s2, s1), (g2 == value, g1 == value), chance)
         second.update(lanes, c2, g2, s2, value)
         first.update(lanes, c1, g1, s1, value)
         two[lanes], one[lanes] = a, value

@@ -277,6 +277,27 @@ def test_codec_round_trip():
     assert len(coded[-1]) < 600
 
 
+def test_codec_mixes_the_orders():
+    """Ids that one order alone foretells, and blocks of all three kinds: each order's knowledge counts."""
+    rng = np.random.default_rng(1)
+    follows = rng.integers(0, 40_000, 500)
+    chain = [0]
+    for x in rng.random(4095):
+        chain.append(int((chain[-1] * 7 + 3) % 500) if x < 0.9 else int(rng.integers(500)))
+    one = follows[np.array(chain)]  # mostly told by the id before
+    pattern = [1, 2, 1, 3, 1, 4]
+    two = np.array(pattern * 683)[:4096]  # told by two ids only
+    zero = rng.choice(np.array([7, 8, 9, 10]), 4096, p=[0.7, 0.1, 0.1, 0.1])  # told by frequency only
+    bits = [8 * len(x) / 4096 for x in token_files.compress([one, two, zero])]
+    assert bits[0] < 7 and bits[1] < 0.5 and bits[2] < 1.8
+    mixture = token_files.Mixture(1)
+    lane, never, always, chance = np.zeros(1, np.int64), np.zeros(1, bool), np.ones(1, bool), np.full(1, 1 << 20)
+    for _ in range(200):
+        mixture.update(lane, (np.zeros(1, np.int8), np.zeros(1, np.int8)), (always, never), chance)
+    two_weight, one_weight = mixture.weights[0, 0]
+    assert two_weight > 0.9 * token_files.ONE > one_weight >= 0 and two_weight + one_weight < token_files.ONE
+
+
 def test_packing_carries_what_can_still_be_joined(spark, monkeypatch):
     """Many groups, few bins of a length carried on: no more sequences than with all of them, and nearly as few as one best fit."""
     rng = random.Random(8)
