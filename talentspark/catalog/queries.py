@@ -600,8 +600,10 @@ def stratified_split(spark, sf):
     return SP.stratified_split(_classed(spark, sf), "source", "doc_id")
 
 
-@query("stratified_kfold", _split_sql(
-    "CAST((rn > n // 5)::INT + (rn > n * 2 // 5)::INT + (rn > n * 3 // 5)::INT + (rn > n * 4 // 5)::INT AS INTEGER) AS fold"))
+_FOLD = "CAST((rn > n // 5)::INT + (rn > n * 2 // 5)::INT + (rn > n * 3 // 5)::INT + (rn > n * 4 // 5)::INT AS INTEGER) AS fold"
+
+
+@query("stratified_kfold", _split_sql(_FOLD))
 def stratified_kfold(spark, sf):
     return SP.stratified_kfold(_classed(spark, sf), "source", "doc_id")
 
@@ -659,6 +661,19 @@ def tfidf(spark, sf):
     return FT.tfidf(T.documents(spark, sf), "doc_id", "text").withColumn("tfidf", F.round("tfidf", 6))
 
 
+@query("fold_vocabularies", f"""
+    WITH {_TERMS}, folds AS ({_split_sql(_FOLD)}),
+    own AS (SELECT fold, term, count(*) AS df, sum(tf) AS cf FROM tf JOIN folds USING (doc_id) GROUP BY ALL),
+    parts AS (SELECT fold, count(*) AS size FROM folds GROUP BY fold),
+    training AS (SELECT p.fold, s.term, s.df - coalesce(own.df, 0) AS df, s.cf - coalesce(own.cf, 0) AS cf, n - size AS texts
+        FROM parts p CROSS JOIN stats s CROSS JOIN total LEFT JOIN own ON own.fold = p.fold AND own.term = s.term)
+    SELECT fold, term, CAST(df AS BIGINT) AS df, CAST(cf AS BIGINT) AS cf FROM training WHERE df >= 2 AND df <= 0.95 * texts
+    QUALIFY row_number() OVER (PARTITION BY fold ORDER BY cf DESC, term) <= 5000""")
+def fold_vocabularies(spark, sf):
+    folds = SP.stratified_kfold(T.documents(spark, sf).select("doc_id", "source", "text"), "source", "doc_id")
+    return FT.fold_vocabularies(folds, "text", "fold")
+
+
 # given predictions: the class with the highest of ten given scores
 _PREDICTED = """
     scored AS (SELECT vec_id, label, list_transform(range(10), lambda c: list_sum(list_transform(

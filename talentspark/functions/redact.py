@@ -42,14 +42,23 @@ def redact_dataset(c: Column) -> Column:
     return _apply(text_sanitize(c), DATASET_RULES)
 
 
-def redact_spans(text: Column, spans: Column, labels: list[str] | None = None) -> Column:
+def wanted_labels(labels: list[str] | None, known: list[str] | None) -> list[str]:
+    """The labels to redact; raises on one that the entity finder, which gives the ``known`` ones, never finds."""
+    labels = P.PII_LABELS if labels is None else labels
+    unknown = [] if known is None else [label for label in labels if label not in known]
+    if unknown:
+        raise ValueError(f"unknown entity labels: {unknown}")
+    return labels
+
+
+def redact_spans(text: Column, spans: Column, labels: list[str] | None = None, known: list[str] | None = None) -> Column:
     """Replace the spans (array of struct<label,start,end,...>) of the given labels by
-    ``[LABEL]``. Offsets refer to the given text; spans do not overlap.
+    ``[LABEL]``. Offsets refer to the given text; spans do not overlap. ``known``: see ``wanted_labels``.
 
     The result joins the stretches between the spans, which copies the text once, however many
     spans it has.
     """
-    wanted = F.filter(spans, lambda s: s["label"].isin(P.PII_LABELS if labels is None else labels))
+    wanted = F.filter(spans, lambda s: s["label"].isin(wanted_labels(labels, known)))
     ordered = F.array_sort(
         F.transform(wanted, lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"), s["label"].alias("l")))
     )

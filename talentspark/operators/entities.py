@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talentspark.functions import patterns as P
-from talentspark.functions.redact import redact_spans
+from talentspark.functions.redact import redact_spans, wanted_labels
 from talentspark.functions.text import strip
 from talentspark.operators.grams import Lexicon
 from talentspark.operators.jobs import first_per_key
@@ -79,25 +79,21 @@ def model_entities(
     return docs.select(id_col, text_col).mapInPandas(find, schema)
 
 
-def check_labels(requested: list[str], known: list[str]) -> None:
-    unknown = [label for label in requested if label not in known]
-    if unknown:
-        raise ValueError(f"unknown entity labels: {unknown}")
-
-
 def unknown_labels(requested: DataFrame, known: DataFrame) -> DataFrame:
     """Labels asked for (column ``label``) that the label table does not hold."""
     return requested.select("label").distinct().join(known.select("label").distinct(), "label", "left_anti")
 
 
 def redact_entities(
-    docs: DataFrame, id_col: str, text_col: str, entities: DataFrame, labels: list[str] | None = None
+    docs: DataFrame, id_col: str, text_col: str, entities: DataFrame, labels: list[str] | None = None,
+    known: list[str] | None = None,
 ) -> DataFrame:
-    """Replace the entity spans of each text; texts without entities stay as they are.
+    """Replace the entity spans of each text; texts without entities stay as they are. A label that is not
+    among the ``known`` ones of the entity finder is refused.
 
     Spans are gathered per text, so a group is never larger than its text.
     """
-    wanted = entities.where(F.col("label").isin(P.PII_LABELS if labels is None else labels))
+    wanted = entities.where(F.col("label").isin(wanted_labels(labels, known)))
     spans = wanted.groupBy(id_col).agg(F.collect_list(F.struct("label", "start", "end")).alias("_spans"))
     joined = docs.join(spans, id_col, "left")
     return joined.withColumn(text_col, redact_spans(F.col(text_col), F.col("_spans"), labels)).drop("_spans")

@@ -1,6 +1,7 @@
 """Terms, TF-IDF weights and text embeddings."""
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Pipeline
@@ -37,24 +38,25 @@ def _gram_array(tokens: str, n: int) -> Column:
     return grams
 
 
-def _gram_counts(tokens: DataFrame, n: int, frequent: DataFrame | None) -> DataFrame:
-    """(term, df, cf) of the n-grams whose first and last n - 1 words are ``frequent`` terms.
+def _gram_counts(tokens: DataFrame, n: int, frequent: DataFrame | None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(term, df, cf) of the n-grams whose first and last n - 1 words are ``frequent`` terms, counted apart for
+    each value of the columns ``by``.
 
     A row of a text yields its grams to count occurrences, and its distinct grams to count
     texts. Both are summed per task before the shuffle, and texts are not shuffled at all.
     """
-    per_text = tokens.select(_gram_array("_tokens", n).alias("_g")).select(F.explode(F.array(
+    per_text = tokens.select(*by, _gram_array("_tokens", n).alias("_g")).select(*by, F.explode(F.array(
         F.struct(F.lit(1).alias("cf"), F.lit(0).alias("df"), F.col("_g").alias("grams")),
         F.struct(F.lit(0).alias("cf"), F.lit(1).alias("df"), F.array_distinct("_g").alias("grams")),
     )).alias("_c"))
-    rows = per_text.select("_c.cf", "_c.df", F.explode("_c.grams").alias("term"))
+    rows = per_text.select(*by, "_c.cf", "_c.df", F.explode("_c.grams").alias("term"))
     if frequent is not None:
         for part in (F.substring_index("term", " ", n - 1), F.substring_index("term", " ", 1 - n)):
             rows = lookup_join(
                 rows.withColumn("_part", part), frequent.select(F.col("term").alias("_part")), ["_part"], "left_semi",
                 ["term"],
             ).drop("_part")
-    return rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+    return rows.groupBy("term", *by).agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
 def term_stats(
@@ -82,6 +84,45 @@ def term_stats(
     return top.withColumn("idf", F.log((F.lit(n_texts) + 1) / (F.col("df") + 1)) + 1)
 
 
+def fold_vocabularies(
+    docs: DataFrame, text_col: str, fold_col: str, max_n: int = MAX_NGRAM, min_df: int = MIN_DF,
+    max_df: float = MAX_DF, max_features: int = MAX_FEATURES,
+) -> DataFrame:
+    """(fold, term, df, cf): the vocabulary of each fold's training texts, which are those of all other folds.
+
+    Terms are counted once per fold, not once per training set: what a fold trains on is the total less the
+    fold's own counts. The limits are those of ``term_stats``, applied to the training texts. A gram is counted
+    only if its parts are in ``min_df`` texts of all folds, without which no training set can hold it often
+    enough. Texts without a fold belong to no training set; null texts count as texts without terms.
+    """
+    kept = docs.where(F.col(fold_col).isNotNull())
+    # one row per fold
+    sizes = {r["fold"]: r["count"] for r in kept.groupBy(F.col(fold_col).alias("fold")).count().collect()}
+    tokens = kept.select(F.col(fold_col).alias("fold"), term_tokens(F.col(text_col)).alias("_tokens"))
+    counted, frequent = [], None
+    for n in range(1, max_n + 1):
+        per_fold = _gram_counts(tokens, n, frequent, ("fold",))
+        totals = per_fold.groupBy("term").agg(
+            F.sum("df").alias("df"), F.sum("cf").alias("cf"), F.collect_list(F.struct("fold", "df", "cf")).alias("parts")
+        )
+        frequent = settle_table(totals.where(F.col("df") >= min_df), "fold-terms")
+        counted.append(frequent)
+    terms = reduce(DataFrame.unionByName, counted)
+    out = terms.select(F.col("parts")[0]["fold"].alias("fold"), "term", "df", "cf").limit(0)
+
+    def own_counts(fold: int) -> Column:
+        return F.get(F.filter("parts", lambda p: p["fold"] == fold), F.lit(0))
+
+    for fold, size in sorted(sizes.items()):
+        own = own_counts(fold)
+        rest = terms.select(F.lit(fold).alias("fold"), "term", *[
+            (F.col(c) - F.coalesce(own[c], F.lit(0))).alias(c) for c in ("df", "cf")
+        ])
+        fits = (F.col("df") >= min_df) & (F.col("df") <= max_df * (sum(sizes.values()) - size))
+        out = out.unionByName(rest.where(fits).orderBy(F.desc("cf"), F.asc("term")).limit(max_features))
+    return out
+
+
 def tfidf(docs: DataFrame, id_col: str, text_col: str, max_n: int = MAX_NGRAM, **limits) -> DataFrame:
     """(id, term, tfidf): count times idf, scaled to length 1 per text.
 

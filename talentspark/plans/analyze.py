@@ -92,40 +92,41 @@ def categories(df: DataFrame, model: PipelineModel, top_k: int = 2, embed=None)
     )
 
 
-def _redacted(df: DataFrame, from_col: str, to_col: str, entity_spans) -> DataFrame:
+def _redacted(df: DataFrame, from_col: str, to_col: str, entity_spans, labels=None, known=None) -> DataFrame:
     """Redaction by pattern, then of the entities that ``entity_spans`` (text column -> spans
-    column) finds in the redacted text."""
+    column) finds in the redacted text. ``labels`` are those to redact, ``known`` those that it can find."""
     clean = df.withColumn(to_col, redact_serving(F.col(from_col)))
     if entity_spans is None:
         return clean
     text = F.col(to_col)
-    return clean.withColumn(to_col, redact_spans(text, entity_spans(text)))
+    return clean.withColumn(to_col, redact_spans(text, entity_spans(text), labels, known))
 
 
-def clean_resumes(resumes: DataFrame, id_col: str, text_col: str, entity_spans=None) -> DataFrame:
-    """(id, cleaned_resume); the other rows are those of ``rejects``."""
+def clean_resumes(resumes: DataFrame, id_col: str, text_col: str, entity_spans=None, labels=None, known=None) -> DataFrame:
+    """(id, cleaned_resume); the other rows are those of ``rejects``. Labels that are not ``known`` are refused."""
     good, _ = validate(resumes.select(id_col, text_col), text_col)
-    return _redacted(good, text_col, "cleaned_resume", entity_spans).select(id_col, "cleaned_resume")
+    return _redacted(good, text_col, "cleaned_resume", entity_spans, labels, known).select(id_col, "cleaned_resume")
 
 
 def classify_resumes(
     resumes: DataFrame, id_col: str, text_col: str, model: PipelineModel, top_k: int = 2, entity_spans=None, embed=None,
+    labels=None, known=None,
 ) -> DataFrame:
     """(id, categories): clean, embed, score, keep the best classes."""
-    cleaned = clean_resumes(resumes, id_col, text_col, entity_spans).withColumnRenamed("cleaned_resume", "text")
+    cleaned = clean_resumes(resumes, id_col, text_col, entity_spans, labels, known).withColumnRenamed("cleaned_resume", "text")
     return categories(cleaned, model, top_k, embed).select(id_col, "categories")
 
 
 def analyze_resumes(
     resumes: DataFrame, id_col: str, text_col: str, model: PipelineModel, lex: grams.Lexicon, top_k: int = 2,
-    entity_spans=None, entities: DataFrame | None = None, embed=None,
+    entity_spans=None, entities: DataFrame | None = None, embed=None, labels=None, known=None,
 ) -> DataFrame:
     """(id, cleaned_resume, education, categories, skills).
 
     The classifier cleans its input itself, so it sees the text cleaned twice (``[EMAIL]``
     has become ``EMAIL``), while skills come from the text cleaned once.
     """
-    clean = _placed(clean_resumes(resumes, id_col, text_col, entity_spans), id_col)
+    clean = _placed(clean_resumes(resumes, id_col, text_col, entity_spans, labels, known), id_col)
     skills = extract_skills(clean, id_col, "cleaned_resume", lex, entities)
-    twice = _redacted(clean, "cleaned_resume", "text", entity_spans)
+    twice = _redacted(clean, "cleaned_resume", "text", entity_spans, labels, known)
     return _with_skills(categories(twice, model, top_k, embed).drop("text"), id_col, skills)

@@ -13,13 +13,16 @@ def map_categories(df: DataFrame, pairs: list[tuple[str, str]] = P.CATEGORY_PAIR
     return df.join(F.broadcast(table), "Category", "left")
 
 
-def prepare_dataset(resumes: DataFrame, entity_spans=None) -> DataFrame:
-    """Map the categories and redact ``Text``; without ``entity_spans`` by pattern only."""
+def prepare_dataset(resumes: DataFrame, entity_spans=None, labels=None, known=None) -> DataFrame:
+    """Map the categories and redact ``Text``; without ``entity_spans`` by pattern only.
+
+    ``labels`` are the entities to redact, ``known`` those that the finder can give; others are refused.
+    """
     text = redact_dataset(F.col("Text"))
     mapped = map_categories(resumes).withColumn("Text", text)
     if entity_spans is None:
         return mapped
-    return mapped.withColumn("Text", redact_spans(F.col("Text"), entity_spans(F.col("Text"))))
+    return mapped.withColumn("Text", redact_spans(F.col("Text"), entity_spans(F.col("Text")), labels, known))
 
 
 def augment(train: DataFrame, synthetic: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talentspark.functions import patterns as P
+from talentspark.functions import redact as R
 from talentspark.operators import dictionary as D
 from talentspark.operators import entities as E
 from talentspark.operators import features as FT
@@ -121,10 +122,42 @@ def test_model_entities(spark):
     assert pairs(E.model_entities(df, "id", "t", load), "id", "label", "text", "end") == [(1, "skill", "ab", 2)]
 
 
-def test_label_check():
-    E.check_labels(["PERSON"], ["PERSON", "ORG"])
-    with pytest.raises(ValueError, match="FOO"):
-        E.check_labels(["PERSON", "FOO"], ["PERSON"])
+def test_label_check(spark):
+    """Redactions by column and by table, and both plans, refuse labels that the finder does not know."""
+    names = [("PERSON", "ann"), ("GPE", "rome")]
+    docs = spark.createDataFrame([(1, "Ann of Rome", "HR")], "id long, Text string, Category string")
+    spans = E.gazetteer_spans(F.col("Text"), names)
+    table = E.entity_table(docs, "id", spans)
+    assert docs.select(R.redact_spans(F.col("Text"), spans, ["GPE"], ["PERSON", "GPE"])).first()[0] == "Ann of [GPE]"
+    assert E.redact_entities(docs, "id", "Text", table, ["GPE"], ["PERSON", "GPE"]).first().Text == "Ann of [GPE]"
+    finder = lambda c: E.gazetteer_spans(c, names)
+    good = dict(entity_spans=finder, labels=["PERSON"], known=["PERSON", "GPE"])
+    assert dataset.prepare_dataset(docs, **good).first().Text == "[PERSON] of Rome"
+    assert analyze.clean_resumes(docs, "id", "Text", **good).first().cleaned_resume == "[PERSON] of Rome"
+    bad = dict(entity_spans=finder, labels=["PERSON", "FOO"], known=["PERSON", "GPE"])
+    for run in (
+        lambda: R.redact_spans(F.col("Text"), spans, ["FOO"], ["PERSON"]),
+        lambda: E.redact_entities(docs, "id", "Text", table, None, ["PERSON"]),  # GPE and LOC are asked for
+        lambda: dataset.prepare_dataset(docs, **bad),
+        lambda: analyze.clean_resumes(docs, "id", "Text", **bad),
+    ):
+        with pytest.raises(ValueError, match="unknown entity labels"):
+            run()
+
+
+def test_fold_vocabularies(spark):
+    texts = ["red fox runs", "red fox sleeps", "blue fox runs", "red fox runs", None, "", "red cat", "lone words here"]
+    folds = [0, 1, 2, 0, 1, 2, 1, None]
+    docs = spark.createDataFrame(list(zip(texts, folds, strict=True)), "t string, f int")
+    for limit in (100, 2):
+        got = FT.fold_vocabularies(docs, "t", "f", max_n=2, min_df=2, max_df=0.8, max_features=limit).collect()
+        for fold in range(3):
+            rows = [(t or "").split() for t, f in zip(texts, folds, strict=True) if f is not None and f != fold]
+            grams = [[" ".join(w[i:i + n]) for n in (1, 2) for i in range(len(w) - n + 1)] for w in rows]
+            df, cf = collections.Counter(g for x in grams for g in set(x)), collections.Counter(g for x in grams for g in x)
+            want = sorted((-cf[g], g, df[g]) for g in df if 2 <= df[g] <= 0.8 * len(rows))[:limit]
+            assert sorted((-r.cf, r.term, r.df) for r in got if r.fold == fold) == want and want
+    assert FT.fold_vocabularies(docs.limit(0), "t", "f").count() == 0
 
 
 def test_validate(spark):
