@@ -4,26 +4,29 @@ benchmark item.
 Texts and items are sequences of lower-cased words (``\\w+``). A passage matches an item of n words if
 their word edit distance is at most ``DIFFER`` of n. Steps, on blocks of concatenated texts:
 
-1. a lossless filter: d edits leave at least n - 1 - 2d of the item's word pairs, so windows with fewer
-   pairs of items of that length are skipped;
-2. the same for each item: among the pairs of what is left, an inverted list finds the stretches that
-   hold that many pairs of one item, from whichever word they start;
-3. exact verification of them all: the best alignment of the item to any passage around the stretch.
+1. lossless filters, which spare most windows the walks: d edits leave at least n - 1 - 2d of the item's word
+   pairs, so a window counts only in a stretch that holds as many pairs of items of the length, then of one item;
+2. CGK walks (``walks.py``) embed every item-sized window of these stretches, from whichever word it starts, and
+   the items; windows and items meet in buckets of sampled steps. The number of walks of each length
+   follows from ``RECALL``, the share of altered passages at ``DIFFER`` that have a bucket in common with the item;
+   the number of steps in a bucket grows with the logarithm of the items of that length;
+3. exact verification of all that met: the best alignment of the item to any passage around the stretch.
 
-Both filters are lossless, so every passage within the distance is found (a recall of 1 at any edit
-rate up to ``DIFFER``); embedding and sampling, which miss some, are not needed.
+So what is returned is exact, and what lies within the distance is found at ``RECALL`` or more: there are several
+windows for each passage, and fewer edits miss fewer. Unaltered passages are always found.
 
 The benchmark travels to the tasks; above ``ITEM_BYTES`` it does so in blocks, one column each.
 
-Edge cases: null and empty texts match nothing; null items and items of fewer than ``MIN_WORDS`` words
-match nothing; equal items are reported each; rows without an id are judged like others; ``flagged``
-keeps all columns, ``matches`` returns the id only.
+Edge cases: null and empty texts match nothing; null items match nothing, nor do items of fewer than ``min_words``
+words (a parameter: so few words occur in clean texts); equal items are reported each; rows without an id are
+judged like others; ``without`` keeps all columns, ``matches`` returns the id only.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -33,9 +36,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talentspark.llm.common import mix, ranges
+from talentspark.llm.walks import BANDS, ITEM_END, WINDOW_END, Walks, walks_for
 
 DIFFER = 0.2
+RECALL = 0.999
 MIN_WORDS = 5
+# of two unrelated words, the share that are equal, and the bits of a bucket number by which windows are told apart first
+CHANCE = 0.05
+BUCKET_BITS = 20
 ITEM_BYTES = 16 << 20
 BLOCK_WORDS = 800_000
 PAIR_BITS = 20
@@ -91,6 +99,35 @@ def near_parts(item: np.ndarray, passage: np.ndarray, d: int) -> list[tuple[int,
     return out
 
 
+class Buckets:
+    """The buckets of the items of one length."""
+
+    def __init__(self, items: np.ndarray, numbers: list[int], walks: int, sample: int):
+        self.walks = Walks(items.shape[1], walks, sample)
+        size, owner = self.walks.chunk(), np.array(numbers)
+        keys = np.concatenate([self.walks.buckets(items[i:i + size], ITEM_END) for i in range(0, len(items), size)], 1)
+        order = np.argsort(keys, axis=None, kind="stable")
+        self.keys, self.owner = keys.ravel()[order], np.tile(owner, walks * BANDS)[order]
+        self.used = np.zeros(1 << BUCKET_BITS, bool)
+        self.used[self.keys >> np.uint64(64 - BUCKET_BITS)] = True
+
+    def meet(self, symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window start, item) of all windows that share a bucket with an item, each once."""
+        n, size, out = self.walks.n, self.walks.chunk(), [np.zeros((0, 2), np.int64)]
+        for i in range(0, len(starts), size):
+            some = starts[i:i + size]
+            keys = self.walks.buckets(symbols[some[:, None] + np.arange(n)], WINDOW_END)
+            # a window whose numbers no item's begin like needs no search
+            row, column = np.nonzero(self.used[keys >> np.uint64(64 - BUCKET_BITS)])
+            key = keys[row, column]
+            first = np.searchsorted(self.keys, key)
+            count = np.searchsorted(self.keys, key, "right") - first
+            met = np.stack([np.repeat(some[column], count), self.owner[ranges(first, count)]], 1)
+            out.append(np.unique(met, axis=0))
+        both = np.concatenate(out)
+        return both[:, 0], both[:, 1]
+
+
 @dataclass
 class Benchmark:
     """Word numbers, pair table and the pairs' inverted lists of a block of items."""
@@ -98,6 +135,13 @@ class Benchmark:
     ids: list[int]
     items: list[list[str]]
 
+    def settle_plan(self) -> None:
+        """(walks, sampled steps of a bucket) of each item length."""
+        self.plan = {}
+        for n, count in Counter(map(len, self.items)).items():
+            sample = max(2, math.ceil(math.log(count) / -math.log(CHANCE)))
+            self.plan[n] = walks_for(n, DIFFER, RECALL, sample), sample
+
     def prepare(self) -> None:
         self.number = {}
         self.coded = [np.array([self.number.setdefault(w, len(self.number)) for w in item], np.int64) for item in self.items]
@@ -112,6 +156,12 @@ class Benchmark:
         self.gate = min(-(-self.need[n] // -(-(n + edits(n)) // self.short)) for n in lengths)
         self.by_length = {n: [k for k, item in enumerate(self.coded) if len(item) == n] for n in lengths}
         self.holders = {n: self.inverted(members) for n, members in self.by_length.items()}
+        # a hash for each word, the last one for all words that no item has
+        self.symbols = mix(np.arange(1, len(self.number) + 2, dtype=np.uint64))
+        self.buckets = {
+            n: Buckets(self.symbols[np.stack([self.coded[k] for k in members])], members, *self.plan[n])
+            for n, members in self.by_length.items()
+        }
 
     def inverted(self, members: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct pairs of the items, where the list of each begins (and the last one ends), and the lists of items."""
@@ -173,6 +223,23 @@ class Benchmark:
                 found.update(zip(spots[place[hit]].tolist(), item[hit].tolist(), strict=True))
         return found
 
+    def met(self, codes: np.ndarray, stretches: list[tuple[int, int, int]]) -> np.ndarray:
+        """Which of the (item, first, last window start) hold a window that shares a bucket with the item."""
+        out = np.zeros(len(stretches), bool)
+        if not stretches:
+            return out
+        symbols = self.symbols[codes]
+        item, first, last = np.array(stretches).T
+        length = np.array([len(c) for c in self.coded])[item]
+        for n in np.unique(length).tolist():
+            of = np.flatnonzero(length == n)
+            starts = np.unique(ranges(first[of], last[of] - first[of] + 1))
+            start, k = self.buckets[n].meet(symbols, starts)
+            known = np.sort(k * len(codes) + start)
+            at = np.searchsorted(known, item[of] * len(codes) + first[of])
+            out[of] = np.r_[known, np.iinfo(np.int64).max][at] <= item[of] * len(codes) + last[of]
+        return out
+
     def matches(self, texts: list[str | None]) -> list[list[tuple]]:
         """Per text, its matches in ascending order: (item id, first and end character, distance, words of the item)."""
         out: list[list[tuple]] = []
@@ -203,23 +270,24 @@ class Benchmark:
         starts: dict[tuple[int, int], list[int]] = {}
         for start, k in sorted(self.candidates(codes)):
             starts.setdefault((int(np.searchsorted(begin, start, "right")) - 1, k), []).append(start)
+        # neighbouring stretches are verified together; each edit keeps at most two words before the first pair
+        groups: list[tuple[int, int, int, int]] = []
         for (doc, k), own in starts.items():
-            item, at = self.coded[k], 0
-            n, d = len(item), edits(len(item))
+            n, d, at = len(self.items[k]), edits(len(self.items[k])), 0
             while at < len(own):
-                # neighbouring stretches are verified together
                 low, at = own[at], int(np.searchsorted(own, own[at] + n // 2, "right"))
-                last = own[at - 1]
-                if last < reached.get((doc, k), 0):
-                    continue
-                # each edit keeps at most two words before the first pair
-                low = max(low - 2 * d, int(begin[doc]), reached.get((doc, k), 0))
-                passage = codes[low:min(last + n + 2 * d, int(begin[doc + 1]) - len(gap))]
-                if np.isin(item, passage).sum() < n - d:
-                    continue
-                for distance, first, end in near_parts(item, passage, d):
-                    reached[doc, k] = max(low + end, reached.get((doc, k), 0))
-                    out[doc].append((k, low + first - int(begin[doc]), low + end - int(begin[doc]), distance))
+                groups.append((doc, k, max(low - 2 * d, int(begin[doc])), own[at - 1]))
+        for (doc, k, low, last), ok in zip(groups, self.met(codes, [g[1:] for g in groups]), strict=True):
+            if not ok or last < reached.get((doc, k), 0):
+                continue
+            item, d = self.coded[k], edits(len(self.coded[k]))
+            low = max(low, reached.get((doc, k), 0))
+            passage = codes[low:min(last + len(item) + 2 * d, int(begin[doc + 1]) - len(gap))]
+            if np.isin(item, passage).sum() < len(item) - d:
+                continue
+            for distance, first, end in near_parts(item, passage, d):
+                reached[doc, k] = max(low + end, reached.get((doc, k), 0))
+                out[doc].append((k, low + first - int(begin[doc]), low + end - int(begin[doc]), distance))
         for doc, found in enumerate(out):
             if found:
                 places = [m.span() for m in WORD.finditer((texts[doc] or "").lower())]
@@ -229,13 +297,13 @@ class Benchmark:
         return out
 
 
-def benchmarks(benchmark: DataFrame, item_bytes: int = ITEM_BYTES) -> list[Benchmark]:
+def benchmarks(benchmark: DataFrame, item_bytes: int = ITEM_BYTES, min_words: int = MIN_WORDS) -> list[Benchmark]:
     """The items in blocks of at most ``item_bytes`` (a single longer item is a block of its own)."""
     blocks, size = [Benchmark([], [])], 0
     rows = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").orderBy("item_id", "text")
     for row in rows.toLocalIterator():
         item = words(row["text"])
-        if len(item) < MIN_WORDS:
+        if len(item) < max(min_words, 2):
             continue
         if size and size + len(row["text"]) > item_bytes:
             blocks.append(Benchmark([], []))
@@ -243,14 +311,17 @@ def benchmarks(benchmark: DataFrame, item_bytes: int = ITEM_BYTES) -> list[Bench
         blocks[-1].ids.append(row["item_id"])
         blocks[-1].items.append(item)
         size += len(row["text"])
-    return [b for b in blocks if b.items]
+    blocks = [b for b in blocks if b.items]
+    for block in blocks:
+        block.settle_plan()
+    return blocks
 
 
 def found(text: Column, block: Benchmark) -> Column:
     """The matches of a text as an array of ``MATCH`` structs; offsets count characters of the lower-cased text."""
     @F.pandas_udf(MATCH)
     def run(texts: pd.Series) -> pd.Series:
-        if not hasattr(block, "holders"):
+        if not hasattr(block, "buckets"):
             block.prepare()
         names = ("item_id", "start", "end", "distance", "n_words")
         return pd.Series([[dict(zip(names, m, strict=True)) for m in row] for row in block.matches(texts.tolist())])
@@ -258,18 +329,18 @@ def found(text: Column, block: Benchmark) -> Column:
     return run(text)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per match: doc_id, item_id, start, end, distance, n_words."""
     rows = docs.select("doc_id", "text")
     none = rows.select("doc_id", F.explode(F.expr(f"CAST(array() AS {MATCH})")).alias("m"))
-    parts = [rows.select("doc_id", F.explode(found(F.col("text"), b)).alias("m")) for b in benchmarks(benchmark)]
+    parts = [rows.select("doc_id", F.explode(found(F.col("text"), b)).alias("m")) for b in benchmarks(benchmark, min_words=min_words)]
     for part in parts:
         none = none.unionByName(part) if len(parts) > 1 else part
     return none.select("doc_id", "m.*")
 
 
-def without(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def without(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without the rows that hold a passage of the benchmark."""
-    for block in benchmarks(benchmark):
+    for block in benchmarks(benchmark, min_words=min_words):
         docs = docs.where(F.size(found(F.col("text"), block)) == 0)
     return docs
