@@ -849,6 +849,14 @@ def cv_scores(spark, sf):
     return _learned(_trained(spark, sf, [0.3], ["balanced", "none"], ["l2"]).scores)
 
 
+_TERM_GRID = {"max_ns": [1, 3], "min_dfs": [2, 5], "sizes": [500, 3000], "costs": [0.5, 5.0]}
+
+
+@query("term_grid_search", _learned_sql(L.term_points(**_TERM_GRID)))
+def term_grid_search(spark, sf):
+    return _learned(train.train_on_terms(_labelled(spark, sf), "doc_id", "class", "text", folds=P.FOLDS, **_TERM_GRID).scores)
+
+
 @query("model_save_load", "SELECT doc_id, true AS same FROM documents")
 def model_save_load(spark, sf):
     model, rows = _fitted(spark, sf)

@@ -84,30 +84,39 @@ def term_stats(
     return top.withColumn("idf", F.log((F.lit(n_texts) + 1) / (F.col("df") + 1)) + 1)
 
 
-def fold_vocabularies(
-    docs: DataFrame, text_col: str, fold_col: str, max_n: int = MAX_NGRAM, min_df: int = MIN_DF,
-    max_df: float = MAX_DF, max_features: int = MAX_FEATURES,
-) -> DataFrame:
-    """(fold, term, df, cf): the vocabulary of each fold's training texts, which are those of all other folds.
+def fold_terms(tokens: DataFrame, max_n: int, min_df: int) -> tuple[DataFrame, dict[int, int]]:
+    """(term, words, df, cf, parts) of rows (fold, _tokens), and the number of rows of each fold.
 
-    Terms are counted once per fold, not once per training set: what a fold trains on is the total less the
-    fold's own counts. The limits are those of ``term_stats``, applied to the training texts. A gram is counted
-    only if its parts are in ``min_df`` texts of all folds, without which no training set can hold it often
-    enough. Texts without a fold belong to no training set; null texts count as texts without terms.
+    Terms are counted once per fold, not once per training set: what a fold trains on is the total less the fold's
+    own counts, which stand in ``parts`` (fold, df, cf). A gram is counted only if its parts are in ``min_df`` texts
+    of all folds, without which no training set can hold it often enough. Rows without a fold are left out.
     """
-    kept = docs.where(F.col(fold_col).isNotNull())
+    kept = tokens.where(F.col("fold").isNotNull())
     # one row per fold
-    sizes = {r["fold"]: r["count"] for r in kept.groupBy(F.col(fold_col).alias("fold")).count().collect()}
-    tokens = kept.select(F.col(fold_col).alias("fold"), term_tokens(F.col(text_col)).alias("_tokens"))
+    sizes = {r["fold"]: r["count"] for r in kept.groupBy("fold").count().collect()}
     counted, frequent = [], None
     for n in range(1, max_n + 1):
-        per_fold = _gram_counts(tokens, n, frequent, ("fold",))
+        per_fold = _gram_counts(kept, n, frequent, ("fold",))
         totals = per_fold.groupBy("term").agg(
-            F.sum("df").alias("df"), F.sum("cf").alias("cf"), F.collect_list(F.struct("fold", "df", "cf")).alias("parts")
+            F.lit(n).alias("words"), F.sum("df").alias("df"), F.sum("cf").alias("cf"),
+            F.collect_list(F.struct("fold", "df", "cf")).alias("parts"),
         )
         frequent = settle_table(totals.where(F.col("df") >= min_df), "fold-terms")
         counted.append(frequent)
-    terms = reduce(DataFrame.unionByName, counted)
+    return reduce(DataFrame.unionByName, counted), sizes
+
+
+def fold_vocabularies(
+    docs: DataFrame, text_col: str, fold_col: str, max_n: int = MAX_NGRAM, min_df: int = MIN_DF,
+    max_df: float = MAX_DF, max_features: int = MAX_FEATURES,
+) -> DataFrame:
+    """(fold, term, df, cf): the vocabulary of each fold's training texts, which are those of all other folds.
+
+    The limits are those of ``term_stats``, applied to the training texts. Texts without a fold belong to no
+    training set; null texts count as texts without terms.
+    """
+    tokens = docs.select(F.col(fold_col).alias("fold"), term_tokens(F.col(text_col)).alias("_tokens"))
+    terms, sizes = fold_terms(tokens, max_n, min_df)
     out = terms.select(F.col("parts")[0]["fold"].alias("fold"), "term", "df", "cf").limit(0)
 
     def own_counts(fold: int) -> Column:

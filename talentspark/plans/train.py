@@ -1,6 +1,6 @@
 """Classifier training: split, embed, tune, report."""
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import array_to_vector
@@ -11,8 +11,8 @@ from talentspark.functions import patterns as P
 from talentspark.functions.scores import label_rank
 from talentspark.operators import learning as L
 from talentspark.operators import metrics as M
-from talentspark.operators import svm
-from talentspark.operators.features import hashed_embedding, term_lists, tfidf_stages
+from talentspark.operators import svm, term_svm
+from talentspark.operators.features import hashed_embedding, term_lists
 from talentspark.operators.splits import stratified_kfold, stratified_split
 from talentspark.session import settle_table
 
@@ -112,17 +112,26 @@ def train_classifier(
 
 def train_on_terms(
     dataset: DataFrame, id_col: str, class_col: str, text_col: str, folds: int = P.FOLDS,
-    max_iter: int = L.MAX_ITER, synthetic: DataFrame | None = None, **grid,
+    max_iter: int = L.MAX_ITER, synthetic: DataFrame | None = None, max_ns=L.TERM_NGRAMS, min_dfs=L.TERM_MIN_DFS,
+    sizes=L.TERM_FEATURES, costs=L.TERM_COSTS,
 ) -> Training:
-    """The same on TF-IDF weights. The vocabulary belongs to the fit, so each fold has its own;
-    ``grid`` takes ``max_ns``, ``min_dfs``, ``sizes`` and ``costs``."""
+    """The same on TF-IDF weights. The vocabulary belongs to the fit, so each fold has its own; all folds and
+    points are fitted in shared passes (``operators.term_svm``)."""
     rows = parts(dataset, id_col, class_col, text_col, folds, synthetic)
     features, labels = term_lists("text").fit(rows), L.index_labels(rows, "class")
     terms = settle_table(
         labels.transform(features.transform(rows)).select(
             "class", "label", "is_test", "fold", "grams1", "grams2", "grams3"), "terms"
     )
-    stages, last = tfidf_stages(), L.LinearSvm(maxIter=max_iter)
-    points = L.tfidf_grid(stages[0], last, **grid)
-    search = L.grid_search(terms.where("not is_test"), Pipeline(stages=[*stages, last]), points, "fold", folds)
-    return _trained(terms, features, labels, search.bestModel.stages, L.cv_scores(search, points))
+    train = terms.where("not is_test")
+    points = L.term_points(max_ns, min_dfs, sizes, costs)
+    spaces = term_svm.spaces(train, "grams1", "fold", max_ns, min_dfs, sizes, costs)
+    blocks, counts = term_svm.packed(train, "grams1", "label", "fold", spaces), svm.counted(train, "label", "fold")
+    by_point = term_svm.grid_scores(blocks, spaces, counts, max_iter)
+    scores = [by_point[tuple(p[k] for k in ("max_n", "min_df", "size", "C"))] for p in points]
+    # on equal means the first point, as a grid search reports it
+    best = points[max(range(len(points)), key=lambda i: (sum(scores[i]), -i))]
+    space = next(s for s in spaces if (s.held, s.max_n, s.min_df, s.size) == (term_svm.NO_FOLD, best["max_n"], best["min_df"], best["size"]))
+    space = replace(space, costs=[best["C"]])
+    weights = term_svm.solve(blocks, [space], counts, max_iter)[0]
+    return _trained(terms, features, labels, term_svm.stages(space, weights), L.point_scores(points, scores))

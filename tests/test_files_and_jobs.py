@@ -133,9 +133,9 @@ def test_training(spark, texts):
 
 def test_training_on_terms(spark, texts, tmp_path):
     two = texts.where(F.col("class").isin("en", "de"))
-    result = train.train_on_terms(two, "doc_id", "class", "text", folds=2, max_iter=3, max_ns=[1, 2], min_dfs=[2],
+    result = train.train_on_terms(two, "doc_id", "class", "text", folds=2, max_iter=30, max_ns=[1, 2], min_dfs=[2],
                                   sizes=[500], costs=[0.5])
-    assert [json.loads(r.params)["inputCol"] for r in result.scores.collect()] == ["grams1", "grams2"]
+    assert [json.loads(r.params)["max_n"] for r in result.scores.collect()] == [1, 2]
     assert {r.label: r.f1 for r in result.report("train").collect()}["accuracy"] > 0.9
     L.save_model(result.model, str(tmp_path / "m"))
     row = spark.createDataFrame([("the and of is in",)], "text string")
