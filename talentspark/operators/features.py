@@ -1,6 +1,6 @@
 """Terms, TF-IDF weights and text embeddings."""
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark import keyword_only
@@ -8,11 +8,13 @@ from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.feature import (
     IDF, CountVectorizer, ElementwiseProduct, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer,
 )
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from talentspark.functions.text import simple_normalize, words
 from talentspark.operators.grams import run_rows
@@ -172,24 +174,42 @@ def normalize_by_lookup(docs: DataFrame, id_col: str, text_col: str, stop_words:
     return docs.select(id_col).join(joined, id_col, "left").select(id_col, text.alias("normalized"))
 
 
-def embed_with(text: Column, load: Callable[[], Callable], batch_size: int = EMBEDDING_BATCH) -> Column:
-    """Vectors of a Python embedding model as array<float>.
+MODELS: dict[str, Callable[[], Callable]] = {}
 
-    ``load`` runs once per task and returns ``encode(list of texts) -> 2-d array``; texts reach
-    it ``batch_size`` at a time.
+
+def register_model(name: str, load: Callable[[], Callable]) -> None:
+    """Make an embedding model known; ``load`` returns ``encode(list of texts) -> 2-d array``."""
+    if not name or MODELS.setdefault(name, load) is not load:
+        raise ValueError(f"no name, or one that another model has: {name!r}")
+
+
+def model_loader(name: str) -> Callable[[], Callable]:
+    """How a registered model is loaded; other names are refused before any row is read."""
+    if name not in MODELS:
+        raise ValueError(f"unknown embedding model {name!r}; known: {', '.join(sorted(MODELS)) or 'none'}")
+    return MODELS[name]
+
+
+def embed_with(text: Column, model: str | Callable[[], Callable], batch_size: int = EMBEDDING_BATCH) -> Column:
+    """Vectors of a Python embedding model, a registered name or a loader, as array<float>.
+
+    The model is loaded once by each Python worker, which keeps it for its later tasks; texts reach it
+    ``batch_size`` at a time. A null text is embedded as an empty one.
     """
-    import numpy as np
-    import pandas as pd
+    load = model_loader(model) if isinstance(model, str) else model
+
+    def make() -> Callable:
+        import numpy as np
 
-    def encode_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = load()
-        for texts in batches:
-            vectors = []
-            for at in range(0, len(texts), batch_size):
-                vectors.extend(np.asarray(encode(texts.iloc[at:at + batch_size].tolist()), "float32"))
-            yield pd.Series(vectors, index=texts.index, dtype=object)
 
-    return F.pandas_udf(encode_batches, "array<float>")(text)
+        def predict(texts):
+            return np.asarray(encode([t or "" for t in texts]), "float32").reshape(len(texts), -1)
+
+        return predict
+
+    run = predict_batch_udf(make, return_type=ArrayType(FloatType()), batch_size=batch_size)
+    return run(F.coalesce(text, F.lit("")))
 
 
 def hashed_embedding(input_col: str, output_col: str = "features", width: int = EMBEDDING_WIDTH) -> Pipeline:

@@ -306,6 +306,25 @@ def test_embed_with(spark):
     assert all(v[0] == i for i, v in got.items()) and {v[1] for v in got.values()} == {32.0, 6.0}
 
 
+def test_models_by_name(spark, monkeypatch):
+    monkeypatch.setattr(FT, "MODELS", {})
+
+    def load():
+        return lambda texts: [[float(len(t)), 1.0] for t in texts]
+
+    with pytest.raises(ValueError, match="unknown embedding model 'sizes'; known: none"):
+        FT.embed_with(F.col("t"), "sizes")
+    FT.register_model("sizes", load)
+    FT.register_model("sizes", load)
+    df = spark.createDataFrame([(1, "abc"), (2, ""), (3, None)], "id long, t string")
+    got = {r.id: r.v for r in df.select("id", FT.embed_with(F.col("t"), "sizes").alias("v")).collect()}
+    assert got == {1: [3.0, 1.0], 2: [0.0, 1.0], 3: [0.0, 1.0]}
+    assert df.limit(0).select(FT.embed_with(F.col("t"), "sizes").alias("v")).count() == 0
+    for name, other in (("", load), ("sizes", lambda: None)):
+        with pytest.raises(ValueError, match="no name"):
+            FT.register_model(name, other)
+
+
 def test_report_by_hand(spark):
     rows = [("a", "a")] * 3 + [("a", "b")] + [("b", "b")] * 2 + [("c", "a")] + [("b", "d")]
     df = spark.createDataFrame(rows, "y string, p string")
