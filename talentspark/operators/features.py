@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from talentspark.functions.text import simple_normalize, words
-from talentspark.operators.grams import run_rows
 from talentspark.operators.joins import lookup_join
 from talentspark.session import settle, settle_table
 
@@ -137,23 +136,16 @@ def fold_vocabularies(
 def tfidf(docs: DataFrame, id_col: str, text_col: str, max_n: int = MAX_NGRAM, **limits) -> DataFrame:
     """(id, term, tfidf): count times idf, scaled to length 1 per text.
 
-    Texts are placed by id once; counting and scaling per text then need no other shuffle.
+    Grams are looked up where their text is read; only the hits, as (id, number of the term), are placed by id, and
+    counting and scaling need no other shuffle. The vocabulary has at most ``max_features`` rows and is broadcast.
     """
-    vocabulary = term_stats(docs, text_col, max_n, **limits).select("term", "idf")
-    placed = docs.select(id_col, text_col).repartition(F.col(id_col))
-    runs = run_rows(
-        placed.select(id_col, term_tokens(F.col(text_col)).alias("_tokens")), id_col, {"t": "_tokens"}, max_n
-    )
-    # concat gives null where a run reaches past the end of its text
-    grams = [
-        F.concat(F.col("t1"), *[x for k in range(2, n + 1) for x in (F.lit(" "), F.col(f"t{k}"))])
-        for n in range(1, max_n + 1)
-    ]
-    rows = runs.select(id_col, F.explode(F.array(*grams)).alias("term"))
-    # max_features bounds the vocabulary, so it is broadcast and drops other grams at once
-    weights = rows.join(F.broadcast(vocabulary), "term").groupBy(id_col, "term").agg(
-        (F.count(F.lit(1)) * F.first("idf")).alias("w")
-    )
+    terms = term_stats(docs, text_col, max_n, **limits).select("term", "idf")
+    vocabulary = settle(terms.withColumn("_no", F.monotonically_increasing_id()))
+    tokens = docs.select(id_col, term_tokens(F.col(text_col)).alias("_tokens"))
+    grams = F.concat(*[_gram_array("_tokens", n) for n in range(1, max_n + 1)])
+    hits = tokens.select(id_col, F.explode(grams).alias("term")).join(F.broadcast(vocabulary), "term").select(id_col, "_no")
+    counts = hits.repartition(F.col(id_col)).groupBy(id_col, "_no").agg(F.count(F.lit(1)).alias("_n"))
+    weights = counts.join(F.broadcast(vocabulary), "_no").select(id_col, "term", (F.col("_n") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
     return weights.select(id_col, "term", (F.col("w") / norm).alias("tfidf"))
 
