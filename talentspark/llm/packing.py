@@ -58,8 +58,9 @@ def pieces(
             for at in range(0, len(batch), ROWS):
                 part = batch.iloc[at:at + ROWS]
                 rows = []
-                for i, ids in zip(part["doc_id"], tokens.encode(part["text"].fillna("").tolist()), strict=True):
-                    ids = np.r_[ids, end].astype("<u4")
+                for i, found in zip(part["doc_id"], tokens.encode(part["text"].fillna("").tolist()), strict=True):
+                    ids = np.empty(len(found) + 1, "<u4")
+                    ids[:-1], ids[-1] = found, end
                     for k, (a, n) in enumerate(cuts(len(ids), size)):
                         own = ids[a:a + n]
                         rows.append((i, k, a, n, zlib.crc32(own.tobytes()), own.tolist() if with_ids else None))

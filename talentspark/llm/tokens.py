@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -23,6 +24,17 @@ SIMPLE = re.compile(r"[^\s<>|]+\Z").match
 BESIDE = re.compile(r"\s | \s")
 
 
+def extended(buffer: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """``buffer`` with ``more`` behind its first ``used`` values; a full one is copied to twice the room."""
+    need = used + len(more)
+    if need > len(buffer):
+        grown = np.zeros(max(need, 2 * len(buffer)), buffer.dtype)
+        grown[:used] = buffer[:used]
+        buffer = grown
+    buffer[used:need] = more
+    return buffer
+
+
 class Encoder:
     """``leading``: whether the space before a word belongs to its token."""
 
@@ -37,17 +49,20 @@ class Encoder:
         self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
         self.mark = self.tokenizer.token_to_id(MARK)
         self.number: dict[str, int] = {}
-        self.ids = np.zeros(0, np.uint16)
-        self.start = self.size = self.uses = np.zeros(0, np.int64)
+        self.heads: dict[str, np.ndarray] = {}
+        self.ids, self.filled = np.zeros(1 << 16, np.uint16), 0
+        self.start, self.size, self.uses = (np.zeros(1 << 14, np.int64) for _ in range(3))
 
     def _forget(self) -> None:
-        """Keep the pieces that several texts had since the last time, at most half of all."""
-        kept = np.flatnonzero(self.uses > 1)
-        kept = kept[np.argsort(-self.uses[kept], kind="stable")][:self.kept // 2]
+        """Keep the pieces that several batches of texts had since the last time, at most half of all."""
+        uses = self.uses[:len(self.number)]
+        kept = np.flatnonzero(uses > 1)
+        kept = kept[np.argsort(-uses[kept], kind="stable")][:self.kept // 2]
         names = list(self.number)
         self.number = {names[k]: i for i, k in enumerate(kept.tolist())}
         self.ids, self.size = self.ids[ranges(self.start[kept], self.size[kept])], self.size[kept]
-        self.start, self.uses = np.cumsum(self.size) - self.size, np.zeros(len(kept), np.int64)
+        self.start, self.filled = np.cumsum(self.size) - self.size, len(self.ids)
+        self.uses = np.zeros(len(kept), np.int64)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         parts = (texts[k:k + TOGETHER] for k in range(0, len(texts), TOGETHER))
@@ -72,31 +87,44 @@ class Encoder:
             if len(sizes[-1]) != len(line):
                 raise ValueError("a new piece was not recognised by its first token")
             ids.append(found)
-        sizes = np.concatenate(sizes)
-        self.start = np.r_[self.start, len(self.ids) + np.cumsum(sizes) - sizes]
-        self.size = np.r_[self.size, sizes]
-        self.uses = np.r_[self.uses, np.zeros(len(sizes), np.int64)]
-        self.ids = np.concatenate([self.ids, *ids])
+        sizes, ids, known = np.concatenate(sizes), np.concatenate([np.zeros(0, np.uint16), *ids]), len(self.number)
+        self.start = extended(self.start, known, self.filled + np.cumsum(sizes) - sizes)
+        self.size, self.uses = extended(self.size, known, sizes), extended(self.uses, known, np.zeros(len(sizes), np.int64))
+        self.ids, self.filled = extended(self.ids, self.filled, ids), self.filled + len(ids)
         pieces = whole + joined
-        self.number.update(zip(pieces, range(len(self.number), len(self.number) + len(pieces)), strict=True))
+        self.number.update(zip(pieces, range(known, known + len(pieces)), strict=True))
+
+    def _heads(self, first: list[str]) -> list[np.ndarray]:
+        """The ids of words at the beginning of a text, which have no space before them."""
+        if len(self.heads) > self.kept // 4:
+            self.heads.clear()
+        new = list(set(first) - self.heads.keys())
+        self.heads.update(zip(new, self._whole(new), strict=True))
+        return [self.heads[w] for w in first]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, without any end token."""
         if len(self.number) > self.kept:
             self._forget()
         out: list[np.ndarray | None] = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts) if self.leading and BESIDE.search(t)]
+        # white space other than the space is not printable
+        odd = [i for i, t in enumerate(texts) if self.leading and ("  " in t or not t.isprintable() and BESIDE.search(t))]
         for i, ids in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
             out[i] = ids
         plain = [i for i in range(len(texts)) if out[i] is None]
         split = [texts[i].split(" ") for i in plain]
-        heads = self._whole([s[0] for s in split] if self.leading else [""] * len(split))
+        heads = self._heads([s[0] for s in split]) if self.leading else [np.zeros(0, np.uint16)] * len(split)
         if self.leading:
             split = [s[1:] for s in split]
         self._learn(list(set().union(*split) - self.number.keys()))
-        for i, head, pieces in zip(plain, heads, split, strict=True):
-            at = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
-            self.uses[at] += 1
-            ids = self.ids[ranges(self.start[at], self.size[at])]
-            out[i] = np.concatenate([head, ids]) if len(head) else ids
+        # all texts at once, each text's head before its own pieces
+        count = np.fromiter(map(len, split), np.int64, len(split))
+        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, int(count.sum()))
+        self.uses[at] += 1
+        sizes = self.size[at]
+        ends = np.r_[0, np.cumsum(sizes)][np.r_[0, np.cumsum(count)]].tolist()
+        ids = self.ids[ranges(self.start[at], sizes)]
+        for k, i in enumerate(plain):
+            own = ids[ends[k]:ends[k + 1]]
+            out[i] = np.concatenate([heads[k], own]) if len(heads[k]) else own
         return out
