@@ -7,7 +7,7 @@ from talentspark.llm import (
     chat, decontaminate, language, lm_score, ngram_join, packing, prefix_trie, quality, repair, secrets, suffix_dedup, token_files,
     vectors,
 )
-from talentspark.llm.common import small_batches
+from talentspark.session import small_batches
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

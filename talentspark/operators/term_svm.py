@@ -27,7 +27,6 @@ from talentspark.session import settle_table
 NO_FOLD = -1
 GROUP_BYTES = 8 << 20  # of the weights that share a pass
 ROWS = 256  # made dense at a time
-MEMORY = 6  # steps that a column remembers
 TOLERANCE = 1e-3  # of the gradient's norm against that at zero
 
 
@@ -136,58 +135,6 @@ def _dense(frames: Iterator[pd.DataFrame], some: list[Space]) -> Iterator[tuple[
                 yield k, x, np.frombuffer(y, np.int16), np.frombuffer(fold, np.int16)
 
 
-class Descent:
-    """Quasi-Newton steps of the columns of one space, side by side; each column has its own step length."""
-
-    def __init__(self, width: int, n: int):
-        self.w, self.trial, self.step = (np.zeros((width, n)) for _ in range(3))
-        self.value, self.fall, self.length = np.full(n, np.inf), np.zeros(n), np.ones(n)
-        self.gradient, self.first, self.done = np.zeros((width, n)), np.zeros(n), np.zeros(n, bool)
-        self.moves, self.turns = [], []  # the newest last, zero where a column has none
-        self.scale = np.ones(n)
-
-    def take(self, loss: np.ndarray, gradient: np.ndarray, tol: float) -> None:
-        """Go on from the loss and gradient at the trial weights; the penalty is added here."""
-        value, gradient = loss + 0.5 * (self.trial ** 2).sum(0), gradient + self.trial
-        started = np.isfinite(self.value)
-        good = ~self.done & (~started | (value <= self.value + 1e-4 * self.length * self.fall))
-        self._remember(good & started, gradient)
-        self.w = np.where(good, self.trial, self.w)
-        self.value, self.gradient = np.where(good, value, self.value), np.where(good, gradient, self.gradient)
-        size = np.linalg.norm(self.gradient, axis=0)
-        self.first = np.where(started, self.first, size)
-        self.length = np.where(good, 1.0, self.length / 2)
-        self.done |= (size <= tol * self.first) | (self.length < 1e-8)
-        step = self._direction(size)
-        self.step = np.where(good, step, self.step)
-        self.fall = (self.gradient * self.step).sum(0)
-        self.trial = np.where(self.done, self.w, self.w + self.length * self.step)
-
-    def _remember(self, good: np.ndarray, gradient: np.ndarray) -> None:
-        move, turn = self.trial - self.w, gradient - self.gradient
-        bend = (move * turn).sum(0)
-        good = good & (bend > 1e-12)
-        if not good.any():
-            return
-        self.scale = np.where(good, bend / np.maximum((turn * turn).sum(0), 1e-300), self.scale)
-        self.moves.append(np.where(good, move, 0.0))
-        self.turns.append(np.where(good, turn, 0.0))
-        del self.moves[:-MEMORY], self.turns[:-MEMORY]
-
-    def _direction(self, size: np.ndarray) -> np.ndarray:
-        q, kept = self.gradient.copy(), []
-        for move, turn in zip(reversed(self.moves), reversed(self.turns), strict=True):
-            bend = (move * turn).sum(0)
-            rate = np.where(bend > 0, 1.0 / np.where(bend > 0, bend, 1.0), 0.0)
-            share = rate * (move * q).sum(0)
-            q -= share * turn
-            kept.append((move, turn, rate, share))
-        q *= self.scale if self.moves else 1.0 / np.maximum(size, 1.0)
-        for move, turn, rate, share in reversed(kept):
-            q += move * (share - rate * (turn * q).sum(0))
-        return -q
-
-
 def _columns(s: Space, counts: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(class, cost of a row by its class) of the columns of a space: costs, then classes."""
     total = sum(counts.values())
@@ -201,7 +148,7 @@ def solve(
 ) -> list[np.ndarray]:
     """The weights (width, costs x classes) of each space, after at most ``max_iter`` passes."""
     columns = [_columns(s, counts) for s in some]
-    state = [Descent(s.width, len(c[0])) for s, c in zip(some, columns, strict=True)]
+    state = [svm.Descent(s.width, np.zeros(len(c[0]), bool)) for s, c in zip(some, columns, strict=True)]
     for _ in range(max_iter):
         left = [k for k, d in enumerate(state) if not d.done.all()]
         if not left:

@@ -89,3 +89,27 @@ def test_too_wide_vectors_are_refused(data):
     frame, *_ = data
     with pytest.raises(ValueError, match="at most"):
         svm.solve(frame, 5000, svm.columns_of([{"C": 1.0, "classWeight": "none", "penalty": "l2"}], {-1: np.ones(2)}, [-1]), 3)
+
+
+@pytest.mark.parametrize("penalty", ["l1", "l2"])
+def test_grids_need_no_curvature(data, penalty, monkeypatch):
+    frame, x, y, fold = data
+    monkeypatch.setattr(svm, "sums", None)
+    points = [{"C": c, "classWeight": "balanced", "penalty": penalty} for c in (0.02, 0.03)]
+    columns = svm.columns_of(points, svm.counted(frame, "label", "fold"), [0, 1, 2])
+    assert len(columns.target) > svm.FEW
+    w, _ = svm.solve(svm.packed(frame, "features", "label", "fold"), 13, columns, 2000, 1e-7)
+    for m in (0, 4, 17):
+        on, l1 = fold != columns.held[m], penalty == "l1"
+        want, _ = plain_solve(x[on], y[on], columns.target[m], columns.cost[m], l1)
+        assert plain_value(x[on], y[on], w[:, m], columns.target[m], columns.cost[m], l1) == pytest.approx(want, rel=1e-5)
+        assert not l1 or w[11, m] == 0
+
+
+def test_blocks_and_tasks_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(svm, "TASKS", 1)
+    rows = spark.range(9000).repartition(30).selectExpr("array(double(id), 1d) AS v", "int(id % 2) AS label")
+    blocks = svm.packed(rows.withColumn("features", array_to_vector("v")), "features", "label")
+    assert blocks.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    sizes = [len(r["y"]) // 2 for r in blocks.collect()]
+    assert sum(sizes) == 9000 and max(sizes) <= svm.BLOCK_ROWS
