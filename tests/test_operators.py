@@ -145,6 +145,17 @@ def test_label_check(spark):
             run()
 
 
+def test_embedding_batches_are_small(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was, rows = spark.conf.get(key), spark.range(3000).selectExpr("string(id) AS t")
+    spark.conf.set(key, "10000")
+    try:
+        FT.embed_with(F.col("t"), lambda: lambda texts: [[len(t)] for t in texts])
+        assert int(spark.conf.get(key)) <= 1000
+    finally:
+        spark.conf.set(key, was)
+
+
 def test_fold_vocabularies(spark):
     texts = ["red fox runs", "red fox sleeps", "blue fox runs", "red fox runs", None, "", "red cat", "lone words here"]
     folds = [0, 1, 2, 0, 1, 2, 1, None]
