@@ -17,11 +17,11 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talentspark.operators import svm
-from talentspark.operators.features import MAX_DF, fold_terms
+from talentspark.operators.features import MAX_DF, fold_terms, training_counts
 from talentspark.session import settle_table
 
 NO_FOLD = -1
@@ -55,17 +55,12 @@ def spaces(
     """A space for each setting and each fold left out, and for all rows. What comes to the driver are the vocabularies,
     which ``sizes`` bounds."""
     counted = rows.select(F.col(fold).alias("fold"), F.col(tokens).alias("_tokens"))
-    terms, held = fold_terms(counted, max(max_ns), min(min_dfs))
-    total = sum(held.values())
-
-    def own_counts(fold: int) -> Column:
-        return F.get(F.filter("parts", lambda p: p["fold"] == fold), F.lit(0))
-
-    own, picked = {f: own_counts(f) for f in held}, []
+    terms, held = fold_terms(counted, max(max_ns), min_dfs, max_df, max(sizes))
+    total, picked = sum(held.values()), []
     for f, n, least in product([*sorted(held), NO_FOLD], max_ns, min_dfs):
-        df, cf = (F.col(c) - (F.coalesce(own[f][c], F.lit(0)) if f in own else F.lit(0)) for c in ("df", "cf"))
         rest = terms.where(F.col("words") <= n).select(
-            F.lit(f).alias("held"), F.lit(n).alias("n"), F.lit(least).alias("least"), "term", df.alias("df"), cf.alias("cf")
+            F.lit(f).alias("held"), F.lit(n).alias("n"), F.lit(least).alias("least"), "term",
+            *[v.alias(c) for c, v in training_counts(f if f in held else None).items()],
         )
         fits = (F.col("df") >= least) & (F.col("df") <= max_df * (total - held.get(f, 0)))
         picked.append(rest.where(fits).orderBy(F.desc("cf"), F.asc("term")).limit(max(sizes)))

@@ -145,6 +145,16 @@ def test_label_check(spark):
             run()
 
 
+def test_rare_grams_are_not_kept_for_vocabularies(spark):
+    texts = [f"aa bb aa bb rare{chr(97 + i // 2)} odd{chr(97 + i // 2)}" for i in range(20)]
+    tokens = spark.createDataFrame([(i % 4, t.split()) for i, t in enumerate(texts)], "fold int, _tokens array<string>")
+    terms, sizes = FT.fold_terms(tokens, 3, [2], 1.0, 2)
+    assert sizes == {f: 5 for f in range(4)}
+    # every training set has two words with 30 occurrences; what is rarer has no place
+    assert {r["term"]: r["cf"] for r in terms.where("words > 1").collect()} == {"aa bb": 40}
+    assert {r["term"] for r in FT.fold_terms(tokens, 3, [2], 1.0, 50)[0].where("words = 2").collect()} > {"aa bb", "bb aa", "rarea odda"}
+
+
 def test_embedding_batches_are_small(spark):
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     was, rows = spark.conf.get(key), spark.range(3000).selectExpr("string(id) AS t")
