@@ -9,20 +9,26 @@ from talentspark.functions.text import let, text_sanitize
 PHONE_DATASET = "|".join([P.PHONE_INTERNATIONAL, P.PHONE_THREE_THREE_FOUR, P.PHONE_FIVE_THREE])
 PHONE_SERVING = PHONE_DATASET + "|" + P.PHONE_BETWEEN_SLASHES
 
+
+def _begun(first: str, pattern: str) -> str:
+    """The pattern, tried only where one of the characters ``first`` stands, with which each of its finds begins."""
+    return f"(?=[{first}])(?:{pattern})"
+
+
 # order matters: an early rule can swallow text a later one would have found
 SERVING_RULES = [
     (P.ADDRESS, "[ADDRESS]"),
-    (PHONE_SERVING, "[PHONE]"),
-    (P.ZIP, "[ZIP]"),
+    (_begun("+(/0-9", PHONE_SERVING), "[PHONE]"),
+    (_begun("0-9", P.ZIP), "[ZIP]"),
     (P.POBOX, "[POBOX]"),
     (P.EMAIL, "[EMAIL]"),
 ]
 DATASET_RULES = [
     (P.EMAIL, "[EMAIL]"),
-    (PHONE_DATASET, "[PHONE]"),
+    (_begun("+(0-9", PHONE_DATASET), "[PHONE]"),
     (P.POBOX, "[ADDRESS]"),
     (P.ADDRESS, "[ADDRESS]"),
-    (P.ZIP, "[ZIP]"),
+    (_begun("0-9", P.ZIP), "[ZIP]"),
 ]
 
 
