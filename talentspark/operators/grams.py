@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from talentspark.functions import patterns as P
 from talentspark.operators.joins import lookup_join
+from talentspark.operators.known import listed, partial_runs, run_starts
 from talentspark.session import settle
 
 # a word is a run of letters, marks and digits; any other visible character stands alone
 TOKEN = rf"[\p{{L}}\p{{M}}\p{{N}}]+|[^{P.WHITESPACE}\p{{L}}\p{{M}}\p{{N}}]"
 # the same for whole-word search, where the underscore joins words and marks do not
-WORD_TOKEN = rf"[{P.WORD}]+|[^{P.WHITESPACE}{P.WORD}]"
+# (a-z and 0-9 are letters and digits that need no look at the Unicode tables)
+WORD_TOKEN = rf"[a-z0-9{P.WORD}]+|[^{P.WHITESPACE}{P.WORD}]"
 WORD_PIECE = rf"(?:{WORD_TOKEN})[{P.WHITESPACE}]*"
+# the characters of WHITESPACE, for tasks that have its pieces already
+BLANKS = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def tokens(c: Column) -> Column:
@@ -81,11 +85,21 @@ def phrase_match(docs: DataFrame, id_col: str, text_col: str, lex: Lexicon) -> D
 
     Gives (id, phrase, preferred, start, end) with token offsets, end exclusive.
     """
-    listed = docs.select(id_col, tokens(F.col(text_col)).alias("_tokens"))
-    rows = _candidates(run_rows(listed, id_col, {"_t": "_tokens"}, lex.max_n), lex.heads, id_col, "_t", lex.max_n)
+    docs = docs.select(id_col, tokens(F.col(text_col)).alias("_tokens"))
+    known = listed(lex.table, "gram")
+    if known is not None:
+        names = docs.sparkSession.createDataFrame(list(enumerate(known)), "_no long, gram string")
+        found = run_starts(docs, id_col, "_tokens", known)
+        hits = lookup_join(found, settle(names.join(lex.table, "gram")), ["_no"], "inner", spread_by=[id_col, "start"])
+        return _spans(hits, id_col)
+    # more phrases than a task can hold
+    rows = _candidates(run_rows(docs, id_col, {"_t": "_tokens"}, lex.max_n), lex.heads, id_col, "_t", lex.max_n)
     gram = F.concat_ws(" ", *[F.when(F.col("n") >= k, F.col(f"_t{k}")) for k in range(1, lex.max_n + 1)])
     grams = rows.select(id_col, "start", "n", gram.alias("gram"))
-    hits = lookup_join(grams, lex.table, ["gram", "n"], "inner", spread_by=[id_col, "start"])
+    return _spans(lookup_join(grams, lex.table, ["gram", "n"], "inner", spread_by=[id_col, "start"]), id_col)
+
+
+def _spans(hits: DataFrame, id_col: str) -> DataFrame:
     return hits.select(
         id_col, F.col("gram").alias("phrase"), "preferred", "start", (F.col("start") + F.col("n")).alias("end")
     )
@@ -114,20 +128,50 @@ def skill_table(spark: SparkSession, skills: list[str]) -> DataFrame:
 def whole_word_hits(docs: DataFrame, id_col: str, text_col: str, skills: DataFrame) -> DataFrame:
     """(id, pos, skill) for each skill of a large query list that occurs as a whole word.
 
-    An occurrence between word boundaries starts and ends at token edges, so it equals a run
-    of tokens with the blanks between them: an equi-join finds it. A skill that starts (ends)
-    with a symbol also needs a word character right before (after) it.
+    An occurrence between word boundaries starts and ends at token edges, so it equals a run of
+    tokens with the blanks between them. Such runs are found a batch of texts at a time; a list of
+    skills too long for that is joined. A skill that starts (ends) with a symbol also needs a word
+    character right before (after) it.
     """
     literal = F.lower("skill")
+    pieces = F.regexp_extract_all(literal, F.lit(WORD_PIECE), F.lit(0))
     wanted = settle(
         skills.where(literal.rlike(rf"[^{P.WHITESPACE}]")).select(
             "pos", "skill", literal.alias("gram"),
-            F.size(F.regexp_extract_all(literal, F.lit(WORD_TOKEN), F.lit(0))).alias("n"),
+            F.size(pieces).alias("n"), pieces.alias("_pieces"),
             F.regexp_extract(literal, WORD_TOKEN, 0).alias("_head"),
             (~literal.rlike(rf"\A[{P.WORD}]")).alias("_before"),
             (~literal.rlike(rf"[{P.WORD}]\z")).alias("_after"),
         )
     )
+    # a run neither begins nor ends with a blank
+    trimmed = wanted.where(F.col("gram").rlike(rf"\A[^{P.WHITESPACE}]") & F.col("gram").rlike(rf"[^{P.WHITESPACE}]\z"))
+    known = listed(trimmed, "gram")
+    if known is None:
+        return _hits_by_join(docs, id_col, text_col, wanted.drop("_pieces"))
+    rows = {r["gram"]: r for r in trimmed.select("gram", "_pieces", "_before", "_after").distinct().collect()}
+    found = partial_runs(
+        docs.select(id_col, F.regexp_extract_all(F.lower(text_col), F.lit(WORD_PIECE), F.lit(0)).alias("_p")), id_col, "_p",
+        [rows[g]["_pieces"] for g in known], [rows[g]["_before"] or rows[g]["_after"] for g in known], BLANKS,
+    )
+    before, after = (F.coalesce(F.col(c).rlike(rf"\A[{P.WORD}]"), F.lit(False)) for c in ("_prev", "_next"))
+    held = found.groupBy(id_col, "_no").agg(
+        F.max(before).alias("before"), F.max(after).alias("after"), F.max(before & after).alias("both")
+    )
+    names = docs.sparkSession.createDataFrame(list(enumerate(known)), "_no long, gram string")
+    named = settle(names.join(trimmed, "gram").select("_no", "pos", "skill", "_before", "_after"))
+    hits = lookup_join(held, named, ["_no"], "inner", spread_by=[id_col, "_no"])
+    needed = F.when(F.col("_before") & F.col("_after"), F.col("both")).when(F.col("_before"), F.col("before")).when(
+        F.col("_after"), F.col("after")).otherwise(F.lit(True))
+    hits = hits.where(needed)
+    total, places = named.agg(F.count(F.lit(1)), F.count_distinct("pos")).first()
+    if total == places:
+        return hits.select(id_col, "pos", "skill")
+    return hits.groupBy(id_col, "pos").agg(F.min("skill").alias("skill"))
+
+
+def _hits_by_join(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
+    """``whole_word_hits`` for any number of ``wanted`` skills, by an equi-join on the runs."""
     max_n = wanted.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
 
     text = F.lower(text_col)

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from talentspark.operators.joins import fits_broadcast
 from talentspark.session import small_batches
@@ -185,3 +185,55 @@ def partial_hits(tokens: DataFrame, id_col: str, column: str, terms: list[str])
             [ids, pa.array(distinct % size), pa.array(np.bincount(which, minlength=len(distinct)))], names=schema.names)
 
     return _mapped(tokens, run, schema)
+
+
+def run_starts(tokens: DataFrame, id_col: str, column: str, grams: list[str]) -> DataFrame:
+    """(id, _no, start) of each occurrence of the ``grams``, tokens joined by single blanks, in the lists of ``column``."""
+    schema = StructType([tokens.schema[id_col], StructField("_no", LongType()), StructField("start", IntegerType())])
+    known = KnownSequences([g.split(" ") for g in grams])
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found, none = Tokens(batch.column(column)), [np.zeros(0, np.int64)]
+        hits = [(at, names) for _, at, names in known.occurrences(found)]
+        at, names = (np.concatenate(none + list(x)) for x in (zip(*hits, strict=True) if hits else ((), ())))
+        rows = found.rows[at]
+        start = (at - np.searchsorted(found.rows, rows)).astype(np.int32)
+        return pa.RecordBatch.from_arrays([batch.column(id_col).take(pa.array(rows)), pa.array(names), pa.array(start)], names=schema.names)
+
+    return _mapped(tokens, run, schema)
+
+
+def partial_runs(
+    pieces: DataFrame, id_col: str, column: str, runs: list[list[str]], edged: list[bool], blanks: str
+) -> DataFrame:
+    """(id, _no, _prev, _next) of each text that holds one of the ``runs`` of pieces, once for each pair of neighbours.
+
+    A piece is a token with the blanks after it; the last piece of a run is given without them and found with or
+    without. The neighbours are the pieces that touch the run, null where blanks or the text's ends do, and for runs
+    that are not ``edged``.
+    """
+    schema = StructType([
+        pieces.schema[id_col], StructField("_no", LongType()), StructField("_prev", StringType()), StructField("_next", StringType()),
+    ])
+    known, asked = KnownSequences(runs), np.array(edged, bool)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = Tokens(batch.column(column))
+        bare = pc.utf8_rtrim(found.distinct, characters=blanks)
+        tight = pc.equal(bare, found.distinct).to_numpy(zero_copy_only=False).astype(bool)[found.codes]
+        # a border on both sides, so that every position has neighbours
+        rows, codes = np.r_[-1, found.rows, -1], np.r_[-1, found.codes, -1]
+        prev = np.where(np.r_[False, tight, False][:-2] & (rows[:-2] == found.rows), codes[:-2], -1)
+        follows = np.where(tight & (rows[2:] == found.rows), codes[2:], -1)
+        keys, sides, width = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], len(found.distinct) + 1
+        for n, at, names in known.find(found.numbers(known.inner), found.numbers(known.last, bare), found.rows):
+            keys.append(found.rows[at] * len(runs) + names)
+            sides.append(np.where(asked[names], (prev[at] + 1) * width + follows[at + n - 1] + 1, 0))
+        which, pairs = pd.factorize(np.concatenate(sides))
+        both = pd.unique(np.concatenate(keys) * max(len(pairs), 1) + which)
+        keys, pairs = both // max(len(pairs), 1), pairs[both % max(len(pairs), 1)]
+        near = [found.distinct.take(pa.array(c - 1, mask=c == 0)) for c in (pairs // width, pairs % width)]
+        ids = batch.column(id_col).take(pa.array(keys // max(len(runs), 1)))
+        return pa.RecordBatch.from_arrays([ids, pa.array(keys % max(len(runs), 1)), *near], names=schema.names)
+
+    return _mapped(pieces, run, schema)

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from talentspark.operators import features as FT
+from talentspark.operators import grams as G
 from talentspark.operators import known as K
 
 TEXTS = ["aa bb aa bb cc", None, "", "x", "Aa, bb\ncc-x dd", "KA İb zéro ab1cd", "dd aa bb aa bb cc dd", "aa"]
@@ -70,3 +71,36 @@ def test_tfidf_adds_up_texts_of_one_id(spark):
         norm = sum((n * idf[t]) ** 2 for t, n in c.items()) ** 0.5
         want |= {(i, t): n * idf[t] / norm for t, n in c.items()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+RUNS = ["c++ dev, c++dev", "a.net  .net x.net", "New York new york  new york", None, "", "c++", "of the of the of the"]
+SKILLS = ["c++", ".net", "new york", "New York", "of the", " of", ".", "++dev", "+", "york  new"]
+
+
+def test_runs_sent_to_tasks_equal_joined_ones(spark, monkeypatch):
+    docs = texts(spark, RUNS * 2).withColumn("id", F.when(F.col("id") < 10, F.col("id") % 7))
+    once = G.skill_table(spark, SKILLS)
+    repeated = once.withColumn("pos", F.when(F.col("pos") > 2, F.col("pos") % 4))
+    phrases = spark.createDataFrame([("new york", "NY"), ("of the of", "x"), ("the", "y"), ("c + +", "z")], "phrase string, preferred string")
+
+    def results():
+        hits = G.phrase_match(docs, "id", "t", G.lexicon(phrases))
+        return [Counter(map(tuple, df.collect())) for df in (
+            G.whole_word_hits(docs, "id", "t", once), G.whole_word_hits(docs, "id", "t", repeated), hits)]
+
+    sent = results()
+    assert all(sent) and (0, 7, "++dev") in sent[0] and not any(pos == 5 for _, pos, _ in sent[0])
+    monkeypatch.setattr(K, "KNOWN_ROWS", 0)
+    assert results() == sent
+
+
+def test_a_text_passes_on_one_row_per_run_and_pair_of_neighbours(spark):
+    pieces = texts(spark, ["the of the the", "x.y .y x.y"]).select(
+        "id", F.regexp_extract_all("t", F.lit(G.WORD_PIECE), F.lit(0)).alias("p"))
+    found = K.partial_runs(pieces, "id", "p", [["the"], [".", "y"]], [False, True], G.BLANKS)
+    assert Counter(map(tuple, found.collect())) == Counter([(0, 0, None, None), (1, 1, "x", None), (1, 1, None, None)])
+    blank = spark.createDataFrame([(c,) for c in G.BLANKS], "c string")
+    assert blank.where(F.col("c").rlike(f"[{G.P.WHITESPACE}]")).count() == len(G.BLANKS)
+    every = spark.range(1, 0x10000).where("id < 55296 or id > 57343").select(F.decode(F.encode(F.expr(
+        "decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')"), "UTF-8"), "UTF-8").alias("c"))
+    assert every.where(F.col("c").rlike(rf"\A[{G.P.WHITESPACE}]\z")).count() == len(G.BLANKS)
