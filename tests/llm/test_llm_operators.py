@@ -252,6 +252,24 @@ def test_tokens(texts, name, leading):
     assert [x.tolist() for x in own.encode(some)] == want == [x.tolist() for x in own.encode(some)]
 
 
+@pytest.mark.parametrize(("name", "leading"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_tokens_word_by_word(name, leading, monkeypatch):
+    """Pieces that share their words are not each encoded anew, and cutting them changes no id."""
+    own = tokens.Encoder(public_tokenizers.path(name), leading)
+    rng, marks = random.Random(5), ["", ".", ",", "!!", "***", ".\n", "\n", "7", "'s", "\n\n", "|", "\u0301", "\u00a0", "\u0130"]
+    words = ["anantion", "Éanouier", "ladodoezie", "SS", "ñtaes", "ß", "İx", "ж"]
+    texts = [" ".join(rng.choice(words) + rng.choice(marks) + rng.choice(["", *words]) for _ in range(9)) for _ in range(600)]
+    texts += [x for c in map(chr, range(0x180)) for x in (f"a{c}b {c}b a{c}", f"{c}a\n{c}", c)]
+    want = [e.ids for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in own.encode(texts)] == want
+    given, whole = [], own._whole
+    monkeypatch.setattr(own, "_whole", lambda some: given.extend(some) or whole(some))
+    pieces = [f"{a}{m}{b}" for a in words[:5] for m in (".", "-", ".\n", "\n", "+7/") for b in words[:5]]
+    text = "x " + " ".join(pieces)
+    assert own.encode([text])[0].tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+    assert sum(map(len, given)) < 0.1 * len(text)
+
+
 def test_token_files(spark, texts, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
     docs = frame(spark, texts).unionByName(frame(spark, ["again", None], [3, None]))
