@@ -6,12 +6,15 @@ triples are counted by hashes, each by its own: what is gathered grows with the
 bits more than the number of all n-grams has (64 at most), so at every size about one n-gram in a
 million shares its hash with another.
 
-1. Documents are dealt by a hash into chunks of about ``CHUNK`` characters. A chunk sends each of its
-   distinct n-grams once, with its counts, to the n-gram's bucket; so a frequent n-gram costs a bucket
-   no more than one entry a chunk. Hashes travel as compressed differences of ascending values, and a
+1. Documents are dealt by a hash of their id into chunks of about ``CHUNK`` characters, and the ids of the target
+   documents go to the same chunks as marks, so no list of them is sent to the tasks. The rows of an id that would
+   fill a chunk are dealt by their texts too; these ids, of which there are at most ``HOT`` a chunk, are looked up.
+   A chunk sends each of its distinct n-grams once, with its counts, to the n-gram's bucket; so a frequent n-gram
+   costs a bucket no more than one entry a chunk. Hashes travel as compressed differences of ascending values, and a
    chunk sends nothing to a bucket that it has no n-gram for, so rows are never more than n-grams.
 2. A bucket sums up and answers each chunk with what the other chunks counted, in the order of what the
-   chunk sent; for the many n-grams of one chunk alone that is 0 and takes hardly any room.
+   chunk sent; for the many n-grams of one chunk alone that is 0 and takes hardly any room. One more bucket sums up
+   the tokens of all chunks.
 3. A chunk adds its own counts, puts the sums to its tokens again, and each document gets its mean loss per token under
    either model (triples backed off to pairs, words and a uniform share of the distinct words).
 
@@ -34,12 +37,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talentspark.llm.common import WordHash, mix
-from talentspark.operators.joins import lookup_join
+from talentspark.session import drop_shuffles, settle
 
 PRIOR = (0.5, 8.0, 4.0)  # weight of the next lower order
 CHUNK = 4_000_000
 LEAST_PARTS = 64  # chunks and buckets of a small input
 SPARE = 20
+HOT = 4  # an id with more rows than this part of a chunk's mean is dealt over all chunks
+# rows of a chunk: a text whose id's mark decides, one that is no target, one that is, one without an id, and an id's mark
+OPEN, OTHER, TARGET, NAMELESS, MARK = range(5)
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 COUNTS = "chunk int, bucket int, keys binary, target binary, whole binary"
 SCORES = "doc_id long, n_tokens long, target_loss double, background_loss double, difference double"
@@ -109,47 +115,75 @@ def first_of(bucket: int, buckets: int) -> np.uint64:
     return np.uint64(-(-(bucket << 32) // buckets) << 32)
 
 
-def measure(rows: DataFrame, buckets: int, bits: int) -> tuple[int, int, int]:
-    """Tokens of the target documents, tokens of all, and distinct words, of (text, target)."""
+def measure(rows: DataFrame, buckets: int, bits: int) -> tuple[int, int]:
+    """Tokens and distinct words of the texts."""
     spare = np.uint64(64 - bits)
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, seen, target, whole = WordHash(), set(), 0, 0
+        cache, seen, whole = WordHash(), set(), 0
 
         def send() -> pd.DataFrame:
             keys = np.sort(cache.of(list(seen))) >> spare << spare
-            out = [(b, pack(np.diff(keys[part] >> spare, prepend=first_of(b, buckets) >> spare)), 0, 0) for b, part in runs(keys, buckets)]
-            out.append((0, pack(keys[:0]), target, whole))
-            return pd.DataFrame(out, columns=["bucket", "keys", "target", "whole"])
+            out = [(b, pack(np.diff(keys[part] >> spare, prepend=first_of(b, buckets) >> spare)), 0) for b, part in runs(keys, buckets)]
+            out.append((0, pack(keys[:0]), whole))
+            return pd.DataFrame(out, columns=["bucket", "keys", "whole"])
 
         for batch in batches:
-            for text, chosen in zip(batch["text"], batch["target"], strict=True):
+            for text in batch["text"]:
                 found = (text or "").lower().encode("utf-8", "replace").split()
                 seen.update(found)
                 whole += len(found)
-                target += len(found) * bool(chosen)
             if len(seen) >= 200_000:
                 yield send()
-                seen, target, whole = set(), 0, 0
+                seen, whole = set(), 0
         yield send()
 
     def distinct(frame: pd.DataFrame) -> pd.DataFrame:
         keys = np.concatenate([np.cumsum(unpack(v), dtype=np.uint64) for v in frame["keys"]])
-        return pd.DataFrame({"words": [len(np.unique(keys))], "target": [frame["target"].sum()], "whole": [frame["whole"].sum()]})
-
-    sent = rows.select("text", "target").mapInPandas(words, "bucket int, keys binary, target long, whole long")
-    sums = sent.groupBy("bucket").applyInPandas(distinct, "words long, target long, whole long")
-    return tuple(x or 0 for x in sums.agg(F.sum("target"), F.sum("whole"), F.sum("words")).first())
+        return pd.DataFrame({"words": [len(np.unique(keys))], "whole": [frame["whole"].sum()]})
+
+    sent = rows.select("text").mapInPandas(words, "bucket int, keys binary, whole long")
+    sums = sent.groupBy("bucket").applyInPandas(distinct, "words long, whole long")
+    return tuple(x or 0 for x in sums.agg(F.sum("whole"), F.sum("words")).first())
+
+
+def dealt(docs: DataFrame, targets: DataFrame, parts: int, total: int) -> DataFrame:
+    """(doc_id, text, role, chunk): the texts and the marks of the target documents, which meet in the chunk of their id."""
+    ids = targets.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    per_id = rows.select("doc_id", F.lit(1).alias("n"), F.lit(OTHER).alias("known")).unionByName(
+        ids.select("doc_id", F.lit(0).alias("n"), F.lit(TARGET).alias("known"))
+    ).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.sum("n").alias("n"), F.max("known").alias("known"))
+    # fewer than HOT * parts ids whatever the input
+    hot = F.broadcast(settle(per_id.where(F.col("n") * (HOT * parts) > total).select("doc_id", "known")))
+    role = F.coalesce("known", F.when(F.col("doc_id").isNull(), F.lit(NAMELESS)).otherwise(F.lit(OPEN))).alias("role")
+    by_id = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")
+    by_text = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")
+    texts = rows.join(hot, "doc_id", "left").select("doc_id", "text", role, by_id.alias("by_id"), by_text.alias("by_text")).select(
+        F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), "text", "role",
+        F.when(F.col("role") == OPEN, F.col("by_id")).otherwise(F.col("by_text")).alias("chunk"),
+    )
+    return texts.unionByName(ids.select("doc_id", F.lit(None).cast("string").alias("text"), F.lit(MARK).alias("role"), by_id.alias("chunk")))
+
+
+def told(frame: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+    """The texts of a chunk, and which of them are targets."""
+    role, ids = frame["role"].to_numpy(), frame["doc_id"].to_numpy()
+    marks = role == MARK
+    chosen = (role == TARGET) | (role == OPEN) & np.isin(ids, ids[marks])
+    return frame[~marks], chosen[~marks]
 
 
 def count(chunks: DataFrame, buckets: int, bits: int) -> DataFrame:
-    """Per chunk and bucket, how often all other chunks have the chunk's distinct n-grams, in ascending order of their keys."""
+    """Per chunk and bucket, how often all other chunks have the chunk's distinct n-grams, in ascending order of their keys;
+    in the last bucket, how many tokens all other chunks have."""
     spare = np.uint64(64 - bits)
 
     def send(frame: pd.DataFrame) -> pd.DataFrame:
-        keys, sizes = grams(frame["text"].tolist(), WordHash(), bits)
+        texts, chosen = told(frame)
+        keys, sizes = grams(texts["text"].tolist(), WordHash(), bits)
         found, whole = tally(keys.ravel())
-        some, number = tally(keys[:, np.repeat(frame["target"].to_numpy(bool), sizes)].ravel())
+        some, number = tally(keys[:, np.repeat(chosen, sizes)].ravel())
         target = np.zeros(len(found), np.int64)
         target[np.searchsorted(found, some)] = number
         chunk = int(frame["chunk"].iloc[0])
@@ -157,6 +191,8 @@ def count(chunks: DataFrame, buckets: int, bits: int) -> DataFrame:
             (chunk, b, pack(np.diff(found[part] >> spare, prepend=first_of(b, buckets) >> spare)), pack(target[part]), pack(whole[part]))
             for b, part in runs(found, buckets)
         ]
+        if len(texts):
+            out.append((chunk, buckets, pack(np.zeros(1, np.uint64)), pack(sizes[chosen].sum(keepdims=True)), pack(sizes.sum(keepdims=True))))
         return pd.DataFrame(out, columns=["chunk", "bucket", "keys", "target", "whole"])
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
@@ -210,34 +246,33 @@ def score(docs: DataFrame, targets: DataFrame) -> DataFrame:
 
     ``targets`` holds the doc_id of the target documents.
     """
-    ids = targets.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().withColumn("target", F.lit(True))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("h"))
-    rows = lookup_join(rows, ids, ["doc_id"], "left", spread_by=["h"]).withColumn("target", F.coalesce("target", F.lit(False)))
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    total, chars = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     parts = max(LEAST_PARTS, chars // CHUNK)
     # a word and the space after it are two characters at least
-    in_target, in_all, words = measure(rows, parts, key_bits(chars // 2 + 1))
+    in_all, words = measure(docs, parts, key_bits(chars // 2 + 1))
     bits = key_bits(3 * in_all)
-    chunks = rows.select("doc_id", "text", "target", F.pmod("h", F.lit(parts)).cast("int").alias("chunk"))
+    chunks = dealt(docs, targets, parts, total)
+    drop_shuffles(docs.sparkSession)
 
     def run(frame: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
+        frame, chosen = told(frame)
         keys, sizes = grams(frame["text"].tolist(), WordHash(), bits)
         owner = np.repeat(np.arange(len(sizes)), sizes)
         found, at = np.unique(keys.ravel(), return_inverse=True)
         at = at.reshape(keys.shape)
-        chosen = frame["target"].to_numpy(bool)
         sums = sums.sort_values("bucket")
         lost = np.zeros((2, 0))
         if len(found):
             counts = np.stack([np.concatenate([unpack(v) for v in sums[c]]).astype(np.int64) for c in ("target", "whole")])
+            counts, in_target = counts[:, :-1], int(counts[0, -1] + sizes[chosen].sum())
             counts += [np.bincount(x.ravel(), minlength=len(found)) for x in (at[:, np.repeat(chosen, sizes)], at)]
             own = np.stack([own_counts(x, owner, len(found)) for x in at])
             inside = np.stack([chosen, np.ones(len(frame), bool)])
             lost = losses(counts[:, at], own, owner, inside, (in_target, in_all), words)
         mean = [np.bincount(owner, x, len(sizes)) / np.where(sizes, sizes, np.nan) for x in lost]
         out = pd.DataFrame({
-            "doc_id": frame["doc_id"].astype("Int64"), "n_tokens": sizes, "target_loss": mean[0],
-            "background_loss": mean[1], "difference": mean[0] - mean[1],
+            "doc_id": frame["doc_id"].astype("Int64").mask(frame["role"] == NAMELESS).array, "n_tokens": sizes,
+            "target_loss": mean[0], "background_loss": mean[1], "difference": mean[0] - mean[1],
         })
         return out.astype({c: "Float64" for c in ("target_loss", "background_loss", "difference")})
 

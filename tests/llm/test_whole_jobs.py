@@ -64,6 +64,29 @@ def test_lm_score_counts_the_ngrams_themselves(spark):
             assert loss is None and value[i] is None or abs(loss - value[i]) < 1e-9
 
 
+def test_lm_score_sends_no_list_of_targets(spark, monkeypatch):
+    rng = random.Random(25)
+    texts = [" ".join(words(rng, rng.randrange(1, 12))) for _ in range(900)] + ["a b", "", None]
+    far = 1 << 60
+    # an id of its own each, then one that many rows share, one that is no target, and none
+    ids = [far + i for i in range(700)] + [7] * 60 + [8] * 60 + [None] * (len(texts) - 820)
+    chosen = {far + i for i in range(0, 700, 2)} | {7, 9}
+    sent = []
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append(df.count()) or df)
+    targets = spark.createDataFrame([(i,) for i in [*chosen, 7, None]], "doc_id long")
+    rows = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in zip(ids, texts, strict=True)], SCHEMA)
+    got = lm_score.score(rows, targets).collect()
+    assert sum(sent) == 2  # the ids of many rows
+    losses = plain_losses(texts, {k for k, i in enumerate(ids) if i in chosen})
+    want = [(i, len((t or "").split()), *x) for i, t, x in zip(ids, texts, zip(*losses, strict=True), strict=True)]
+
+    def order(rows):
+        return sorted(rows, key=lambda r: [x is None or round(x, 6) for x in r])
+
+    for a, b in zip(order(r[:4] for r in got), order(want), strict=True):
+        assert a[:2] == b[:2] and all(x is y is None or abs(x - y) < 1e-9 for x, y in zip(a[2:], b[2:], strict=True))
+
+
 def test_lm_score_keeps_many_ngrams_apart():
     rng = random.Random(22)
     bits = lm_score.key_bits(1_200_000)
