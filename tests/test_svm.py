@@ -1,6 +1,7 @@
 """The block SVM against plain descent on all rows, in numpy."""
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
@@ -113,3 +114,12 @@ def test_blocks_and_tasks_are_bounded(spark, monkeypatch):
     assert blocks.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
     sizes = [len(r["y"]) // 2 for r in blocks.collect()]
     assert sum(sizes) == 9000 and max(sizes) <= svm.BLOCK_ROWS
+
+
+def test_blocks_are_read_in_small_pieces(spark):
+    rows = spark.range(10_240, numPartitions=1).selectExpr("transform(sequence(1, 512), i -> rand(7)) AS v", "0 AS label")
+    blocks = svm.packed(rows.withColumn("features", array_to_vector("v")), "features", "label")
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in blocks.inputFiles()]
+    groups = [m.row_group(i).total_byte_size for m in files for i in range(m.num_row_groups)]
+    # 21 MB; a group was 100 blocks at least
+    assert sum(groups) > 20e6 and max(groups) < 8e6
