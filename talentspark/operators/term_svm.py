@@ -120,6 +120,8 @@ class Panel:
         own = [some[k] for k in members]
         self.members, self.terms = members, np.unique(np.concatenate([s.numbers for s in own]))
         self.places = [np.searchsorted(self.terms, s.numbers) for s in own]
+        self.place = np.full(1 + (int(self.terms[-1]) if len(self.terms) else 0), -1, np.int32)  # of a term's number
+        self.place[self.terms] = np.arange(len(self.terms))
         self.idf = np.zeros((len(self.terms), len(own)))
         for j, (place, s) in enumerate(zip(self.places, own, strict=True)):
             self.idf[place, j] = s.idf
@@ -135,8 +137,8 @@ class Panel:
 
     def read(self, row: np.ndarray, ids: np.ndarray, counts: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
         """(counts of the terms, 1 / length of each row in each space) of a block."""
-        at = np.minimum(np.searchsorted(self.terms, ids), max(len(self.terms) - 1, 0))
-        on = np.flatnonzero(self.terms[at] == ids) if len(self.terms) else np.zeros(0, np.int64)
+        at = np.where(ids < len(self.place), self.place[np.minimum(ids, len(self.place) - 1)], -1)
+        on = np.flatnonzero(at >= 0)
         x = np.zeros((rows, len(self.terms)))
         x[row[on], at[on]] = counts[on]
         return x, 1.0 / np.maximum(np.sqrt((x * x) @ (self.idf * self.idf)), 1e-300)
@@ -180,20 +182,22 @@ def _columns(s: Space, counts: dict[int, np.ndarray]) -> tuple[np.ndarray, np.nd
 def solve(
     blocks: DataFrame, some: list[Space], counts: dict[int, np.ndarray], max_iter: int, tol: float = TOLERANCE
 ) -> list[np.ndarray]:
-    """The weights (width, costs x classes) of each space, after at most ``max_iter`` passes."""
+    """The weights (width, costs x classes) of each space, after at most ``max_iter`` passes; columns that are done leave
+    the passes."""
     columns = [_columns(s, counts) for s in some]
     state = [svm.Descent(s.width, np.zeros(len(c[0]), bool)) for s, c in zip(some, columns, strict=True)]
     for _ in range(max_iter):
         left = [k for k, d in enumerate(state) if not d.done.all()]
         if not left:
             break
-        asked = panels([some[k] for k in left], [state[k].trial for k in left])
+        going = [np.flatnonzero(~state[k].done) for k in left]
+        asked = panels([some[k] for k in left], [state[k].trial[:, on] for k, on in zip(left, going, strict=True)])
         target, cost, held = [], [], []
         for p in asked:
-            own = [left[k] for k in p.members]
-            target.append(np.concatenate([columns[k][0] for k in own]))
-            cost.append(np.concatenate([columns[k][1] for k in own]))
-            held.append(np.array([some[k].held if some[k].held != NO_FOLD else -2 for k in own])[p.of])
+            own = [(left[k], going[k]) for k in p.members]
+            target.append(np.concatenate([columns[k][0][on] for k, on in own]))
+            cost.append(np.concatenate([columns[k][1][on] for k, on in own]))
+            held.append(np.array([some[k].held if some[k].held != NO_FOLD else -2 for k, _ in own])[p.of])
         sizes = [len(p.of) * (len(p.terms) + 2) for p in asked]
         cuts = np.cumsum(sizes)[:-1]
 
@@ -211,9 +215,11 @@ def solve(
         for p, part in zip(asked, np.split(svm.over_blocks(blocks, sum(sizes), add), cuts), strict=True):
             loss, gradient = part[:len(p.of)], part[len(p.of):].reshape(-1, len(p.of))
             for j, k in enumerate(p.members):
-                own = gradient[:, p.columns(j)]
-                s = some[left[k]]
-                state[left[k]].take(loss[p.columns(j)], np.vstack([s.idf[:, None] * own[p.places[j]], own[-1:]]), tol)
+                s, own, d = some[left[k]], gradient[:, p.columns(j)], state[left[k]]
+                value, slope = np.zeros(len(d.done)), np.zeros(d.w.shape)
+                value[going[k]] = loss[p.columns(j)]
+                slope[:, going[k]] = np.vstack([s.idf[:, None] * own[p.places[j]], own[-1:]])
+                d.take(value, slope, tol)
     return [d.w for d in state]
 
 

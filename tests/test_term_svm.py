@@ -8,6 +8,8 @@ import numpy as np
 import pytest
 
 from talentspark.operators import svm, term_svm
+from talentspark.plans import train
+from talentspark.session import settle_table
 
 
 @pytest.fixture(scope="module")
@@ -81,3 +83,38 @@ def test_points_share_passes(spark, rows, monkeypatch):
     monkeypatch.setattr(term_svm, "GROUP_BYTES", 1)
     assert together == term_svm.grid_scores(blocks, some, counts, 200)
     assert set(together) == {(1, 2, 50, 0.5), (1, 2, 50, 2.0)} and all(len(v) == 3 for v in together.values())
+
+
+def test_a_pass_reads_each_setting_once(spark, rows, monkeypatch):
+    frame, _ = rows
+    some = term_svm.spaces(frame, "grams1", "fold", [1], [1, 2], [50], [0.5, 2.0])
+    held = [s for s in some if s.held != term_svm.NO_FOLD]
+    # both limits leave all ten words
+    assert len(held) == 6 and len(term_svm.distinct(held)[0]) == 3
+    blocks, counts = term_svm.packed(frame, "grams1", "label", "fold", some), svm.counted(frame, "label", "fold")
+    asked = []
+    over = svm.over_blocks
+    monkeypatch.setattr(svm, "over_blocks", lambda blocks, size, add: asked.append(size) or over(blocks, size, add))
+    found = term_svm.grid_scores(blocks, some, counts, 500)
+    assert found[1, 1, 50, 0.5] == found[1, 2, 50, 0.5] and len(found) == 4
+    passes = asked[:-1]
+    # one matrix for the three folds: six columns of a loss, ten terms and a constant each; columns that are done leave
+    assert passes[0] == 3 * 6 * (1 + 10 + 1) and min(passes) < passes[0] and passes == sorted(passes, reverse=True)
+
+
+def test_texts_and_lists_give_the_same_blocks(spark, rows):
+    frame, _ = rows
+    some = term_svm.spaces(frame, "grams1", "fold", [2], [2], [400], [2.0])
+    texts = frame.selectExpr("array_join(grams1, ', ') AS lower", "label", "fold")
+    assert [s.terms for s in term_svm.spaces(texts, "lower", "fold", [2], [2], [400], [2.0])] == [s.terms for s in some]
+    one, two = (term_svm.packed(f, c, "label", "fold", some).collect() for f, c in ((frame, "grams1"), (texts, "lower")))
+    assert sorted(map(str, one)) == sorted(map(str, two))
+
+
+def test_grams_are_not_written(spark, sf, monkeypatch):
+    written = {}
+    monkeypatch.setattr(train, "settle_table", lambda df, name, **o: written.update({name: df.columns}) or settle_table(df, name, **o))
+    rows = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "lang AS class", "text")
+    found = train.train_on_terms(rows, "doc_id", "class", "text", 2, 4, max_ns=[1], min_dfs=[2], sizes=[50], costs=[0.5])
+    assert written == {"texts": ["class", "label", "is_test", "fold", "text"]}
+    assert found.test_predictions.where("prediction IS NULL").count() == 0 and found.test_predictions.count() > 0
