@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talentspark.llm.common import WordHash, mix
-from talentspark.session import drop_shuffles, settle
+from talentspark.session import settle, shuffles_dropped
 
 PRIOR = (0.5, 8.0, 4.0)  # weight of the next lower order
 CHUNK = 4_000_000
@@ -249,10 +249,10 @@ def score(docs: DataFrame, targets: DataFrame) -> DataFrame:
     total, chars = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     parts = max(LEAST_PARTS, chars // CHUNK)
     # a word and the space after it are two characters at least
-    in_all, words = measure(docs, parts, key_bits(chars // 2 + 1))
+    with shuffles_dropped(docs.sparkSession):
+        in_all, words = measure(docs, parts, key_bits(chars // 2 + 1))
     bits = key_bits(3 * in_all)
     chunks = dealt(docs, targets, parts, total)
-    drop_shuffles(docs.sparkSession)
 
     def run(frame: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
         frame, chosen = told(frame)
